@@ -1,0 +1,71 @@
+"""Queries of the training-data problems, each over its whole tables with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sahifa.llm import bpe, pieces, residue, samelook, termfreq
+from sahifa.session import read_table, ship_package
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.oversized(read_table(spark, sf_dir, "pos"))
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_pieces(read_table(spark, sf_dir, "pos")).drop("n_words", "longest")
+
+
+def _both(spark: SparkSession, sf_dir: str, function: Callable[..., DataFrame]) -> DataFrame:
+    pos = function(read_table(spark, sf_dir, "pos"), "pos_id", "tokens", True).select(F.lit("pos").alias("tbl"), "*")
+    unit = function(read_table(spark, sf_dir, "unit"), "unit_id", "source", False).select(F.lit("unit").alias("tbl"), "*")
+    return pos.unionByName(unit)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir, samelook.same_look_pairs)
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir, samelook.with_one_form).select("tbl", "row_id", "form")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = termfreq.marked_terms(read_table(spark, sf_dir, "pos"))
+    return marked.where("mark is not null").select("field", "term", "mark")
+
+
+def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termfreq.marked_terms(read_table(spark, sf_dir, "pos"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(read_table(spark, sf_dir, "documents"))
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.without_residue(read_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p6_found, p6_terms, p7_ids, p9_found, p9_clean)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {q.__name__: shipped(q) for q in _QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
