@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sahifa.llm import bpe, pieces, residue, samelook, termfreq
+from sahifa.llm import bpe, neardup, pieces, residue, samelook, termfreq
 from sahifa.session import read_table, ship_package
 
 
@@ -32,6 +32,14 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir, samelook.with_one_form).select("tbl", "row_id", "form")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir, neardup.near_duplicate_pairs)
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir, neardup.near_duplicate_groups)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = termfreq.marked_terms(read_table(spark, sf_dir, "pos"))
     return marked.where("mark is not null").select("field", "term", "mark")
@@ -53,7 +61,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(read_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p6_found, p6_terms, p7_ids, p9_found, p9_clean)
+_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p6_found, p6_terms, p7_ids, p9_found, p9_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
