@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sahifa.llm import bpe, neardup, pieces, residue, samelook, termfreq
+from sahifa.llm import bpe, mixing, neardup, overlap, pieces, residue, samelook, termfreq
 from sahifa.session import read_table, ship_package
 
 
@@ -18,26 +18,37 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_pieces(read_table(spark, sf_dir, "pos")).drop("n_words", "longest")
 
 
-def _both(spark: SparkSession, sf_dir: str, function: Callable[..., DataFrame]) -> DataFrame:
-    pos = function(read_table(spark, sf_dir, "pos"), "pos_id", "tokens", True).select(F.lit("pos").alias("tbl"), "*")
-    unit = function(read_table(spark, sf_dir, "unit"), "unit_id", "source", False).select(F.lit("unit").alias("tbl"), "*")
-    return pos.unionByName(unit)
+# Key and text of the tables with texts, and whether the text is an array of tokens.
+_TEXTS = {"pos": ("pos_id", "tokens", True), "unit": ("unit_id", "source", False), "indexing": ("idx_id", "text", False)}
+
+
+def _each(spark: SparkSession, sf_dir: str, function: Callable[..., DataFrame], *tables: str) -> DataFrame:
+    parts = [function(read_table(spark, sf_dir, t), *_TEXTS[t]).select(F.lit(t).alias("tbl"), "*") for t in tables]
+    return parts[0].unionByName(parts[1])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark, sf_dir, samelook.same_look_pairs)
+    return _each(spark, sf_dir, samelook.same_look_pairs, "pos", "unit")
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark, sf_dir, samelook.with_one_form).select("tbl", "row_id", "form")
+    return _each(spark, sf_dir, samelook.with_one_form, "pos", "unit").select("tbl", "row_id", "form")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark, sf_dir, neardup.near_duplicate_pairs)
+    return _each(spark, sf_dir, neardup.near_duplicate_pairs, "pos", "unit")
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark, sf_dir, neardup.near_duplicate_groups)
+    return _each(spark, sf_dir, neardup.near_duplicate_groups, "pos", "unit")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, overlap.overlap_pairs, "pos", "indexing")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, overlap.overlap_report, "pos", "indexing")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +64,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.Mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).selection()
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_documents(read_table(spark, sf_dir, "documents"))
 
@@ -61,7 +84,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(read_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p6_found, p6_terms, p7_ids, p9_found, p9_clean)
+_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p5_found, p5_report, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
