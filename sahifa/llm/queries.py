@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sahifa.llm import bpe, mixing, neardup, overlap, pieces, residue, samelook, termfreq
+from sahifa.llm import bpe, mixing, names, neardup, overlap, pieces, residue, samelook, termfreq
 from sahifa.session import read_table, ship_package
 
 
@@ -43,6 +43,15 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, neardup.near_duplicate_groups, "pos", "unit")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_links(read_table(spark, sf_dir, "hop"), read_table(spark, sf_dir, "narrator"), read_table(spark, sf_dir, "narrator_ref"))
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = names.mention_rows(read_table(spark, sf_dir, "hop"), read_table(spark, sf_dir, "narrator"))
+    return names.linked_rows(rows, read_table(spark, sf_dir, "narrator_ref"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, overlap.overlap_pairs, "pos", "indexing")
 
@@ -84,7 +93,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(read_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p5_found, p5_report, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
+_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_report, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
