@@ -65,14 +65,19 @@ class _WordHash(dict):
 _HASH = _WordHash()
 
 
-def numbered_words(texts: list[str], least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Elements of the texts with at least ``least`` words: kept positions, starts, and the sorted element hashes one row after the other."""
+def flat_words(texts: list[str], least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of the texts with at least ``least`` words: kept positions, sizes, and all hashes one text after the other."""
     hashes = [[h for h in map(_HASH.__getitem__, raw_words(t)) if h] for t in texts]
     kept = np.array([i for i, h in enumerate(hashes) if len(h) >= least], dtype=np.int64)
+    sizes = np.array([len(hashes[i]) for i in kept], dtype=np.int64)
+    return kept, sizes, np.fromiter((h for i in kept for h in hashes[i]), dtype=np.uint64, count=int(sizes.sum()))
+
+
+def numbered_words(texts: list[str], least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements of the texts with at least ``least`` words: kept positions, starts, and the sorted element hashes one row after the other."""
+    kept, sizes, flat = flat_words(texts, least)
     if not len(kept):
         return kept, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    sizes = np.array([len(hashes[i]) for i in kept], dtype=np.int64)
-    flat = np.fromiter((h for i in kept for h in hashes[i]), dtype=np.uint64, count=int(sizes.sum()))
     row = np.repeat(np.arange(len(kept)), sizes)
     order = np.lexsort((flat, row))
     flat = flat[order]
