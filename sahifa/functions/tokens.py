@@ -35,10 +35,20 @@ def tokens(text: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda state: state["out"])
 
 
+def beside(items: Column, **values: Column) -> Column:
+    """``array<struct<item, values...>>``: each item with the same values.
+
+    A lambda evaluates what it takes from outside once per element; values handed over this way
+    are evaluated once per row (the repeated array holds references).
+    """
+    repeated = [F.array_repeat(v, F.size(items)).alias(k) for k, v in values.items()]
+    return F.arrays_zip(items.alias("item"), *repeated)
+
+
 def blocks(items: Column, size: int) -> Column:
     """Consecutive blocks of ``size`` items without overlap; none for an empty array."""
     starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda at: F.slice(items, at + 1, F.lit(size)))
+    return F.transform(beside(starts, of=items), lambda x: F.slice(x["of"], x["item"] + 1, F.lit(size)))
 
 
 def pack(items: Column, limit: int) -> Column:
@@ -91,14 +101,14 @@ def pad(ids: Column, length: Column, value: int = 0) -> Column:
 
 def char_tags(bare: Column, tags: Column, missing: str = "x") -> Column:
     """The tag of each character's word. The word counter goes up at each plain space and at nothing else."""
-    chars = F.regexp_extract_all(F.coalesce(bare, F.lit("")), F.lit("(?s)."), F.lit(0))
-    start = F.struct(F.lit(0).alias("w"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, c: Column) -> Column:
-        tag = F.when(state["w"] < F.size(tags), F.get(tags, state["w"])).otherwise(missing)
-        return F.struct((state["w"] + F.when(c == " ", 1).otherwise(0)).alias("w"), F.array_append(state["out"], tag).alias("out"))
-
-    return F.aggregate(chars, start, step, lambda s: s["out"])
+    text = F.coalesce(bare, F.lit(""))
+    pieces = F.split(text, " ", -1)
+    # a word's tag stands for its characters and for the space after it
+    each = F.transform(
+        beside(pieces, of=tags),
+        lambda x, i: F.array_repeat(F.when(i < F.size(x["of"]), F.get(x["of"], i)).otherwise(missing), F.length(x["item"]) + 1),
+    )
+    return F.slice(F.flatten(each), F.lit(1), F.length(text))
 
 
 def fit_tags(tags: Column, n: Column, overflow: str, max_words: int = 120) -> Column:

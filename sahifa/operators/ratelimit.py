@@ -38,7 +38,7 @@ def rate_limit(events: DataFrame, client: str, ts: str, order: str, limit: int =
     """
     kept = events.select(order, client, ts).where(F.col(client).isNotNull() & F.col(ts).isNotNull())
     # epoch microseconds are exact; times of the window are compared as such
-    micros = kept.withColumn("_us", F.unix_micros(ts))
+    micros = kept.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     sorted_rows = micros.repartition(client).sortWithinPartitions(client, "_us", order)
     width = round(window * 1_000_000)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sahifa.functions import charclasses as C
+from sahifa.functions.tokens import beside
 
 SEGMENT = "array<struct<code:string,text:string>>"
 SPAN = "array<struct<start:int,end:int,label:string>>"
@@ -72,20 +73,24 @@ def usable(spans: Column, min_chain: int = 30, min_report: int = 40) -> Column:
     return (span_mass(spans, "ISNAD") >= min_chain) & (span_mass(spans, "MATN") >= min_report)
 
 
-def gap_fill_eligible(tokens: Column, text: Column) -> Column:
-    """Tokens with a letter, without marks and outside quotations (``﴿...﴾`` or ``{...}``)."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)﴿[^﴾]*﴾|\{[^}]*\}|."), F.lit(0))
+def gap_fill_flags(tokens: Column, text: Column) -> Column:
+    """For each token whether a gap filler may mark it: it has a letter, no marks, and lies outside quotations (``﴿...﴾`` or ``{...}``)."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)[^﴿{]+|﴿[^﴾]*﴾|\{[^}]*\}|."), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-    walked = F.aggregate(
-        pieces,
-        start,
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p)).alias("at"),
-            F.when(F.length(p) > 1, F.array_append(s["out"], F.struct(s["at"].alias("a"), (s["at"] + F.length(p)).alias("b")))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.filter(
-        tokens,
-        lambda t: t["text"].rlike(C.LETTER) & ~t["text"].rlike(C.MARK_MODEL) & ~F.exists(walked, lambda p: (t["start"] < p["b"]) & (t["end"] > p["a"])),
+
+    def step(s: Column, p: Column) -> Column:
+        end = s["at"] + F.length(p)
+        quoted = F.named_struct(F.lit("a"), s["at"], F.lit("b"), end)
+        return F.named_struct(F.lit("at"), end, F.lit("out"), F.when((F.length(p) > 1) & p.rlike("^[﴿{]"), F.array_append(s["out"], quoted)).otherwise(s["out"]))
+
+    quotations = F.aggregate(pieces, start, step, lambda s: s["out"])
+    return F.transform(
+        beside(tokens, q=quotations),
+        lambda x: x["item"]["text"].rlike(C.LETTER) & ~x["item"]["text"].rlike(C.MARK_MODEL) & ~F.exists(x["q"], lambda q: (x["item"]["start"] < q["b"]) & (x["item"]["end"] > q["a"])),
     )
+
+
+def gap_fill_eligible(tokens: Column, text: Column) -> Column:
+    """The tokens of which :func:`gap_fill_flags` is true."""
+    both = F.arrays_zip(tokens.alias("t"), gap_fill_flags(tokens, text).alias("ok"))
+    return F.transform(F.filter(both, lambda x: x["ok"]), lambda x: x["t"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sahifa.functions import charclasses as C, marks, tokens
 from sahifa.operators.rowmap import map_rows
@@ -62,34 +62,40 @@ def train_diacritizer(df: DataFrame, text: str, ordinal: str) -> DataFrame:
     return train_lexicon(words.withColumn("word", F.regexp_replace("form", C.MARK_MODEL, "")), "word", "form", [ordinal, "at"])
 
 
-def _rewrite(df: DataFrame, key: str, text: str, lexicon: DataFrame, eligible) -> DataFrame:
-    """Texts in which each eligible word is replaced by its vocalization; blanks and letters stay as they are.
+def _rewrite(df: DataFrame, key: str, text: str, lexicon: DataFrame, flags) -> DataFrame:
+    """Texts in which each flagged word is replaced by its vocalization; blanks and letters stay as they are.
 
-    A text's words are gathered again by its key: what is gathered is one text, never more.
+    A word carries the blanks before it, the blanks at the end are an item of their own. A text's
+    items are gathered again by its key: what is gathered is one text, never more.
     """
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"{C.WS}+|{C.NONWS}+"), F.lit(0))
-    toks = tokens.tokens(F.col(text))
-    rows = df.select(key, F.posexplode_outer(F.zip_with(pieces, F.array_repeat(F.lit(0), F.size(pieces)), lambda p, _: p)).alias("at", "piece"), eligible(toks, F.col(text)).alias("ok"))
-    length = F.coalesce(F.length("piece"), F.lit(0))
-    w = W.partitionBy(key).orderBy("at")
-    rows = rows.withColumn("start", F.sum(length).over(w) - length)
-    rows = rows.withColumn("ok", F.exists("ok", lambda t: t["start"] == F.col("start")) & F.col("piece").rlike(C.NONWS))
-    rows = rows.withColumn("word", F.when(F.col("ok"), F.regexp_replace("piece", C.MARK_MODEL, "")))
-    filled = rows.join(lexicon.select("word", "label"), "word", "left")
-    out = filled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("label", F.coalesce("word", "piece")).alias("piece")))).alias("parts"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(key, whole.alias("_text"), tokens.tokens(whole).alias("_t"))
+    rows = rows.select("*", flags(F.col("_t"), F.col("_text")).alias("_ok"))
+    before = F.concat(F.array(F.lit(0)), F.transform("_t", lambda t: t["end"]))
+    items = F.transform(
+        F.slice(F.arrays_zip(F.col("_t").alias("t"), F.col("_ok").alias("ok"), before.alias("b")), F.lit(1), F.size("_t")),
+        lambda x: F.struct(F.substring(F.col("_text"), x["b"] + 1, x["t"]["start"] - x["b"]).alias("gap"), x["t"]["text"].alias("piece"), x["ok"].alias("ok")),
+    )
+    last = F.coalesce(F.try_element_at("_t", F.lit(-1))["end"], F.lit(0))
+    tail = F.struct(F.substring(F.col("_text"), last + 1, F.length("_text") - last).alias("gap"), F.lit("").alias("piece"), F.lit(False).alias("ok"))
+    listed = rows.select(key, F.concat(items, F.array(tail)).alias("_items"))
+    words = listed.select(key, F.posexplode("_items").alias("at", "i")).select(key, "at", "i.gap", "i.piece", F.when(F.col("i.ok"), F.regexp_replace("i.piece", C.MARK_MODEL, "")).alias("word"))
+    filled = words.join(lexicon.select("word", "label"), "word", "left")
+    new = F.concat("gap", F.coalesce("label", "word", "piece"))
+    out = filled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", new.alias("piece")))).alias("parts"))
     return out.select(key, F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("output"))
 
 
 def diacritize(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """``(key, output)``: all marks restored from the bare letters; blank texts stay as they are."""
-    return _rewrite(df, key, text, lexicon, lambda toks, _: toks)
+    return _rewrite(df, key, text, lexicon, lambda toks, _: F.transform(toks, lambda t: F.lit(True)))
 
 
 def fill_gaps(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """``(key, output)``: only fully bare words outside quotations get marks."""
-    from sahifa.operators.runs import gap_fill_eligible
+    from sahifa.operators.runs import gap_fill_flags
 
-    return _rewrite(df, key, text, lexicon, gap_fill_eligible)
+    return _rewrite(df, key, text, lexicon, gap_fill_flags)
 
 
 def letters_unchanged(before: str, after: str):

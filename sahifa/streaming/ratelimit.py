@@ -20,7 +20,7 @@ def rate_limit_stream(events: DataFrame, client: str, ts: str, order: str, limit
     """
     width = round(window * 1_000_000)
     kept = events.where(F.col(client).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay)
-    rows = kept.select(client, order, ts, F.unix_micros(ts).alias("_us"))
+    rows = kept.select(client, order, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
