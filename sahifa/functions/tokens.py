@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sahifa.functions import charclasses as C
 
@@ -19,20 +19,36 @@ def word_count(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """``array<struct<idx, text, start, end>>`` with code-point offsets, ends exclusive.
 
-    The text is cut into runs of blanks followed by a word; lengths of those pieces, added up by
-    one fold, give the offsets (regular-expression positions would count UTF-16 units).
+    Lengths of the words with the blanks before them, added up by one fold, give the ends
+    (regular-expression positions would count UTF-16 units).
     """
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({C.WS}*)({C.NONWS}+)"), F.lit(0))
-    empty = F.array().cast("array<struct<idx:int,text:string,start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    whole = F.coalesce(text, F.lit(""))
+    pieces = F.regexp_extract_all(whole, F.lit(f"{C.WS}*{C.NONWS}+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
     def step(state: Column, piece: Column) -> Column:
-        word = F.regexp_extract(piece, f"({C.NONWS}+)$", 1)
         end = state["at"] + F.length(piece)
-        token = F.struct(F.size(state["out"]).alias("idx"), word.alias("text"), (end - F.length(word)).alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], token).alias("out"))
+        return F.named_struct(F.lit("at"), end, F.lit("ends"), F.array_append(state["ends"], end))
 
-    return F.aggregate(pieces, start, step, lambda state: state["out"])
+    ends = F.aggregate(pieces, start, step, lambda state: state["ends"])
+    return F.transform(
+        F.arrays_zip(words(text).alias("w"), ends.alias("e")),
+        lambda x, i: F.named_struct(F.lit("idx"), i, F.lit("text"), x["w"], F.lit("start"), x["e"] - F.length(x["w"]), F.lit("end"), x["e"]),
+    )
+
+
+def let(body, **values: Column) -> Column:
+    """``body(bound)`` with each value evaluated once: a lambda over an array of one struct.
+
+    Expressions that a lambda takes from outside are evaluated again for each element, and a
+    column that is used several times is inlined each time; a bound value is neither.
+    """
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
+def explode_once(df: DataFrame, columns: list, array: Column, name: str) -> DataFrame:
+    """Explodes an array that is expensive to make; the filter Spark infers for a plain explode would make it again."""
+    return df.select(*columns, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
 def beside(items: Column, **values: Column) -> Column:

@@ -18,6 +18,19 @@ def schema_of(schema: str | T.StructType) -> T.StructType:
     return T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
 
+SMALL_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input that is small and in fewer files than there are cores, dealt out to all cores.
+
+    Larger inputs, and inputs in many files, are left as the scan splits them: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_BYTES * cores and 0 < len(df.inputFiles()) < cores else df
+
+
 def map_rows(df: DataFrame, function: Callable[..., list], schema: str | T.StructType, init: Callable[[], object] | None = None) -> DataFrame:
     """Columns of ``df`` in, columns of ``schema`` out, batch by batch.
 
@@ -37,4 +50,4 @@ def map_rows(df: DataFrame, function: Callable[..., list], schema: str | T.Struc
             if len(arrays[0]):
                 yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, target)], schema=target)
 
-    return df.mapInArrow(run, struct)
+    return spread(df).mapInArrow(run, struct)

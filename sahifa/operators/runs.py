@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sahifa.functions import charclasses as C
-from sahifa.functions.tokens import beside
+from sahifa.functions.tokens import let
 
 SEGMENT = "array<struct<code:string,text:string>>"
 SPAN = "array<struct<start:int,end:int,label:string>>"
@@ -52,16 +52,14 @@ def spans(tokens: Column, labels: Column, min_words: int = 12) -> Column:
 
     Runs go on across tagging blocks; a span ends where its last word ends.
     """
-    pairs = F.zip_with(tokens, labels, lambda t, l: F.struct(t["start"].alias("start"), t["end"].alias("end"), l.alias("label")))
-
     def step(out: Column, p: Column) -> Column:
         last = F.element_at(out, -1)
-        grown = F.struct(last["start"].alias("start"), p["end"].alias("end"), last["label"].alias("label"))
+        grown = F.named_struct(F.lit("start"), last["start"], F.lit("end"), p["end"], F.lit("label"), last["label"])
         same = (F.size(out) > 0) & F.try_element_at(out, F.lit(-1))["label"].eqNullSafe(p["label"])
         return F.when(same, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown))).otherwise(F.array_append(out, p))
 
-    merged = F.aggregate(pairs, F.array().cast(SPAN), step)
-    return F.when(F.size(tokens) < min_words, F.array().cast(SPAN)).otherwise(merged)
+    pairs = F.zip_with(tokens, labels, lambda t, l: F.named_struct(F.lit("start"), t["start"], F.lit("end"), t["end"], F.lit("label"), l))
+    return let(lambda x: F.when(F.size(x["p"]) < min_words, F.array().cast(SPAN)).otherwise(F.aggregate(x["p"], F.array().cast(SPAN), step)), p=pairs)
 
 
 def span_mass(spans: Column, label: str) -> Column:
@@ -73,8 +71,8 @@ def usable(spans: Column, min_chain: int = 30, min_report: int = 40) -> Column:
     return (span_mass(spans, "ISNAD") >= min_chain) & (span_mass(spans, "MATN") >= min_report)
 
 
-def gap_fill_flags(tokens: Column, text: Column) -> Column:
-    """For each token whether a gap filler may mark it: it has a letter, no marks, and lies outside quotations (``﴿...﴾`` or ``{...}``)."""
+def quotations(text: Column) -> Column:
+    """``array<struct<a, b>>``: offsets of quotations (``﴿...﴾`` or ``{...}``)."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)[^﴿{]+|﴿[^﴾]*﴾|\{[^}]*\}|."), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
@@ -83,14 +81,18 @@ def gap_fill_flags(tokens: Column, text: Column) -> Column:
         quoted = F.named_struct(F.lit("a"), s["at"], F.lit("b"), end)
         return F.named_struct(F.lit("at"), end, F.lit("out"), F.when((F.length(p) > 1) & p.rlike("^[﴿{]"), F.array_append(s["out"], quoted)).otherwise(s["out"]))
 
-    quotations = F.aggregate(pieces, start, step, lambda s: s["out"])
-    return F.transform(
-        beside(tokens, q=quotations),
-        lambda x: x["item"]["text"].rlike(C.LETTER) & ~x["item"]["text"].rlike(C.MARK_MODEL) & ~F.exists(x["q"], lambda q: (x["item"]["start"] < q["b"]) & (x["item"]["end"] > q["a"])),
-    )
+    return F.aggregate(pieces, start, step, lambda s: s["out"])
+
+
+def _fillable(t: Column, quoted: Column) -> Column:
+    return t["text"].rlike(C.LETTER) & ~t["text"].rlike(C.MARK_MODEL) & ~F.exists(quoted, lambda q: (t["start"] < q["b"]) & (t["end"] > q["a"]))
+
+
+def gap_fill_flags(tokens: Column, text: Column) -> Column:
+    """For each token whether a gap filler may mark it: it has a letter, no marks, and lies outside quotations."""
+    return let(lambda x: F.transform(x["t"], lambda t: _fillable(t, x["q"])), t=tokens, q=quotations(text))
 
 
 def gap_fill_eligible(tokens: Column, text: Column) -> Column:
     """The tokens of which :func:`gap_fill_flags` is true."""
-    both = F.arrays_zip(tokens.alias("t"), gap_fill_flags(tokens, text).alias("ok"))
-    return F.transform(F.filter(both, lambda x: x["ok"]), lambda x: x["t"])
+    return let(lambda x: F.filter(x["t"], lambda t: _fillable(t, x["q"])), t=tokens, q=quotations(text))

@@ -69,17 +69,20 @@ def _rewrite(df: DataFrame, key: str, text: str, lexicon: DataFrame, flags) -> D
     items are gathered again by its key: what is gathered is one text, never more.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(key, whole.alias("_text"), tokens.tokens(whole).alias("_t"))
-    rows = rows.select("*", flags(F.col("_t"), F.col("_text")).alias("_ok"))
-    before = F.concat(F.array(F.lit(0)), F.transform("_t", lambda t: t["end"]))
-    items = F.transform(
-        F.slice(F.arrays_zip(F.col("_t").alias("t"), F.col("_ok").alias("ok"), before.alias("b")), F.lit(1), F.size("_t")),
-        lambda x: F.struct(F.substring(F.col("_text"), x["b"] + 1, x["t"]["start"] - x["b"]).alias("gap"), x["t"]["text"].alias("piece"), x["ok"].alias("ok")),
-    )
-    last = F.coalesce(F.try_element_at("_t", F.lit(-1))["end"], F.lit(0))
-    tail = F.struct(F.substring(F.col("_text"), last + 1, F.length("_text") - last).alias("gap"), F.lit("").alias("piece"), F.lit(False).alias("ok"))
-    listed = rows.select(key, F.concat(items, F.array(tail)).alias("_items"))
-    words = listed.select(key, F.posexplode("_items").alias("at", "i")).select(key, "at", "i.gap", "i.piece", F.when(F.col("i.ok"), F.regexp_replace("i.piece", C.MARK_MODEL, "")).alias("word"))
+
+    def items(x):
+        before = F.concat(F.array(F.lit(0)), F.transform(x["t"], lambda t: t["end"]))
+        zipped = F.arrays_zip(x["t"].alias("t"), x["ok"].alias("ok"), F.slice(before, F.lit(1), F.size(x["t"])).alias("b"))
+        each = F.transform(
+            zipped,
+            lambda z: F.named_struct(F.lit("gap"), F.substring(x["text"], z["b"] + 1, z["t"]["start"] - z["b"]), F.lit("piece"), z["t"]["text"], F.lit("ok"), z["ok"]),
+        )
+        last = F.element_at(before, -1)
+        tail = F.named_struct(F.lit("gap"), F.substring(x["text"], last + 1, F.length(x["text"]) - last), F.lit("piece"), F.lit(""), F.lit("ok"), F.lit(False))
+        return F.concat(each, F.array(tail))
+
+    listed = tokens.let(items, t=tokens.tokens(whole), ok=flags(tokens.tokens(whole), whole), text=whole)
+    words = df.select(key, F.posexplode_outer(listed).alias("at", "i")).select(key, "at", "i.gap", "i.piece", F.when(F.col("i.ok"), F.regexp_replace("i.piece", C.MARK_MODEL, "")).alias("word"))
     filled = words.join(lexicon.select("word", "label"), "word", "left")
     new = F.concat("gap", F.coalesce("label", "word", "piece"))
     out = filled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", new.alias("piece")))).alias("parts"))

@@ -107,8 +107,9 @@ def rule_labels(tokens: Column, boundary: Column) -> Column:
 def structure_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, source, pairs, narrators)`` by the rules: segments of each unit and the chain of each ISNAD segment."""
     parsed = chain.parse_chains(df, key, text).select(key, "sanad_end_raw")
-    rows = df.select(key, F.col(text).alias("source")).join(parsed, key).withColumn("_t", K.tokens(F.col("source")))
-    labelled = F.zip_with("_t", rule_labels(F.col("_t"), F.col("sanad_end_raw")), lambda t, c: F.struct(t["text"].alias("word"), c.alias("code")))
+    rows = df.select(key, F.col(text).alias("source")).join(parsed, key)
+    both = lambda x: F.zip_with(x["t"], rule_labels(x["t"], F.col("sanad_end_raw")), lambda t, c: F.named_struct(F.lit("word"), t["text"], F.lit("code"), c))
+    labelled = K.let(both, t=K.tokens(F.col("source")))
     segments = rows.select(key, "source", runs.merge_runs(labelled).alias("pairs"))
     found = chain.narrators(segments, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg", "n", "verb", "name"))).alias("narrators"))
     none = F.array().cast("array<struct<seg:int,n:int,verb:string,name:string>>")

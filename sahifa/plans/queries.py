@@ -185,7 +185,7 @@ def token_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select unit_id, t.idx as idx, t.text as word, t.start as start_at, t.end as end_at from (select unit_id, unnest({_tokens('source')}) as t from unit)")
 def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    t = read_table(spark, sf, "unit").select("unit_id", F.explode(K.tokens(F.col("source"))).alias("t"))
+    t = K.explode_once(read_table(spark, sf, "unit"), ["unit_id"], K.tokens(F.col("source")), "t")
     return t.select("unit_id", "t.idx", F.col("t.text").alias("word"), F.col("t.start").alias("start_at"), F.col("t.end").alias("end_at"))
 
 
@@ -228,7 +228,7 @@ _LABELLED = f"""select idx_id, t, case when t.idx = 0 and regexp_matches(t.text,
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "indexing").where("sanad_end is not null").select("idx_id", "sanad_end", K.tokens(F.col("text")).alias("t"))
-    return rows.withColumn("labels", pipelines.rule_labels(F.col("t"), F.col("sanad_end")))
+    return rows.withColumn("labels", K.let(lambda x: pipelines.rule_labels(x["t"], F.col("sanad_end")), t=F.col("t")))
 
 
 @query(f"select idx_id, t.idx as idx, t.text as word, label from ({_LABELLED}) where t.idx < 220")
@@ -246,7 +246,7 @@ _SPANS = f"""with l as ({_LABELLED}), n as (select idx_id, count(*) as n from l
 
 @query(f"select idx_id, a::int as start_at, b::int as end_at, label from ({_SPANS})")
 def page_spans(spark: SparkSession, sf: str) -> DataFrame:
-    x = _labelled(spark, sf).select("idx_id", F.explode(runs.spans(F.col("t"), F.col("labels"))).alias("s"))
+    x = K.explode_once(_labelled(spark, sf), ["idx_id"], runs.spans(F.col("t"), F.col("labels")), "s")
     return x.select("idx_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), "s.label")
 
 
@@ -293,7 +293,7 @@ _MASKED = r"""array_to_string(list_transform(regexp_extract_all(source, '(?s)﴿
     f"where regexp_matches(t.text, '{_LETTER}') and not regexp_matches(t.text, '{_MARK}') and not contains(substr(masked, t.start + 1, t.end - t.start), chr(57344))"
 )
 def gap_fill_eligible(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read_table(spark, sf, "unit").select("unit_id", F.explode(runs.gap_fill_eligible(K.tokens(F.col("source")), F.col("source"))).alias("t"))
+    rows = K.explode_once(read_table(spark, sf, "unit"), ["unit_id"], runs.gap_fill_eligible(K.tokens(F.col("source")), F.col("source")), "t")
     return rows.select("unit_id", "t.idx", F.col("t.text").alias("word"))
 
 
