@@ -28,7 +28,7 @@ def _seeded(seed: int, length: int) -> bytes:
 
 
 def fit_budget(counts: dict[int, int], budget: int, seed: int = 13) -> dict[int, int]:
-    """How many documents of each length to take so that their lengths sum to ``budget``, or as near below it as can be.
+    """How many documents of each length to take so that their lengths sum to ``budget``, or to the nearest sum below it that the exact step finds.
 
     ``counts`` has the documents available of each positive length; their total is at least
     ``budget``.
@@ -53,6 +53,12 @@ def fit_budget(counts: dict[int, int], budget: int, seed: int = 13) -> dict[int,
             if more > 0:
                 take[n] += more
                 left -= n * more
+    for n in sorted(counts, key=lambda n: _seeded(seed + 2, n)):  # give back where the shares left too little for the exact step
+        if left >= fine:
+            break
+        back = min(take[n], -(-(fine - left) // n))
+        take[n] -= back
+        left += n * back
     # exact: bounded knapsack, counts split into powers of two, reachable sums as bits of one integer
     mask = (1 << (left + 1)) - 1
     reach, steps = 1, []
