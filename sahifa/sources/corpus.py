@@ -41,24 +41,24 @@ def iter_texts(spark: SparkSession, path: str, record: str = "line") -> DataFram
     folder = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
     parts = []
     if folder or not path.endswith(".jsonl"):
-        reader = spark.read.option("wholetext", True)
+        reader = spark.read
         if folder:
             reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
-        parts.append(_text_records(_or_empty(spark, reader, path, "text"), record))
+        parts.append(_text_records(_or_empty(spark, reader, path, True), record))
     if folder or path.endswith(".jsonl"):
         reader = spark.read
         if folder:
             reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-        parts.append(_json_records(_or_empty(spark, reader, path, "lines")))
+        parts.append(_json_records(_or_empty(spark, reader, path, False)))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return both.select("ord", "text")
 
 
-def _or_empty(spark: SparkSession, reader, path: str, what: str) -> DataFrame:
+def _or_empty(spark: SparkSession, reader, path: str, whole: bool) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+        return reader.text(path, wholetext=whole).select("value", F.col("_metadata.file_path").alias("file"))
     except AnalysisException:  # a folder without such files
         return spark.createDataFrame([], "value string, file string")
 
