@@ -62,6 +62,15 @@ def markdown_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(markdown_row([F.col(c) for c in columns]).alias("row"))
 
 
+def markdown_document(units: DataFrame, by: list[str], n: str, output: str, title: str, meta: dict[str, str]) -> DataFrame:
+    """``(by, body)``: a title, a list of facts and one paragraph per unit (an empty one for blank units)."""
+    head = "\n".join([f"# {title}", "", *(f"- **{k}:** {v}" for k, v in meta.items()), "", "---", "", ""])
+    shown = F.when(X.is_blank(F.col(output)), "").otherwise(F.col(output))
+    parts = F.array_sort(F.collect_list(F.struct(n, shown.alias("o"))))
+    text = F.array_join(F.transform(parts, lambda p: F.concat(p["o"], F.lit("\n"))), "\n")
+    return units.groupBy(*by).agg(F.concat(F.lit(head), text).alias("body"))
+
+
 def spans_json(df: DataFrame, file: str, spans: str, usable: Column) -> DataFrame:
     """``payload``: ``{"file", "usable", "spans": [[start, end, label], ...]}`` of each row."""
     items = F.transform(spans, lambda s: F.concat(F.lit("["), s["start"].cast("string"), F.lit(","), s["end"].cast("string"), F.lit(',"'), s["label"], F.lit('"]')))
