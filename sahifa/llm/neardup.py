@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sahifa.llm.samelook import COPIES_EXPANDED
 from sahifa.llm.words import _ALNUM, joined, raw_words
 from sahifa.operators.rowmap import map_rows
 from sahifa.session import materialise
@@ -35,7 +36,6 @@ from sahifa.session import materialise
 MANTISSA = 10
 SKETCH_BITS = 116  # packed low register bits beside a row's length
 LEAST_WORDS = 15
-COPIES_EXPANDED = 64
 _SLACK = 4.0  # standard errors by which an estimate may fall below the bound
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,7 +216,7 @@ class NearDuplicates:
         return sized.select("row_id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("degree", F.lit(0)).alias("links"), "copies")
 
 
-def connected_labels(links: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_labels(links: DataFrame, rounds: int = 200) -> DataFrame:
     """``(rep, label)``: least id of each node's component, by alternating large-star and small-star rounds.
 
     Each round is a grouped minimum and a join; a node's neighbours are never gathered. Ends when
@@ -235,6 +235,8 @@ def connected_labels(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     nodes = edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "rep")
     return nodes.unionByName(edges.select(F.col("v").alias("rep"), F.col("v").alias("label")).distinct().join(nodes.select("rep"), "rep", "left_anti"))
 

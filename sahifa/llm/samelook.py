@@ -9,6 +9,8 @@ from sahifa.llm.words import joined
 from sahifa.operators.rowmap import map_rows
 from sahifa.session import materialise
 
+COPIES_EXPANDED = 64
+
 
 def with_one_form(df: DataFrame, key: str, text: str, tokens: bool = False) -> DataFrame:
     """``(row_id, raw, form)``: the stored text and its one form; null texts count as empty."""
@@ -44,12 +46,27 @@ def look_keys(df: DataFrame, key: str, text: str, tokens: bool = False) -> DataF
 def same_look_pairs(df: DataFrame, key: str, text: str, tokens: bool = False) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: rows with one look that are not stored equally.
 
-    Looks held by a single row leave before the join (a map-side combined count), so the
-    self-join moves only rows that have a partner. Equal texts form no pair.
+    Rows stored equally are one class and form no pair. Looks with a single class leave before
+    the join (a map-side combined minimum and maximum), and only classes are joined. Classes of
+    up to ``COPIES_EXPANDED`` copies are expanded; of a larger class each copy is paired with
+    the other class's representative, so no link between different texts is lost and the result
+    stays in proportion to the rows. Null ids are in no pair.
     """
     keys = materialise(look_keys(df, key, text, tokens))
     shared = keys.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("look")
-    kept = keys.join(shared, "look", "left_semi")
-    left = kept.select("look", F.col("row_id").alias("id_a"), F.col("stored").alias("stored_a"))
-    right = kept.select("look", F.col("row_id").alias("id_b"), F.col("stored").alias("stored_b"))
-    return left.join(right, "look").where("id_a < id_b and stored_a <> stored_b").select("id_a", "id_b")
+    kept = keys.where("row_id is not null").join(shared, "look", "left_semi")
+    classes = kept.groupBy("look", "stored").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
+    members = materialise(kept.join(classes, ["look", "stored"]).select("row_id", "look", "rep", "copies"))
+    reps = members.where("row_id = rep").select("look", "rep")
+    links = reps.withColumnRenamed("rep", "a").join(reps.withColumnRenamed("rep", "b"), "look").where("a < b").select("a", "b")
+    return expand_links(links, members)
+
+
+def expand_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of rows from ``links`` ``(a, b)`` between representatives of classes and ``members`` ``(row_id, rep, copies)``."""
+    few = members.where((F.col("copies") <= COPIES_EXPANDED) | (F.col("row_id") == F.col("rep"))).select("row_id", "rep")
+    many = members.where((F.col("copies") > COPIES_EXPANDED) & (F.col("row_id") != F.col("rep"))).select("row_id", "rep")
+    full = links.join(few.toDF("x", "a"), "a").join(few.toDF("y", "b"), "b").select("x", "y")
+    more_a = links.join(many.toDF("x", "a"), "a").select("x", F.col("b").alias("y"))
+    more_b = links.join(many.toDF("y", "b"), "b").select(F.col("a").alias("x"), "y")
+    return full.unionByName(more_a).unionByName(more_b).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

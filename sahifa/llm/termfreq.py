@@ -27,6 +27,7 @@ from sahifa.session import shared_folder
 
 FAN_BITS = 4
 FAN_OUT = 1 << FAN_BITS
+SPLIT_BITS = 43  # of 63: those above choose the shuffle partition
 _PARTIAL = "field string, term string, hash long, n_occurrences long, n_rows long"
 _ARROW = pa.schema([("field", pa.string()), ("term", pa.string()), ("hash", pa.int64()), ("n_occurrences", pa.int64()), ("n_rows", pa.int64())])
 
@@ -102,7 +103,7 @@ def radix_totals(batches: Iterator[pa.RecordBatch], scratch: str, rows_in_memory
         if batch.num_rows:
             held.append(batch)
             count += batch.num_rows
-            if count > rows_in_memory and shift + FAN_BITS <= 60:
+            if count > rows_in_memory and shift + FAN_BITS <= SPLIT_BITS:
                 spill()
     if not files:
         if held:
@@ -140,7 +141,7 @@ def term_frequencies(df: DataFrame, rows_in_memory: int = 1_000_000, memory: str
             shutil.rmtree(scratch, ignore_errors=True)
 
     parts = partial_counts(df)
-    spread = parts.repartition(F.shiftright(F.col("hash"), 52).cast("int"))  # the highest bits; lower ones split a task's share
+    spread = parts.repartition(F.shiftright(F.col("hash"), SPLIT_BITS))  # the highest bits; lower ones split a task's share
     return spread.mapInArrow(run, "field string, term string, n_occurrences long, n_rows long")
 
 

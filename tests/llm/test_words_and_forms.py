@@ -71,6 +71,13 @@ def test_same_look_pairs_against_brute_force(spark):
     assert got == sorted(want, key=repr) and got
 
 
+def test_a_hot_look_does_not_multiply(spark):
+    df = spark.createDataFrame([(i, "قال مالك" if i < 200 else "قال​ مالك") for i in range(300)] + [(500, "قال\u00a0مالك")], "id long, source string")
+    got = {tuple(r) for r in samelook.same_look_pairs(df, "id", "source").collect()}
+    want = {(i, 200) for i in range(200)} | {(0, j) for j in range(200, 300)} | {(i, 500) for i in range(300)}
+    assert got == want
+
+
 def test_same_look_of_tokens_and_empty_table(spark):
     df = spark.createDataFrame([(1, ["قال", None, "x"]), (2, ["قال", "", "​x"]), (3, None), (4, [])], "pos_id long, tokens array<string>")
     assert rows(samelook.same_look_pairs(df, "pos_id", "tokens", True)) == [(1, 2)]
