@@ -112,7 +112,6 @@ TABLE = _compile()
 _TRANSLATE = str.maketrans(TABLE)
 _CONTEXT = re.compile("[" + "".join(sorted(set(_ALIKE_JOINED) | set(_ALIKE_ENDING))) + "]")
 _ORDINARY = re.compile("^[\\x21-\\x7e\\u0621-\\u064a\u060c\u061b\u061f\u0660-\u0669]*$")
-_BLANK_RUN = re.compile("([" + re.escape(BLANKS) + "]+)")
 
 
 def _joins(word: str, at: int) -> bool:
@@ -152,16 +151,16 @@ _WORDS = _Memo()
 
 
 def one_form(text: str | None) -> str:
-    """The one form of a text: each blank a space, none at the ends; empty for null."""
+    """The one form of a text; empty for null.
+
+    Any run of blanks, of whatever kind, is one space and none stands at the ends: a blank
+    beside another is not seen, and unseen characters between blanks leave none behind.
+    """
     if not text:
         return ""
     words = _WORDS
-    if "  " not in text and _PLAIN_BLANKS(text) is None:
-        return " ".join([words[w] for w in text.split(" ")]).strip(" ")
-    return "".join([" " * len(p) if p[0] in _BLANK_SET else words[p] for p in _BLANK_RUN.split(text) if p]).strip(" ")
-
-
-_PLAIN_BLANKS = re.compile("[" + re.escape(BLANKS.replace(" ", "")) + "]").search
+    parts = text.split() if _MORE_BLANKS not in text else text.replace(_MORE_BLANKS, " ").split()
+    return " ".join(filter(None, map(words.__getitem__, parts)))
 
 
 @lru_cache(maxsize=None)

@@ -46,7 +46,7 @@ def test_one_form(stored, form):
     assert oneform.one_form(stored) == form
 
 
-@pytest.mark.parametrize(("a", "b"), [("قَال", "قال"), ("قـال", "قال"), ("أحمد", "احمد"), ("على", "علي"), ("كتابة", "كتابه"), ("a  b", "a b")])
+@pytest.mark.parametrize(("a", "b"), [("قَال", "قال"), ("قـال", "قال"), ("أحمد", "احمد"), ("على", "علي"), ("كتابة", "كتابه")])
 def test_what_looks_different_stays_apart(a, b):
     assert oneform.one_form(a) != oneform.one_form(b)
 
