@@ -102,14 +102,16 @@ def entry_forms(full_name: str | None, kunya: str | None, laqab: str | None) ->
                     yield len(chain), form
 
 
-def in_order(parts: list[str], form: list[str], line: int) -> bool:
+def in_order(parts: list[str], form: list[str], line: int, known: tuple[tuple[str, str], ...] = ()) -> bool:
     """Whether a mention has the ``line`` first parts of ``form`` (the person, their father, ...) in that order.
 
-    A part that stands there cut or with a slip takes the place of the mention's part that no
-    other part of the form accounts for.
+    ``known`` pairs parts of the form with the mention's parts that stand for them. Any other
+    part that is not there takes the place of the mention's first part that no part of the form
+    accounts for.
     """
+    stands = dict(known)
     odd = next((i for i, p in enumerate(parts) if p not in form), -1)
-    at = [parts.index(p) if p in parts else odd for p in form[:line]]
+    at = [parts.index(stands.get(p, p)) if stands.get(p, p) in parts else odd for p in form[:line]]
     return all(a < b for a, b in zip(at, at[1:]))
 
 
@@ -141,6 +143,24 @@ def slip_keys(form: tuple[str, ...] | list[str]) -> Iterator[tuple[str, str]]:
             yield f"~{short}~{rest}", part
 
 
+def cut_slip_keys(form: tuple[str, ...], line: int) -> Iterator[tuple[str, str, str]]:
+    """Keys without one part of the line and with a slip in another: ``(key, part with the slip, part left out)``."""
+    for i in range(line if len(form) > 1 else 0):
+        for key, part in slip_keys(form[:i] + form[i + 1 :]):
+            yield "*" + key, part, form[i]
+
+
+def mention_slip_keys(parts: list[str]) -> Iterator[tuple[str, str, str]]:
+    """The same of a mention: ``(key, own part, cut part)``, the cut part "" for keys of whole parts only."""
+    cut = [p for p in parts if p.endswith(".")]
+    if not cut:
+        for key, own in slip_keys(parts):
+            yield key, own, ""
+    elif len(cut) == 1:
+        for key, own in slip_keys([p for p in parts if p != cut[0]]):
+            yield "*" + key, own, cut[0]
+
+
 def one_slip(a: str, b: str) -> bool:
     """Whether one insertion, deletion, change or swap of neighbours makes ``a`` into ``b``."""
     if a == b or abs(len(a) - len(b)) > 1:
@@ -155,7 +175,7 @@ def one_slip(a: str, b: str) -> bool:
 
 
 # Tiers of rewritings, from what says most to what says least.
-WHOLE, CUT, SLIP = 0, 2, 4
+WHOLE, CUT, SLIP, CUT_SLIP = 0, 2, 4, 6
 
 
 def register_keys(register: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,16 +197,18 @@ def register_keys(register: DataFrame) -> tuple[DataFrame, DataFrame]:
         return out
 
     def slips(ids, names, kunyas, laqabs):
-        out = [[], [], [], [], [], []]
+        out = [[] for _ in range(7)]
         for ref, name, kunya, laqab in zip(ids, names, kunyas, laqabs):
             for line, form in entry_forms(name, kunya, laqab):
-                for key, part in slip_keys(form):
-                    for column, value in zip(out, (key, part, ref, SLIP, list(form), line)):
+                plain = ((SLIP, key, part, "") for key, part in slip_keys(form))
+                cut = ((CUT_SLIP, key, part, gone) for key, part, gone in cut_slip_keys(form, line))
+                for tier, key, part, gone in (*plain, *cut):
+                    for column, value in zip(out, (key, part, gone, ref, tier, list(form), line)):
                         column.append(value)
         return out
 
     shape = "ref_id int, tier int, form array<string>, line int"
-    return map_rows(columns, whole, f"key string, {shape}"), map_rows(columns, slips, f"key string, part string, {shape}")
+    return map_rows(columns, whole, f"key string, {shape}"), map_rows(columns, slips, f"key string, part string, gone string, {shape}")
 
 
 def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
@@ -213,20 +235,23 @@ def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
     left = mentions.join(found.select("name"), "name", "left_anti").select("name", "parts")
 
     def explode(values, parts):
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         for v, p in zip(values, parts):
-            for key, part in slip_keys(p):
-                for column, value in zip(out, (v, p, key, part)):
+            for key, own, cut in mention_slip_keys(p):
+                for column, value in zip(out, (v, p, key, own, cut)):
                     column.append(value)
         return out
 
-    keys = map_rows(left, explode, "name string, parts array<string>, key string, own string")
+    keys = map_rows(left, explode, "name string, parts array<string>, key string, own string, cut string")
 
-    def check(values, parts, own, part, refs, tiers, forms, lines):
-        kept = [i for i in range(len(values)) if one_slip(own[i], part[i]) and in_order(parts[i], forms[i], lines[i])]
+    def check(values, parts, own, cut, part, gone, refs, tiers, forms, lines):
+        kept = [
+            i for i in range(len(values))
+            if one_slip(own[i], part[i]) and gone[i].startswith(cut[i][:-1]) and in_order(parts[i], forms[i], lines[i], ((part[i], own[i]), (gone[i], cut[i])))
+        ]
         return [[c[i] for i in kept] for c in (values, refs, tiers)]
 
-    near = map_rows(keys.join(slipped, "key").select("name", "parts", "own", "part", "ref_id", "tier", "form", "line"), check, "name string, ref_id int, tier int")
+    near = map_rows(keys.join(slipped, "key").select("name", "parts", "own", "cut", "part", "gone", "ref_id", "tier", "form", "line"), check, "name string, ref_id int, tier int")
     linked = found.where("fits = 1").unionByName(best_of(near).where("fits = 1"))
     return linked.select("name", "ref_id", "tier", (F.lit(1.0) / F.col("fits")).alias("score"))
 

@@ -169,6 +169,9 @@ REGISTER = [
         ("الشيخ عبد الرحمن بن القاسم", 3),
         ("م. بن أنس الأصبحي", 1),
         ("عبد الرحمن بن مهد العنبري", 2),
+        ("م. بن أنسس الأصبحي", 1),
+        ("عبد. بن مهدي العنبيري", 2),
+        ("ز. بن أنسس الأصبحي", None),
         ("عبد الرحمن بن القسام", 3),
         ("اللؤلؤي", 2),
         ("ذو الأذنين", 4),
