@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sahifa.functions import charclasses as C, marks, tokens
-from sahifa.operators.rowmap import map_rows
+from sahifa.operators.rowmap import map_rows, spread
 
 Tagger = Callable[[Sequence[str]], Sequence[str]]
 
@@ -82,7 +82,7 @@ def _rewrite(df: DataFrame, key: str, text: str, lexicon: DataFrame, flags) -> D
         return F.concat(each, F.array(tail))
 
     listed = tokens.let(items, t=tokens.tokens(whole), ok=flags(tokens.tokens(whole), whole), text=whole)
-    words = df.select(key, F.posexplode_outer(listed).alias("at", "i")).select(key, "at", "i.gap", "i.piece", F.when(F.col("i.ok"), F.regexp_replace("i.piece", C.MARK_MODEL, "")).alias("word"))
+    words = spread(df).select(key, F.posexplode_outer(listed).alias("at", "i")).select(key, "at", "i.gap", "i.piece", F.when(F.col("i.ok"), F.regexp_replace("i.piece", C.MARK_MODEL, "")).alias("word"))
     filled = words.join(lexicon.select("word", "label"), "word", "left")
     new = F.concat("gap", F.coalesce("label", "word", "piece"))
     out = filled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", new.alias("piece")))).alias("parts"))

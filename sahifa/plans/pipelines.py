@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sahifa.functions import labels as L, text as X, tokens as K
 from sahifa.operators import chain, runs, taggers
+from sahifa.operators.rowmap import spread
 
 WINDOW_CHARS, BLOCK_WORDS, POS_WORDS = 380, 220, 120
 
@@ -106,6 +107,7 @@ def rule_labels(tokens: Column, boundary: Column) -> Column:
 
 def structure_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, source, pairs, narrators)`` by the rules: segments of each unit and the chain of each ISNAD segment."""
+    df = spread(df)
     parsed = chain.parse_chains(df, key, text).select(key, "sanad_end_raw")
     rows = df.select(key, F.col(text).alias("source")).join(parsed, key)
     both = lambda x: F.zip_with(x["t"], rule_labels(x["t"], F.col("sanad_end_raw")), lambda t, c: F.named_struct(F.lit("word"), t["text"], F.lit("code"), c))
