@@ -4,6 +4,7 @@ import io
 import json
 import random
 import re
+import struct
 import zipfile
 from collections import defaultdict
 
@@ -327,6 +328,42 @@ def test_office_files(spark):
             tables.extract_units(spark, b"x", extension)
 
 
+def compound(streams):
+    """A compound file of 512-byte sectors: directory, FAT, then each stream in a chain of its own."""
+    entries, body, fat, sector = [], b"", [0xFFFFFFFE, 0xFFFFFFFD], 2
+
+    def entry(name, kind, start, size):
+        raw = name.encode("utf-16-le") + b"\0\0"
+        return raw.ljust(64, b"\0") + struct.pack("<HBB", len(raw), kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<IQ", start, size)
+
+    entries.append(entry("Root Entry", 5, 0xFFFFFFFE, 0))
+    for name, data in streams.items():
+        data = data.ljust(4096, b"\0")  # at the cutoff, so no stream is a small one
+        count = -(-len(data) // 512)
+        entries.append(entry(name, 2, sector, len(data)))
+        fat += [*range(sector + 1, sector + count), 0xFFFFFFFE]
+        body += data.ljust(count * 512, b"\0")
+        sector += count
+    directory = b"".join(entries).ljust(512, b"\0")
+    table = struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff")
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 10
+    head += struct.pack("<IIIIIIII", 1, 0, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", 1, *[0xFFFFFFFF] * 108)
+    return head + directory + table + body
+
+
+def test_legacy_word_files(spark):
+    wide, narrow = "قال مالك\rعن ".encode("utf-16-le"), "نافع\x13PAGE\x14\x15\r".encode("cp1256")
+    word = bytearray(0x400) + wide + narrow
+    pieces = struct.pack("<III", 0, len(wide) // 2, len(wide) // 2 + len(narrow)) + b"\0\0" + struct.pack("<I", 0x400) + b"\0\0" + b"\0\0" + struct.pack("<I", 2 * (0x400 + len(wide)) | 0x40000000) + b"\0\0"
+    clx = b"\x01" + struct.pack("<H", 3) + b"xyz" + b"\x02" + struct.pack("<I", len(pieces)) + pieces
+    struct.pack_into("<H", word, 10, 0x200)
+    struct.pack_into("<II", word, 0x1A2, 0, len(clx))
+    units = tables.extract_units(spark, compound({"WordDocument": bytes(word), "1Table": clx}), ".doc")
+    assert [r["source"] for r in units.orderBy("n").collect()] == ["قال مالك", "عن نافع"]
+    with pytest.raises(tables.UnsafeInput):
+        tables.extract_units(spark, compound({"WordDocument": bytes(word), "Macros": b"x"}), ".doc")
+
+
 def test_exports(spark, tmp_path):
     units = spark.createDataFrame([(2, "ب", "x"), (1, "ا", None), (3, " ", "y")], "n int, source string, output string").withColumn("doc", F.lit(1))
     assert exporters.as_text(units, ["doc"], "n", "output").first()["body"] == "\nx\ny"
