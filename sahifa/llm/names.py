@@ -230,7 +230,8 @@ def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
         kept = [i for i in range(len(values)) if in_order(parts[i], forms[i], lines[i])]
         return [[c[i] for i in kept] for c in (values, refs, tiers)]
 
-    exact = mentions.join(whole, "key").select("name", "parts", "ref_id", "tier", "form", "line")
+    # the register is small, its rewritings are not: the optimizer sees only the former, so a broadcast is ruled out
+    exact = mentions.join(whole.hint("merge"), "key").select("name", "parts", "ref_id", "tier", "form", "line")
     found = materialise(best_of(map_rows(exact, ordered, "name string, ref_id int, tier int")))
     left = mentions.join(found.select("name"), "name", "left_anti").select("name", "parts")
 
@@ -251,7 +252,7 @@ def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
         ]
         return [[c[i] for i in kept] for c in (values, refs, tiers)]
 
-    near = map_rows(keys.join(slipped, "key").select("name", "parts", "own", "cut", "part", "gone", "ref_id", "tier", "form", "line"), check, "name string, ref_id int, tier int")
+    near = map_rows(keys.join(slipped.hint("merge"), "key").select("name", "parts", "own", "cut", "part", "gone", "ref_id", "tier", "form", "line"), check, "name string, ref_id int, tier int")
     linked = found.where("fits = 1").unionByName(best_of(near).where("fits = 1"))
     return linked.select("name", "ref_id", "tier", (F.lit(1.0) / F.col("fits")).alias("score"))
 
