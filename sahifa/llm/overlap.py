@@ -9,12 +9,20 @@ keys. Selected grams are joined across splits, the seeds of a pair are chained w
 collinear, and chains are extended by alignment word by word; words that were moved are
 aligned afterwards wherever they stand. Rows with the same words are one class per split side
 before any of this, so copies never multiply in the join.
+
+Which pairs are aligned does not hang on the seeds: an exact prefix filter finds every pair that
+can reach the similarity. Of a row's numbered words in one order for all rows, rare ones first,
+two such rows share one of the first ``n - need + 1`` and two of the first ``n - need + 2``. A
+rare word is a key by itself, frequent ones are keys two by two; sizes and parity bitmaps, which
+never exceed the true difference, thin out the join. Pairs without a seed are chained along the
+words that stand once in either row.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +40,7 @@ WINDOW = 5
 LONG_GRAM = 8
 FREQUENT_SHARE = 0.002
 FREQUENT_LEAST = 128
+SINGLE_KEY_LEVEL = 8  # words of fewer than 2 ** 8 occurrences are keys of the prefix filter by themselves
 LEAST_SEEDS = 2
 SHORT_ROW = 50
 _COUNTERS = 1 << 17
@@ -104,26 +113,69 @@ def selected_grams(words: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, fre
     return row[chosen], chosen - starts[row[chosen]], rolling[chosen]
 
 
-def fingerprints(rows: DataFrame, tokens: bool, rarity: np.ndarray, frequent: float) -> DataFrame:
-    """``(row_id, side, bag, size, grams, places)`` of rows with enough words."""
+def prefix_keys(words: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and key of the prefix filter's keys, rows in order, and two words of parity bitmap a row.
+
+    Any two rows that share ``similarity`` of the longer one's words share a key. The order of
+    the words need only be the same for all rows, so hashed counts do.
+    """
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    words = words[np.lexsort((words, row))]
+    at = np.arange(len(words))
+    new = np.ones(len(words), dtype=bool)
+    new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    elements = _mix(words + nth.astype(np.uint64) * _GOLDEN)
+    bits = np.uint64(1) << (elements & np.uint64(63))
+    upper = (elements & np.uint64(64)) > 0
+    low, high = (np.bitwise_xor.reduceat(np.where(half, bits, np.uint64(0)), starts) for half in (~upper, upper))
+    level = np.maximum(rarity[_slots(words)] - 3 * nth, 0)  # a word's repetitions are rarer than the word
+    order = np.lexsort((elements, level, row))
+    elements, level, place = elements[order], level[order], at - starts[row]
+    one = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    single = np.flatnonzero((place < one[row]) & (level < SINGLE_KEY_LEVEL))
+    rows, keys = [row[single]], [elements[single]]
+    # frequent words of the prefix stand at its end; the first of two must be within `one`
+    often = np.flatnonzero((place <= one[row]) & (level >= SINGLE_KEY_LEVEL))
+    runs = np.bincount(row[often], minlength=len(sizes))
+    first = np.concatenate(([0], np.cumsum(runs)[:-1]))
+    for length in np.unique(runs[runs > 1]):
+        own = np.flatnonzero(runs == length)
+        x, y = np.triu_indices(length, 1)
+        step = max(1, 4_000_000 // len(x))
+        for part in (own[k : k + step] for k in range(0, len(own), step)):
+            base = first[part][:, None]
+            keys.append(_mix(_mix(elements[often[base + x]]) + elements[often[base + y]]).ravel())
+            rows.append(np.repeat(part, len(x)))
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], keys[order], low, high
+
+
+def fingerprints(rows: DataFrame, tokens: bool, rarity: np.ndarray, frequent: float, similarity: float) -> DataFrame:
+    """``(row_id, side, bag, size, grams, places, keys, low, high)`` of rows with enough words."""
     table = rows.sparkSession.sparkContext.broadcast(rarity)  # _COUNTERS bytes
 
     def run(ids, sides, values):
         kept, sizes, words = flat_words([joined(v) for v in values] if tokens else [v or "" for v in values])
         if not len(kept):
-            return [[], [], [], [], [], []]
+            return [[] for _ in range(9)]
         row, place, gram = selected_grams(words, sizes, table.value, frequent)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         # a class is a multiset of words: sums do not depend on their order
         sums = np.stack([np.add.reduceat(words, starts), np.add.reduceat(_mix(words), starts), sizes.astype(np.uint64)], axis=1).tobytes()
         offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(kept))))).astype(np.int32))
         bags = [sums[i : i + 24] for i in range(0, len(sums), 24)]
+        keyed, keys, low, high = prefix_keys(words, sizes, table.value, similarity)
+        key_offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(keyed, minlength=len(kept))))).astype(np.int32))
         return [
             pa.array(np.asarray(ids, dtype=np.int64)[kept]), pa.array(np.asarray(sides, dtype=np.int32)[kept]), pa.array(bags, type=pa.binary()), pa.array(sizes.astype(np.int32)),
             pa.ListArray.from_arrays(offsets, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))),
+            pa.ListArray.from_arrays(key_offsets, pa.array(keys.view(np.int64))), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)),
         ]
 
-    return map_rows(rows.select("row_id", "side", "value"), run, "row_id long, side int, bag binary, size int, grams array<long>, places array<int>")
+    return map_rows(rows.select("row_id", "side", "value"), run, "row_id long, side int, bag binary, size int, grams array<long>, places array<int>, keys array<long>, low long, high long")
 
 
 def chain_and_align(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> tuple[int, int]:
@@ -176,6 +228,12 @@ def chain_and_align(a: list[int], b: list[int], seeds: list[tuple[int, int]]) ->
     return len(used_a), len(used_a) + moved
 
 
+def single_words(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of the words that stand once in either row: seeds for a pair without a selected gram in common."""
+    once_a, once_b = ({h: i for i, h in enumerate(r) if counts[h] == 1} for r, counts in ((a, Counter(a)), (b, Counter(b))))
+    return [(i, once_b[h]) for h, i in once_a.items() if h in once_b]
+
+
 class SplitOverlap:
     """Overlaps of one table between train and the other splits.
 
@@ -189,13 +247,26 @@ class SplitOverlap:
         rows = _prepared(df, key, text)
         rarity = word_counters(rows, tokens)
         frequent = math.log2(max(FREQUENT_LEAST, FREQUENT_SHARE * df.count()))
-        printed = materialise(fingerprints(rows, tokens, rarity, frequent))
+        printed = materialise(fingerprints(rows, tokens, rarity, frequent, similarity))
         classes = printed.groupBy("side", "bag").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
         self.members = materialise(printed.select("row_id", "side", "bag").join(classes, ["side", "bag"]))
         reps = printed.join(self.members.where("row_id = rep").select("row_id"), "row_id", "left_semi")
-        pairs = self._seeded(reps)
+        pairs = materialise(self._candidates(reps).join(self._seeded(reps), ["a", "b"], "left"))
         self.links = materialise(self._aligned(pairs, rows, tokens))
 
+    def _candidates(self, reps: DataFrame) -> DataFrame:
+        """``(a, b)``: every pair of representatives that can reach the similarity, by the prefix filter."""
+
+        def keys(side: int, row: str) -> DataFrame:
+            own = reps.where(F.col("side") == side)
+            return own.select(F.col("row_id").alias(row), *(F.col(c).alias(f"{c}_{row}") for c in ("size", "low", "high")), F.explode("keys").alias("key"))
+
+        longer = F.greatest("size_a", "size_b")
+        differ = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
+        near = F.least("size_a", "size_b") >= F.lit(self.similarity) * longer - 1e-9
+        alike = differ <= F.col("size_a") + F.col("size_b") - F.lit(2 * self.similarity) * longer + 1e-6
+        return keys(1, "a").join(keys(2, "b"), "key").where(near & alike).select("a", "b").distinct()
+
     def _seeded(self, reps: DataFrame) -> DataFrame:
         """Pairs of representatives with enough shared grams, with their seeds."""
 
@@ -207,7 +278,7 @@ class SplitOverlap:
         seeds = grams(1, "a", "x", "size_a").join(grams(2, "b", "y", "size_b"), "gram").where(near)
         # a pair's seeds are bounded by the two rows' own selected grams
         found = seeds.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("seeds"), F.max(F.least("size_a", "size_b")).alias("short"))
-        return materialise(found.where((F.size("seeds") >= LEAST_SEEDS) | (F.col("short") < SHORT_ROW)).select("a", "b", "seeds"))
+        return found.where((F.size("seeds") >= LEAST_SEEDS) | (F.col("short") < SHORT_ROW)).select("a", "b", "seeds")
 
     def _aligned(self, pairs: DataFrame, rows: DataFrame, tokens: bool) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
@@ -222,7 +293,7 @@ class SplitOverlap:
         def run(a_ids, b_ids, seeds, was, wbs):
             out = [[] for _ in range(6)]
             for a, b, s, wa, wb in zip(a_ids, b_ids, seeds, was, wbs):
-                chained, shared = chain_and_align(wa, wb, [(p["x"], p["y"]) for p in s])
+                chained, shared = chain_and_align(wa, wb, [(p["x"], p["y"]) for p in s] if s else single_words(wa, wb))
                 if shared >= limit * max(len(wa), len(wb)) - 1e-9:
                     for column, value in zip(out, (a, b, len(wa), len(wb), chained, shared)):
                         column.append(value)

@@ -137,6 +137,33 @@ def test_split_overlap_of_copies_and_of_nothing(spark):
     assert overlap.overlap_pairs(df.limit(0), "idx_id", "text").count() == 0
 
 
+def test_split_overlap_finds_pairs_without_a_shared_gram(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = [rng.choice(LEXICON) for _ in range(rng.choice([15, 40, 70, 120]))]
+        other = list(base)
+        for at in range(4, len(base), 5):  # every fifth word is another: no run of five
+            other[at] = rng.choice(LEXICON)
+        if k % 2:
+            rng.shuffle(other)
+        rows += [(2 * k, " ".join(base), "train"), (2 * k + 1, " ".join(other), "test")]
+    df = spark.createDataFrame(rows, "idx_id long, text string, split string")
+    want = {p for p in brute_pairs([r[1] for r in rows]) if p[0] % 2 != p[1] % 2}
+    for level in (0, 3, 127):  # all words keys two by two, some, none
+        monkeypatch.setattr(overlap, "SINGLE_KEY_LEVEL", level)
+        # every gram's words count as frequent here, as in a large input
+        monkeypatch.setattr(overlap, "FREQUENT_LEAST", 1)
+        monkeypatch.setattr(overlap, "FREQUENT_SHARE", 0.0)
+        assert len(want) >= 60 and {tuple(r) for r in overlap.overlap_pairs(df, "idx_id", "text").collect()} == want
+
+
+def test_pairs_without_seeds_are_chained():
+    a, b = [1, 2, 9, 4, 5, 6], [1, 2, 3, 4, 5, 6]
+    assert sorted(overlap.single_words(a, b)) == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
+    assert overlap.chain_and_align(a, b, overlap.single_words(a, b)) == (5, 5)
+
+
 def test_chains_are_collinear_and_moved_words_counted():
     a, b = [1, 2, 3, 4, 5, 6, 7, 8], [5, 6, 7, 8, 1, 2, 3, 4]
     chained, shared = overlap.chain_and_align(a, b, [(0, 4), (4, 0)])
