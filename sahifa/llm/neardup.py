@@ -46,9 +46,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SALTS = _mix(np.arange(1, 1025, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
-
-
 class _WordHash(dict):
     """Raw word -> 64-bit hash of the plain word, 0 for what is no word; bounded."""
 
@@ -91,18 +88,19 @@ def numbered_words(texts: list[str], least: int = LEAST_WORDS) -> tuple[np.ndarr
 
 def registers(elements: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """``count`` HyperMinHash registers of each row: leading zeros and mantissa of the least hash."""
+    salts = _mix(np.arange(1, count + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
     least = np.empty((count, len(starts)), dtype=np.uint64)
     for k in range(count):
-        least[k] = np.minimum.reduceat(elements * _SALTS[k], starts)
+        least[k] = np.minimum.reduceat(elements * salts[k], starts)
     # the exponent of a float is the number of leading zeros, its fraction the bits after them
     return ((least.astype(np.float64).view(np.uint64) >> np.uint64(52 - MANTISSA)) & np.uint64(0xFFFF)).astype(np.uint16).T
 
 
-def plan_bands(rows: int, similarity: float, recall_at_bound: float = 0.98) -> tuple[int, int]:
+def plan_bands(rows: int, similarity: float, recall_at_bound: float = 0.999) -> tuple[int, int]:
     """Registers in a band and number of bands for so many rows."""
     bound = similarity / (2 - similarity)
     width = max(4, round(math.log10(max(rows, 1))) - 1)
-    return width, math.ceil(math.log(1 - recall_at_bound) / math.log(1 - min(0.7 if similarity <= 0.82 else bound, 0.999) ** width))
+    return width, math.ceil(math.log(1 - recall_at_bound) / math.log(1 - min(bound, 0.999) ** width))
 
 
 def sketches(df: DataFrame, key: str, text: str, tokens: bool, width: int, bands: int) -> DataFrame:

@@ -96,6 +96,13 @@ def test_bands_follow_the_rows():
         assert 1 - (1 - 0.7**width) ** bands >= 0.98
 
 
+def test_recall_is_planned_at_the_lowest_jaccard():
+    for similarity in (0.7, 0.8, 0.82, 0.9):
+        for n in (10**3, 10**5, 10**6, 10**9):
+            width, bands = neardup.plan_bands(n, similarity)
+            assert 1 - (1 - (similarity / (2 - similarity)) ** width) ** bands >= 0.999
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
