@@ -41,8 +41,6 @@ LONG_GRAM = 8
 FREQUENT_SHARE = 0.002
 FREQUENT_LEAST = 128
 SINGLE_KEY_LEVEL = 8  # words of fewer than 2 ** 8 occurrences are keys of the prefix filter by themselves
-LEAST_SEEDS = 2
-SHORT_ROW = 50
 _COUNTERS = 1 << 17
 
 
@@ -268,7 +266,7 @@ class SplitOverlap:
         return keys(1, "a").join(keys(2, "b"), "key").where(near & alike).select("a", "b").distinct()
 
     def _seeded(self, reps: DataFrame) -> DataFrame:
-        """Pairs of representatives with enough shared grams, with their seeds."""
+        """Pairs of representatives with a shared gram, with all their seeds."""
 
         def grams(side: int, row: str, place: str, size: str) -> DataFrame:
             own = reps.where(F.col("side") == side)
@@ -277,8 +275,7 @@ class SplitOverlap:
         near = F.least("size_a", "size_b") >= F.lit(self.similarity) * F.greatest("size_a", "size_b") - 1e-9
         seeds = grams(1, "a", "x", "size_a").join(grams(2, "b", "y", "size_b"), "gram").where(near)
         # a pair's seeds are bounded by the two rows' own selected grams
-        found = seeds.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("seeds"), F.max(F.least("size_a", "size_b")).alias("short"))
-        return found.where((F.size("seeds") >= LEAST_SEEDS) | (F.col("short") < SHORT_ROW)).select("a", "b", "seeds")
+        return seeds.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("seeds"))
 
     def _aligned(self, pairs: DataFrame, rows: DataFrame, tokens: bool) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()

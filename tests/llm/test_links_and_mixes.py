@@ -165,6 +165,18 @@ def test_split_overlap_finds_pairs_without_a_shared_gram(spark, monkeypatch):
         assert len(want) >= 60 and {tuple(r) for r in overlap.overlap_pairs(df, "idx_id", "text").collect()} == want
 
 
+def test_a_single_seed_is_kept_and_aligned(spark):
+    words = [f"{a}{b}" for a in LEXICON for b in "تم"]
+    base, other = words[:60], words[:60]
+    for at in range(6, 60, 5):  # only the first six words in a row are left as a run of selected grams
+        other[at] = words[100 + at]
+    df = spark.createDataFrame([(1, " ".join(base), "train"), (2, " ".join(other), "test")], "idx_id long, text string, split string")
+    found = overlap.SplitOverlap(df, "idx_id", "text")
+    assert {tuple(r) for r in found.pairs().collect()} == {(1, 2)}
+    reps = df.selectExpr("idx_id as row_id", "if(split = 'train', 1, 2) as side", "60 as size", "array(7L) as grams", "array(3) as places")
+    assert [r["seeds"] for r in found._seeded(reps).collect()] == [[(3, 3)]]
+
+
 def test_pairs_without_seeds_are_chained():
     a, b = [1, 2, 9, 4, 5, 6], [1, 2, 3, 4, 5, 6]
     assert sorted(overlap.single_words(a, b)) == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
