@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sahifa.functions import charclasses as C
-from sahifa.llm.neardup import _GOLDEN, _HASH, _mix, flat_words
+from sahifa.llm.neardup import _GOLDEN, _mix, flat_words
 from sahifa.llm.samelook import expand_links
-from sahifa.llm.words import joined, raw_words
+from sahifa.llm.words import joined
 from sahifa.operators.rowmap import map_rows
 from sahifa.session import materialise
 
@@ -41,6 +41,7 @@ LONG_GRAM = 8
 FREQUENT_SHARE = 0.002
 FREQUENT_LEAST = 128
 SINGLE_KEY_LEVEL = 8  # words of fewer than 2 ** 8 occurrences are keys of the prefix filter by themselves
+BITMAPS = 4  # words of 64 bits
 _COUNTERS = 1 << 17
 
 
@@ -55,10 +56,6 @@ def split_name(split: Column) -> Column:
     return F.when(name == "validation", "dev").otherwise(name)
 
 
-def _hashes(text: str) -> list[int]:
-    return [h for h in map(_HASH.__getitem__, raw_words(text)) if h]
-
-
 def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("row_id"), side_of(F.col("split")).alias("side"), F.col(text).alias("value")).where("side is not null and row_id is not null")
 
@@ -111,24 +108,31 @@ def selected_grams(words: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, fre
     return row[chosen], chosen - starts[row[chosen]], rolling[chosen]
 
 
-def prefix_keys(words: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and key of the prefix filter's keys, rows in order, and two words of parity bitmap a row.
+def numbered(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of many rows sorted row by row, and their elements: the second of a word is another than the first."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    words = words[np.lexsort((words, row))]
+    at = np.arange(len(words))
+    new = np.ones(len(words), dtype=bool)
+    new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    return words, _mix(words + nth.astype(np.uint64) * _GOLDEN)
+
+
+def prefix_keys(words: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and key of the prefix filter's keys, rows in order, and ``BITMAPS`` words of parity bitmap a row.
 
     Any two rows that share ``similarity`` of the longer one's words share a key. The order of
     the words need only be the same for all rows, so hashed counts do.
     """
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     row = np.repeat(np.arange(len(sizes)), sizes)
-    words = words[np.lexsort((words, row))]
+    words, elements = numbered(words, sizes)
     at = np.arange(len(words))
-    new = np.ones(len(words), dtype=bool)
-    new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
-    nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    elements = _mix(words + nth.astype(np.uint64) * _GOLDEN)
     bits = np.uint64(1) << (elements & np.uint64(63))
-    upper = (elements & np.uint64(64)) > 0
-    low, high = (np.bitwise_xor.reduceat(np.where(half, bits, np.uint64(0)), starts) for half in (~upper, upper))
-    level = np.maximum(rarity[_slots(words)] - 3 * nth, 0)  # a word's repetitions are rarer than the word
+    part = (elements >> np.uint64(6)) % np.uint64(BITMAPS)
+    bitmaps = np.stack([np.bitwise_xor.reduceat(np.where(part == k, bits, np.uint64(0)), starts) for k in range(BITMAPS)])
+    level = rarity[_slots(words)]
     order = np.lexsort((elements, level, row))
     elements, level, place = elements[order], level[order], at - starts[row]
     one = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
@@ -148,32 +152,33 @@ def prefix_keys(words: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, simila
             rows.append(np.repeat(part, len(x)))
     rows, keys = np.concatenate(rows), np.concatenate(keys)
     order = np.argsort(rows, kind="stable")
-    return rows[order], keys[order], low, high
+    return rows[order], keys[order], bitmaps
 
 
 def fingerprints(rows: DataFrame, tokens: bool, rarity: np.ndarray, frequent: float, similarity: float) -> DataFrame:
-    """``(row_id, side, bag, size, grams, places, keys, low, high)`` of rows with enough words."""
+    """``(row_id, side, bag, size, grams, places, keys, bits_0, ...)`` of rows with enough words."""
     table = rows.sparkSession.sparkContext.broadcast(rarity)  # _COUNTERS bytes
 
     def run(ids, sides, values):
         kept, sizes, words = flat_words([joined(v) for v in values] if tokens else [v or "" for v in values])
         if not len(kept):
-            return [[] for _ in range(9)]
+            return [[] for _ in range(7 + BITMAPS)]
         row, place, gram = selected_grams(words, sizes, table.value, frequent)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         # a class is a multiset of words: sums do not depend on their order
         sums = np.stack([np.add.reduceat(words, starts), np.add.reduceat(_mix(words), starts), sizes.astype(np.uint64)], axis=1).tobytes()
         offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(kept))))).astype(np.int32))
         bags = [sums[i : i + 24] for i in range(0, len(sums), 24)]
-        keyed, keys, low, high = prefix_keys(words, sizes, table.value, similarity)
+        keyed, keys, bitmaps = prefix_keys(words, sizes, table.value, similarity)
         key_offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(keyed, minlength=len(kept))))).astype(np.int32))
         return [
             pa.array(np.asarray(ids, dtype=np.int64)[kept]), pa.array(np.asarray(sides, dtype=np.int32)[kept]), pa.array(bags, type=pa.binary()), pa.array(sizes.astype(np.int32)),
             pa.ListArray.from_arrays(offsets, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))),
-            pa.ListArray.from_arrays(key_offsets, pa.array(keys.view(np.int64))), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)),
+            pa.ListArray.from_arrays(key_offsets, pa.array(keys.view(np.int64))), *(pa.array(b.view(np.int64)) for b in bitmaps),
         ]
 
-    return map_rows(rows.select("row_id", "side", "value"), run, "row_id long, side int, bag binary, size int, grams array<long>, places array<int>, keys array<long>, low long, high long")
+    bits = ", ".join(f"bits_{k} long" for k in range(BITMAPS))
+    return map_rows(rows.select("row_id", "side", "value"), run, f"row_id long, side int, bag binary, size int, grams array<long>, places array<int>, keys array<long>, {bits}")
 
 
 def chain_and_align(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> tuple[int, int]:
@@ -249,18 +254,19 @@ class SplitOverlap:
         classes = printed.groupBy("side", "bag").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
         self.members = materialise(printed.select("row_id", "side", "bag").join(classes, ["side", "bag"]))
         reps = printed.join(self.members.where("row_id = rep").select("row_id"), "row_id", "left_semi")
-        pairs = materialise(self._candidates(reps).join(self._seeded(reps), ["a", "b"], "left"))
-        self.links = materialise(self._aligned(pairs, rows, tokens))
+        pairs = materialise(self._candidates(reps))
+        self.links = materialise(self._aligned(pairs, self._seeded(reps), rows, tokens))
 
     def _candidates(self, reps: DataFrame) -> DataFrame:
         """``(a, b)``: every pair of representatives that can reach the similarity, by the prefix filter."""
+        bits = [f"bits_{k}" for k in range(BITMAPS)]
 
         def keys(side: int, row: str) -> DataFrame:
             own = reps.where(F.col("side") == side)
-            return own.select(F.col("row_id").alias(row), *(F.col(c).alias(f"{c}_{row}") for c in ("size", "low", "high")), F.explode("keys").alias("key"))
+            return own.select(F.col("row_id").alias(row), *(F.col(c).alias(f"{c}_{row}") for c in ("size", *bits)), F.explode("keys").alias("key"))
 
         longer = F.greatest("size_a", "size_b")
-        differ = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
+        differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
         near = F.least("size_a", "size_b") >= F.lit(self.similarity) * longer - 1e-9
         alike = differ <= F.col("size_a") + F.col("size_b") - F.lit(2 * self.similarity) * longer + 1e-6
         return keys(1, "a").join(keys(2, "b"), "key").where(near & alike).select("a", "b").distinct()
@@ -277,14 +283,22 @@ class SplitOverlap:
         # a pair's seeds are bounded by the two rows' own selected grams
         return seeds.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("seeds"))
 
-    def _aligned(self, pairs: DataFrame, rows: DataFrame, tokens: bool) -> DataFrame:
+    def _aligned(self, pairs: DataFrame, seeds: DataFrame, rows: DataFrame, tokens: bool) -> DataFrame:
+        """The pairs that reach the similarity by their exact share of words, aligned."""
         needed = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
 
         def hashes(ids, values):
-            return [ids, [np.array(_hashes(joined(v) if tokens else v or ""), dtype=np.uint64).view(np.int64) for v in values]]
-
-        words = materialise(map_rows(rows.join(needed, "row_id", "left_semi").select("row_id", "value"), hashes, "row_id long, words array<long>"))
-        both = pairs.join(words.select(F.col("row_id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("row_id").alias("b"), F.col("words").alias("wb")), "b")
+            kept, sizes, flat = flat_words([joined(v) for v in values] if tokens else [v or "" for v in values])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            elements = numbered(flat, sizes)[1] if len(kept) else flat
+            return [[ids[i] for i in kept], *(pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in (flat, elements))]
+
+        words = materialise(map_rows(rows.join(needed, "row_id", "left_semi").select("row_id", "value"), hashes, "row_id long, words array<long>, elements array<long>"))
+        a, b = (words.select(F.col("row_id").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
+        enough = F.size(F.array_intersect("ea", "eb")) >= F.lit(self.similarity) * F.greatest(F.size("ea"), F.size("eb")) - 1e-9
+        alike = materialise(pairs.join(a, "a").join(b, "b").where(enough).select("a", "b"))
+        a, b = (words.select(F.col("row_id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
+        both = alike.join(seeds, ["a", "b"], "left").join(a, "a").join(b, "b")
         limit = self.similarity
 
         def run(a_ids, b_ids, seeds, was, wbs):
