@@ -9,7 +9,8 @@ HyperMinHash registers: for each salted hash the least value over a row's elemen
 its number of leading zeros and the top ``MANTISSA`` bits after them, 16 bits in all. (Rows
 are short, so the buckets are salted passes; buckets of one pass would mostly stay empty.)
 
-1. rows with equal elements form one copy class; only one row of a class goes on;
+1. rows with equal elements form one class, in it rows with the same stored text are copies;
+   only one row of a class goes on;
 2. bands of registers are the join keys; rows of a band whose packed low register bits, with
    chance agreement taken out, estimate a Jaccard similarity well below the bound leave inside
    the join, before anything is written;
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sahifa.llm.samelook import COPIES_EXPANDED
-from sahifa.llm.words import _ALNUM, joined, raw_words
+from sahifa.llm.words import _ALNUM, joined, raw_words, stored_key
 from sahifa.operators.rowmap import map_rows
 from sahifa.session import materialise
 
@@ -104,14 +105,14 @@ def plan_bands(rows: int, similarity: float, recall_at_bound: float = 0.999) ->
 
 
 def sketches(df: DataFrame, key: str, text: str, tokens: bool, width: int, bands: int) -> DataFrame:
-    """``(row_id, bag, size, bands, low_a, low_b)`` of the rows with enough words."""
+    """``(row_id, bag, stored, size, bands, low_a, low_b)`` of the rows with enough words."""
     count = max(SKETCH_BITS, width * bands)
 
     def run(ids, values):
         texts = [joined(v) for v in values] if tokens else [v or "" for v in values]
         kept, starts, elements = numbered_words(texts)
         if not len(kept):
-            return [[], [], [], [], [], []]
+            return [[], [], [], [], [], [], []]
         sizes = np.diff(np.append(starts, len(elements)))
         regs = registers(elements, starts, count)
         keys = np.empty((len(kept), bands), dtype=np.uint64)
@@ -128,11 +129,11 @@ def sketches(df: DataFrame, key: str, text: str, tokens: bool, width: int, bands
         ids = np.asarray(ids, dtype=np.int64)[kept]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(kept) + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
         bags = [bag[i : i + 16] for i in range(0, len(bag), 16)]
-        return [pa.array(ids), pa.array(bags, type=pa.binary()), pa.array(sizes.astype(np.int32)), lists, pa.array(low_a.view(np.int64)), pa.array(low_b.view(np.int64))]
+        return [pa.array(ids), pa.array(bags, type=pa.binary()), pa.array([stored_key(texts[i]) for i in kept], type=pa.binary()), pa.array(sizes.astype(np.int32)), lists, pa.array(low_a.view(np.int64)), pa.array(low_b.view(np.int64))]
 
     return map_rows(
         df.select(F.col(key).cast("long").alias("row_id"), text).where("row_id is not null"), run,
-        "row_id long, bag binary, size int, bands array<long>, low_a long, low_b long",
+        "row_id long, bag binary, stored binary, size int, bands array<long>, low_a long, low_b long",
     )
 
 
@@ -145,9 +146,9 @@ def _least_agreeing(similarity: float) -> int:
 
 def class_candidates(reps: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)``: pairs of class representatives of a band whose estimated similarity reaches the bound."""
-    rows = reps.select("rep", "size", "low_a", "low_b", F.explode("bands").alias("band"))
-    left = rows.select("band", F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("low_a").alias("la"), F.col("low_b").alias("lb"))
-    right = rows.select("band", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("low_a").alias("ra"), F.col("low_b").alias("rb"))
+    rows = reps.select("head", "size", "low_a", "low_b", F.explode("bands").alias("band"))
+    left = rows.select("band", F.col("head").alias("a"), F.col("size").alias("size_a"), F.col("low_a").alias("la"), F.col("low_b").alias("lb"))
+    right = rows.select("band", F.col("head").alias("b"), F.col("size").alias("size_b"), F.col("low_a").alias("ra"), F.col("low_b").alias("rb"))
     differ = F.bit_count(F.col("la").bitwiseXOR(F.col("ra"))) + F.bit_count(F.col("lb").bitwiseXOR(F.col("rb")))
     near = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & (differ <= SKETCH_BITS - _least_agreeing(similarity))
     return left.join(right, "band").where(near).select("a", "b").distinct()
@@ -174,8 +175,9 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, tokens: bool,
 class NearDuplicates:
     """Copy classes and verified links of one table.
 
-    ``members``: ``(row_id, rep, copies)`` of every row with enough words; ``links``: pairs of
-    representatives of different classes. Null and short texts are in neither; ties and repeated
+    ``members``: ``(row_id, head, rep, copies)`` of every row with enough words: the least row with
+    the same words, the least with the same stored text and the number of the latter's copies;
+    ``links``: pairs of heads. Null and short texts are in neither; ties and repeated
     rows share a class; other columns of the input are ignored. Ids are taken as unique.
     """
 
@@ -183,23 +185,25 @@ class NearDuplicates:
         self.df, self.key, self.text, self.tokens, self.similarity = df, key, text, tokens, similarity
         width, bands = plan_bands(df.count(), similarity)
         sketched = materialise(sketches(df, key, text, tokens, width, bands))
-        classes = sketched.groupBy("bag").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
-        self.members = materialise(sketched.select("row_id", "bag").join(classes, "bag").select("row_id", "rep", "copies"))
-        reps = sketched.join(self.members.where("row_id = rep").select("row_id"), "row_id", "left_semi").withColumnRenamed("row_id", "rep")
+        classes = sketched.groupBy("bag", "stored").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
+        heads = classes.groupBy("bag").agg(F.min("rep").alias("head"))
+        self.members = materialise(sketched.select("row_id", "bag", "stored").join(classes, ["bag", "stored"]).join(heads, "bag").select("row_id", "head", "rep", "copies"))
+        reps = sketched.join(self.members.where("row_id = head").select("row_id"), "row_id", "left_semi").withColumnRenamed("row_id", "head")
         candidates = materialise(class_candidates(reps, similarity))
         self.links = materialise(verified(candidates, df, key, text, tokens, similarity))
 
     def pairs(self) -> DataFrame:
         """``(id_a, id_b)``: all pairs of alike rows.
 
-        Classes of up to ``COPIES_EXPANDED`` copies are expanded. A larger one is given by its
-        representative: each copy is paired with it, and it alone is paired with other classes,
-        so the size of the result stays in proportion to the rows and no link is lost.
+        Different stored texts are always paired, by their representatives. Up to
+        ``COPIES_EXPANDED`` copies of one stored text are expanded; more are given by their
+        representative: each copy is paired with it, and it alone is paired with other texts.
+        ``groups`` has each row's representative, from which all other pairs follow.
         """
         speakers = self.members.where((F.col("copies") <= COPIES_EXPANDED) | (F.col("row_id") == F.col("rep"))).select("row_id", "rep")
         a = speakers.select(F.col("rep").alias("a"), F.col("row_id").alias("x"))
         b = speakers.select(F.col("rep").alias("b"), F.col("row_id").alias("y"))
-        across = self.links.join(a, "a").join(b, "b").select("x", "y")
+        across = form_links(self.links, self.members, within=True).join(a, "a").join(b, "b").select("x", "y")
         several = self.members.where("copies > 1")
         few = several.where(F.col("copies") <= COPIES_EXPANDED).select("rep", "row_id")
         within = few.select("rep", F.col("row_id").alias("x")).join(few.select("rep", F.col("row_id").alias("y")), "rep").where("x < y").select("x", "y")
@@ -207,11 +211,24 @@ class NearDuplicates:
         return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
-        """``(row_id, group_id, links)``: one row per row with enough words, with its connected group and its number of links."""
+        """``(row_id, group_id, links, copies, rep)``: one row per row with enough words.
+
+        Its connected group, the number of links of its class of equal words, and the number and
+        representative of the rows with its stored text.
+        """
         labels = connected_labels(self.links)
-        degree = self.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        sized = self.members.join(labels, "rep", "left").join(degree, "rep", "left")
-        return sized.select("row_id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("degree", F.lit(0)).alias("links"), "copies")
+        degree = self.links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("degree"))
+        sized = self.members.join(labels.withColumnRenamed("rep", "head"), "head", "left").join(degree, "head", "left")
+        return sized.select("row_id", F.coalesce("label", "head").alias("group_id"), F.coalesce("degree", F.lit(0)).alias("links"), "copies", "rep")
+
+
+def form_links(links: DataFrame, members: DataFrame, within: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of representatives of stored texts from ``links`` between heads; ``within``: those under one head as well."""
+    forms = members.where("row_id = rep").select("head", "rep")
+    across = links.select("a", "b").join(forms.toDF("a", "x"), "a").join(forms.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if not within:
+        return across
+    return across.unionByName(forms.toDF("head", "a").join(forms.toDF("head", "b"), "head").where("a < b").select("a", "b"))
 
 
 def connected_labels(links: DataFrame, rounds: int = 200) -> DataFrame:

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sahifa.functions import charclasses as C
-from sahifa.llm.neardup import _GOLDEN, _mix, flat_words
+from sahifa.llm.neardup import _GOLDEN, _mix, flat_words, form_links
 from sahifa.llm.samelook import expand_links
-from sahifa.llm.words import joined
+from sahifa.llm.words import joined, stored_key
 from sahifa.operators.rowmap import map_rows
 from sahifa.session import materialise
 
@@ -156,13 +156,14 @@ def prefix_keys(words: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, simila
 
 
 def fingerprints(rows: DataFrame, tokens: bool, rarity: np.ndarray, frequent: float, similarity: float) -> DataFrame:
-    """``(row_id, side, bag, size, grams, places, keys, bits_0, ...)`` of rows with enough words."""
+    """``(row_id, side, bag, stored, size, grams, places, keys, bits_0, ...)`` of rows with enough words."""
     table = rows.sparkSession.sparkContext.broadcast(rarity)  # _COUNTERS bytes
 
     def run(ids, sides, values):
-        kept, sizes, words = flat_words([joined(v) for v in values] if tokens else [v or "" for v in values])
+        texts = [joined(v) for v in values] if tokens else [v or "" for v in values]
+        kept, sizes, words = flat_words(texts)
         if not len(kept):
-            return [[] for _ in range(7 + BITMAPS)]
+            return [[] for _ in range(8 + BITMAPS)]
         row, place, gram = selected_grams(words, sizes, table.value, frequent)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         # a class is a multiset of words: sums do not depend on their order
@@ -172,13 +173,13 @@ def fingerprints(rows: DataFrame, tokens: bool, rarity: np.ndarray, frequent: fl
         keyed, keys, bitmaps = prefix_keys(words, sizes, table.value, similarity)
         key_offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(keyed, minlength=len(kept))))).astype(np.int32))
         return [
-            pa.array(np.asarray(ids, dtype=np.int64)[kept]), pa.array(np.asarray(sides, dtype=np.int32)[kept]), pa.array(bags, type=pa.binary()), pa.array(sizes.astype(np.int32)),
+            pa.array(np.asarray(ids, dtype=np.int64)[kept]), pa.array(np.asarray(sides, dtype=np.int32)[kept]), pa.array(bags, type=pa.binary()), pa.array([stored_key(texts[i]) for i in kept], type=pa.binary()), pa.array(sizes.astype(np.int32)),
             pa.ListArray.from_arrays(offsets, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))),
             pa.ListArray.from_arrays(key_offsets, pa.array(keys.view(np.int64))), *(pa.array(b.view(np.int64)) for b in bitmaps),
         ]
 
     bits = ", ".join(f"bits_{k} long" for k in range(BITMAPS))
-    return map_rows(rows.select("row_id", "side", "value"), run, f"row_id long, side int, bag binary, size int, grams array<long>, places array<int>, keys array<long>, {bits}")
+    return map_rows(rows.select("row_id", "side", "value"), run, f"row_id long, side int, bag binary, stored binary, size int, grams array<long>, places array<int>, keys array<long>, {bits}")
 
 
 def chain_and_align(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> tuple[int, int]:
@@ -240,8 +241,9 @@ def single_words(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 class SplitOverlap:
     """Overlaps of one table between train and the other splits.
 
-    ``members``: ``(row_id, side, bag, rep, copies)``, one class per side and multiset of words;
-    ``links``: ``(a, b, size_a, size_b, chained, shared)`` between class representatives, ``a``
+    ``members``: ``(row_id, side, head, rep, copies)``, the least row of the side with the same
+    words, the least with the same stored text and the number of the latter's copies;
+    ``links``: ``(a, b, size_a, size_b, chained, shared)`` between heads, ``a``
     in train. Rows without a split, null texts and rows of fewer than 15 words are in neither.
     """
 
@@ -251,9 +253,10 @@ class SplitOverlap:
         rarity = word_counters(rows, tokens)
         frequent = math.log2(max(FREQUENT_LEAST, FREQUENT_SHARE * df.count()))
         printed = materialise(fingerprints(rows, tokens, rarity, frequent, similarity))
-        classes = printed.groupBy("side", "bag").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
-        self.members = materialise(printed.select("row_id", "side", "bag").join(classes, ["side", "bag"]))
-        reps = printed.join(self.members.where("row_id = rep").select("row_id"), "row_id", "left_semi")
+        classes = printed.groupBy("side", "bag", "stored").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
+        heads = classes.groupBy("side", "bag").agg(F.min("rep").alias("head"))
+        self.members = materialise(printed.select("row_id", "side", "bag", "stored").join(classes, ["side", "bag", "stored"]).join(heads, ["side", "bag"]).select("row_id", "side", "head", "rep", "copies"))
+        reps = printed.join(self.members.where("row_id = head").select("row_id"), "row_id", "left_semi")
         pairs = materialise(self._candidates(reps))
         self.links = materialise(self._aligned(pairs, self._seeded(reps), rows, tokens))
 
@@ -315,15 +318,16 @@ class SplitOverlap:
     def pairs(self) -> DataFrame:
         """``(id_a, id_b)``, ``id_a < id_b``: rows of train with rows of dev or test.
 
-        Classes of up to ``COPIES_EXPANDED`` copies are expanded; of a larger class each copy is
-        paired with the other side's representative, and the representative with all of it.
+        Different stored texts are always paired. Up to ``COPIES_EXPANDED`` copies of one stored
+        text are expanded; of more, each copy is paired with the other side's representative, and
+        the representative with all of it. ``members`` tells the rest.
         """
-        return expand_links(self.links.select("a", "b"), self.members)
+        return expand_links(form_links(self.links, self.members, within=False), self.members)
 
     def coverage(self, df: DataFrame, key: str) -> DataFrame:
         """``(split, collection, rows, overlapping, chained_share)`` per evaluation split and collection; no pair is expanded."""
         best = self.links.groupBy("b").agg(F.max(F.col("chained") / F.greatest("size_a", "size_b")).alias("chained"))
-        hit = self.members.where("side = 2").join(best.withColumnRenamed("b", "rep"), "rep").select("row_id", "chained")
+        hit = self.members.where("side = 2").join(best.withColumnRenamed("b", "head"), "head").select("row_id", "chained")
         rows = df.select(F.col(key).cast("long").alias("row_id"), split_name(F.col("split")).alias("split"), "collection").where("split in ('dev', 'test')")
         return rows.join(hit, "row_id", "left").groupBy("split", "collection").agg(F.count("*").alias("rows"), F.count("chained").alias("overlapping"), F.round(F.avg("chained"), 6).alias("chained_share"))
 
@@ -334,3 +338,8 @@ def overlap_pairs(df: DataFrame, key: str, text: str, tokens: bool = False, simi
 
 def overlap_report(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
     return SplitOverlap(df, key, text, tokens, similarity).coverage(df, key)
+
+
+def overlap_members(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
+    """``(row_id, head, rep, copies)`` of the compared rows: what the pairs of large groups of copies follow from."""
+    return SplitOverlap(df, key, text, tokens, similarity).members.select("row_id", "head", "rep", "copies")

@@ -56,6 +56,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, overlap.overlap_pairs, "pos", "indexing")
 
 
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, overlap.overlap_members, "pos", "indexing")
+
+
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, overlap.overlap_report, "pos", "indexing")
 
@@ -93,7 +97,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(read_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_report, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
+_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_members, p5_report, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from sahifa.functions import charclasses as C
@@ -63,6 +64,11 @@ def terms(text: str) -> list[str]:
     return [w for w in [memo[x] for x in raw_words(text)] if w]
 
 
+def stored_key(text: str) -> bytes:
+    """128-bit key of the stored text."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def joined(tokens: list[str | None] | None) -> str:
     """Tokens joined by one space, null as empty."""
     return " ".join([t or "" for t in tokens]) if tokens else ""

@@ -83,6 +83,19 @@ def test_a_hot_group_of_copies_does_not_multiply(spark):
     assert [tuple(r) for r in groups] == [(0, 402)]
 
 
+def test_many_texts_of_the_same_words_are_all_paired(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample(LEXICON[:20], 20)) for _ in range(70)] + [" ".join([*LEXICON[:19], "اخر"])] * 2
+    df = spark.createDataFrame([(i, t, "train" if i % 2 else "test") for i, t in enumerate(texts)], "id long, text string, split string")
+    want = set(brute_pairs(texts))
+    assert len(want) == 72 * 71 // 2
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df, "id", "text").collect()} == want
+    assert {r["row_id"]: r["rep"] for r in neardup.near_duplicate_groups(df, "id", "text").collect()} == {i: min(i, 70) for i in range(72)}
+    df = spark.createDataFrame([(i, t, "train" if i < 70 else "test") for i, t in enumerate(texts[:70] + texts[:70][::-1])], "id long, text string, split string")
+    found = overlap.SplitOverlap(df, "id", "text")
+    assert {tuple(r) for r in found.pairs().collect()} == {(i, j) for i in range(70) for j in range(70, 140)}
+
+
 def test_empty_near_duplicates(spark):
     df = spark.createDataFrame([], "id long, source string")
     assert neardup.near_duplicate_pairs(df, "id", "source").count() == 0
