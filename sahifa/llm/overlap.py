@@ -324,12 +324,30 @@ class SplitOverlap:
         """
         return expand_links(form_links(self.links, self.members, within=False), self.members)
 
+    def records(self, df: DataFrame, key: str) -> DataFrame:
+        """``(row_id, split, collection, partners, chained_share, shared_share)`` of every row with a split.
+
+        ``partners`` counts the rows of the other side, each copy; the shares are those of the
+        best partner, null without one. No pair is expanded.
+        """
+        sizes = self.members.groupBy("head").agg(F.count("*").alias("n"))
+        longer = F.greatest("size_a", "size_b")
+
+        def of(own: str, other: str) -> DataFrame:
+            met = self.links.join(sizes.withColumnRenamed("head", other), other)
+            return met.groupBy(F.col(own).alias("head")).agg(F.sum("n").alias("partners"), F.max(F.col("chained") / longer).alias("chained_share"), F.max(F.col("shared") / longer).alias("shared_share"))
+
+        hit = self.members.select("row_id", "head").join(of("a", "b").unionByName(of("b", "a")), "head").drop("head")
+        rows = df.where(side_of(F.col("split")).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("row_id"), split_name(F.col("split")).alias("split"), "collection")
+        return rows.join(hit, "row_id", "left").withColumn("partners", F.coalesce("partners", F.lit(0)))
+
     def coverage(self, df: DataFrame, key: str) -> DataFrame:
-        """``(split, collection, rows, overlapping, chained_share)`` per evaluation split and collection; no pair is expanded."""
-        best = self.links.groupBy("b").agg(F.max(F.col("chained") / F.greatest("size_a", "size_b")).alias("chained"))
-        hit = self.members.where("side = 2").join(best.withColumnRenamed("b", "head"), "head").select("row_id", "chained")
-        rows = df.select(F.col(key).cast("long").alias("row_id"), split_name(F.col("split")).alias("split"), "collection").where("split in ('dev', 'test')")
-        return rows.join(hit, "row_id", "left").groupBy("split", "collection").agg(F.count("*").alias("rows"), F.count("chained").alias("overlapping"), F.round(F.avg("chained"), 6).alias("chained_share"))
+        """``(split, collection, rows, overlapping, chained_share, pairs)`` per evaluation split and collection.
+
+        ``pairs`` counts each pair of rows, copies included; no pair is expanded.
+        """
+        rows = self.records(df, key).where("split in ('dev', 'test')")
+        return rows.groupBy("split", "collection").agg(F.count("*").alias("rows"), F.count("chained_share").alias("overlapping"), F.round(F.avg("chained_share"), 6).alias("chained_share"), F.sum("partners").alias("pairs"))
 
 
 def overlap_pairs(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
@@ -343,3 +361,7 @@ def overlap_report(df: DataFrame, key: str, text: str, tokens: bool = False, sim
 def overlap_members(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
     """``(row_id, head, rep, copies)`` of the compared rows: what the pairs of large groups of copies follow from."""
     return SplitOverlap(df, key, text, tokens, similarity).members.select("row_id", "head", "rep", "copies")
+
+
+def overlap_records(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
+    return SplitOverlap(df, key, text, tokens, similarity).records(df, key)

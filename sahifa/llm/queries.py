@@ -64,6 +64,10 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, overlap.overlap_report, "pos", "indexing")
 
 
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, overlap.overlap_records, "pos", "indexing")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = termfreq.marked_terms(read_table(spark, sf_dir, "pos"))
     return marked.where("mark is not null").select("field", "term", "mark")
@@ -97,7 +101,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(read_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_members, p5_report, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
+_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_members, p5_report, p5_records, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

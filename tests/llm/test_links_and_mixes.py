@@ -196,6 +196,16 @@ def test_pairs_without_seeds_are_chained():
     assert overlap.chain_and_align(a, b, overlap.single_words(a, b)) == (5, 5)
 
 
+def test_overlap_counts_pairs_and_partners(spark):
+    text, near = " ".join(LEXICON[:20]), " ".join([*LEXICON[:19], "اخر"])
+    rows = [(i, text, "train", "a") for i in range(100)] + [(100, near, "train", "b"), (101, text, "dev", "c"), (102, text, "dev", "c"), (103, near, "Test", "c"), (104, "قصير", "test", "c")]
+    df = spark.createDataFrame(rows, "idx_id long, text string, split string, collection string")
+    found = overlap.SplitOverlap(df, "idx_id", "text")
+    assert {tuple(r) for r in found.coverage(df, "idx_id").select("split", "collection", "rows", "overlapping", "pairs").collect()} == {("dev", "c", 2, 2, 202), ("test", "c", 2, 1, 101)}
+    records = {r["row_id"]: (r["partners"], r["shared_share"]) for r in found.records(df, "idx_id").collect()}
+    assert records == {i: (3, 1.0) for i in range(101)} | {101: (101, 1.0), 102: (101, 1.0), 103: (101, 1.0), 104: (0, None)}
+
+
 def test_chains_are_collinear_and_moved_words_counted():
     a, b = [1, 2, 3, 4, 5, 6, 7, 8], [5, 6, 7, 8, 1, 2, 3, 4]
     chained, shared = overlap.chain_and_align(a, b, [(0, 4), (4, 0)])
