@@ -1,12 +1,17 @@
 """One stored form for all texts that look the same (problem 2).
 
-A longest-match transducer over grapheme clusters. A cluster is a base character with the
-marks and unseen characters after it; each is rewritten by one precomputed table that holds
-widths, presentation forms, accents, blanks and look-alike letters. Some letters look like
-another one only where they join the next cluster (or only where they do not), so the table
-has two columns, and the transducer carries one cluster of look-ahead. The table is built
-from rules when the module is loaded and is checked there: two rules may not give one key
-different outputs, and every output must be a fixed point of the table.
+A longest-match transducer over grapheme clusters. A cluster is a starter with the marks and
+unseen characters after it. One table, compiled from rules when the module is loaded, holds all
+rewritings: single characters (widths, presentation forms, blanks, unseen characters,
+look-alike letters, letters that carry their accent) and clusters of several characters (a
+starter with its accents in canonical order, conjoining letters). Keys of several characters
+form a trie whose nodes are starters; the walk from a cluster's starter takes the longest key
+there is, passing over marks that belong to no key. Some letters look like another one only
+where they join the next cluster (or only where they do not), so the transducer carries one
+cluster of look-ahead.
+
+The table is checked when it is compiled: two rules may not give one key different outputs, and
+every output must be a fixed point of the whole transducer and in NFC.
 
 The text is walked word by word and rewritten words are kept in a bounded memo, since a
 collection repeats its words far more often than it has new ones.
@@ -15,9 +20,9 @@ collection repeats its words far more often than it has new ones.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -45,15 +50,19 @@ _ALIKE_ENDING = {"ی": "ى", "ہ": "ه"}
 # Ligature signs whose compatibility form reads otherwise than it looks.
 _KEPT_SIGNS = "".join(map(chr, [*range(0xFDF0, 0xFDF2), *range(0xFDF3, 0xFDFE)]))
 
-BLANKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()) + _MORE_BLANKS
+# Clusters that look like one letter but have no composition of their own.
+_CLUSTERS = {"ى\u0654": "ئ"}
+
+_POINTS = [chr(i) for i in chain(range(0x20000), range(0xE0000, 0xE1000))]  # no rule reaches the planes between
+BLANKS = "".join(c for c in _POINTS if c.isspace()) + _MORE_BLANKS
 _BLANK_SET = frozenset(BLANKS)
 _MEMO = 400_000
 
 
 def _unseen() -> frozenset[str]:
     found = set(_MORE_UNSEEN)
-    for code in range(sys.maxunicode + 1):
-        c = chr(code)
+    for c in _POINTS:
+        code = ord(c)
         kind = unicodedata.category(c)
         if kind in ("Cf", "Cc") and c not in _SEEN_FORMAT and c not in _BLANK_SET:
             found.add(c)
@@ -79,63 +88,117 @@ def _plain_width(c: str) -> str:
     return c
 
 
-def _compile() -> dict[str, str]:
-    """The table for single characters; conflicts end the import."""
+def _apart(text: str) -> str:
+    """Look-alikes replaced, accents split off."""
+    return "".join(_ALIKE.get(x, x) for x in unicodedata.normalize("NFD", text))
+
+
+def _compile() -> tuple[dict[str, str], dict[tuple[str, str], str]]:
+    """``(table, steps)``: every key with its output, and the trie of the keys of several characters.
+
+    ``steps[starter, character]`` is the starter that stands for both; conflicts end the import.
+    """
     table: dict[str, str] = {}
 
     def put(key: str, value: str) -> None:
         if table.setdefault(key, value) != value:
-            raise ValueError(f"two outputs for U+{ord(key):04X}")
+            raise ValueError(f"two outputs for {ascii(key)}")
 
     for c in BLANKS:
         put(c, " ")
     for c in UNSEEN:
         put(c, "")
-    for code in range(0xFB00, 0xFFEF):
-        c = chr(code)
-        if c not in table and (w := _plain_width(c)) != c:
-            put(c, "".join(_ALIKE.get(x, x) for x in w))
-    put("…", "...")
-    for c, w in _ALIKE.items():
-        put(c, w)
-    for key, value in table.items():
-        for c in value:
-            if c in table and table[c] != c:
-                raise ValueError(f"U+{ord(key):04X} leads to a key of the table")
+    steps: dict[tuple[str, str], str] = {}
+    for c in _POINTS:
+        if c in table or "\uac00" <= c <= "\ud7a3":
+            continue
+        parts = unicodedata.decomposition(c)
+        wide = _plain_width(c)
+        if not parts and wide == c and c not in _ALIKE:
+            continue
+        apart = _apart(wide)
+        if apart != c:
+            put(c, apart)
+        if parts and parts[0] != "<" and " " in parts and unicodedata.normalize("NFC", c) == c:
+            first, second = (chr(int(x, 16)) for x in parts.split())
+            if first not in _ALIKE and second not in _ALIKE:
+                put(first + second, c)
+                steps[first, second] = c
+    for lead in range(19):  # conjoining letters: lead and vowel, and that with a tail
+        for vowel in range(21):
+            both = 0xAC00 + (lead * 21 + vowel) * 28
+            steps[chr(0x1100 + lead), chr(0x1161 + vowel)] = chr(both)
+            steps.update(((chr(both), chr(0x11A7 + tail)), chr(both + tail)) for tail in range(1, 28))
+    for key, value in _CLUSTERS.items():
+        put(key, value)
+        steps[key[0], key[1]] = value
     contextual = set(_ALIKE_JOINED) | set(_ALIKE_ENDING)
     if contextual & set(table):
         raise ValueError("a letter has both a fixed and a contextual output")
-    return table
+    return table, steps
 
 
-TABLE = _compile()
-_TRANSLATE = str.maketrans(TABLE)
-_CONTEXT = re.compile("[" + "".join(sorted(set(_ALIKE_JOINED) | set(_ALIKE_ENDING))) + "]")
-_ORDINARY = re.compile("^[\\x21-\\x7e\\u0621-\\u064a\u060c\u061b\u061f\u0660-\u0669]*$")
+TABLE, _STEPS = _compile()
+_SINGLE = {k: v for k, v in TABLE.items() if len(k) == 1}
+_CONTEXT = frozenset(_ALIKE_JOINED) | frozenset(_ALIKE_ENDING)
+_TO_SPACE = str.maketrans({c: " " for c in BLANKS})
+_ORDINARY = re.compile("^[\\x21-\\x7e\\u0621-\\u064a\\u060c\\u061b\\u061f\\u0660-\\u0669]*$")
 
 
-def _joins(word: str, at: int) -> bool:
-    """Whether the letter before ``at`` joins the next cluster; marks between do not matter."""
-    for c in word[at:]:
-        if unicodedata.combining(c):
-            continue
-        return c == "\u0640" or (unicodedata.category(c) == "Lo" and "\u0620" <= c <= "\u08ff" and c != "\u0621")
-    return False
+def _joins(following: str) -> bool:
+    """Whether a letter before the starter ``following`` joins it."""
+    return following == "\u0640" or ("\u0620" <= following <= "\u08ff" and following != "\u0621" and unicodedata.category(following) == "Lo")
+
+
+def _close(starter: str, marks: list[tuple[int, str]], following: str) -> str:
+    """The output of a cluster whose next starter is ``following``: the longest key from its starter, then the marks no key took."""
+    if starter in _CONTEXT:
+        starter = (_ALIKE_JOINED if _joins(following) else _ALIKE_ENDING).get(starter, starter)
+    if not marks:
+        return starter
+    if len(marks) > 1:
+        marks.sort(key=lambda m: m[0])  # canonical order; stable, so marks of one class keep theirs
+    rest, held = [], 0
+    for order, mark in marks:
+        longer = _STEPS.get((starter, mark)) if order != held else None  # a mark of the same class stands between
+        if longer is not None:
+            starter = longer
+        else:
+            rest.append(mark)
+            held = order
+    return starter + "".join(rest)
 
 
 def transduce_word(word: str) -> str:
-    """The one form of a word (no blanks in it)."""
-    out = word.translate(_TRANSLATE)
-    if _CONTEXT.search(out):
-        done = []
-        for i, c in enumerate(out):
-            side = _ALIKE_JOINED if _joins(out, i + 1) else _ALIKE_ENDING
-            done.append(side.get(c, c))
-        out = "".join(done)
-    out = unicodedata.normalize("NFC", out)
-    if "\u0649\u0654" in out:
-        out = out.replace("\u0649\u0654", "\u0626")
-    return out
+    """The one form of a word (no blanks in it), in one pass over its clusters."""
+    out: list[str] = []
+    starter, marks = "", []
+    single, combining = _SINGLE, unicodedata.combining
+    for stored in word:
+        for c in single.get(stored, stored):
+            order = combining(c)
+            if order:
+                marks.append((order, c))
+                continue
+            longer = _STEPS.get((starter, c)) if not marks else None
+            if longer is not None:
+                starter = longer
+                continue
+            if starter or marks:
+                out.append(_close(starter, marks, c))
+            starter, marks = c, []
+    if starter or marks:
+        out.append(_close(starter, marks, ""))
+    return "".join(out)
+
+
+def check_table() -> None:
+    """Every output of the table is a fixed point of the transducer and in NFC."""
+    for key, value in TABLE.items():
+        if key not in _BLANK_SET:
+            form = transduce_word(key)
+            if transduce_word(form) != form or unicodedata.normalize("NFC", form) != form:
+                raise ValueError(f"the output of {ascii(key)} is no fixed point")
 
 
 class _Memo(dict):
@@ -153,14 +216,16 @@ _WORDS = _Memo()
 def one_form(text: str | None) -> str:
     """The one form of a text; empty for null.
 
-    Any run of blanks, of whatever kind, is one space and none stands at the ends: a blank
-    beside another is not seen, and unseen characters between blanks leave none behind.
+    Each blank, of whatever kind, is one space, so a run of blanks keeps its length; blanks at
+    the ends go. Unseen characters go wherever they stand.
     """
     if not text:
         return ""
     words = _WORDS
-    parts = text.split() if _MORE_BLANKS not in text else text.replace(_MORE_BLANKS, " ").split()
-    return " ".join(filter(None, map(words.__getitem__, parts)))
+    parts = text.split()
+    if _MORE_BLANKS in text or " ".join(parts) != text:
+        parts = text.translate(_TO_SPACE).split(" ")
+    return " ".join(map(words.__getitem__, parts)).strip(" ")
 
 
 @lru_cache(maxsize=None)

@@ -31,6 +31,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, samelook.same_look_pairs, "pos", "unit")
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, samelook.same_look_members, "pos", "unit")
+
+
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, samelook.with_one_form, "pos", "unit").select("tbl", "row_id", "form")
 
@@ -101,7 +105,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(read_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_members, p5_report, p5_records, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
+_QUERIES = (p1_found, p1_pieces, p2_found, p2_members, p2_forms, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_members, p5_report, p5_records, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,7 +46,7 @@ def test_one_form(stored, form):
     assert oneform.one_form(stored) == form
 
 
-@pytest.mark.parametrize(("a", "b"), [("قَال", "قال"), ("قـال", "قال"), ("أحمد", "احمد"), ("على", "علي"), ("كتابة", "كتابه")])
+@pytest.mark.parametrize(("a", "b"), [("a  b", "a b"), ("قَال", "قال"), ("قـال", "قال"), ("أحمد", "احمد"), ("على", "علي"), ("كتابة", "كتابه")])
 def test_what_looks_different_stays_apart(a, b):
     assert oneform.one_form(a) != oneform.one_form(b)
 
@@ -60,6 +60,26 @@ def test_one_form_is_a_fixed_point():
         assert oneform.one_form(form) == form == unicodedata.normalize("NFC", form)
 
 
+def test_the_longest_key_of_a_cluster_wins():
+    """Keys of several characters win over their prefixes, also past a mark that belongs to no key."""
+    assert oneform.TABLE["\u0649\u0654"] == "\u0626" and oneform.transduce_word("\u0649") == "\u0649"
+    assert oneform.TABLE["\u00e2\u0301"] == "\u1ea5" and oneform.transduce_word("a\u0302") == "\u00e2"
+    assert oneform.transduce_word("a\u0302\u0301") == "\u1ea5"
+    assert oneform.transduce_word("a\u200b\u0302\u200d\u0301") == "\u1ea5"
+    assert oneform.transduce_word("a\u0301\u0323") == oneform.transduce_word("\u1ea1\u0301") == unicodedata.normalize("NFC", "a\u0301\u0323")
+    assert oneform.transduce_word("\u1112\u1161\u11ab") == "\ud55c"
+
+
+def test_the_table_has_no_conflict():
+    oneform.check_table()
+    random.seed(4)
+    accents = [c for c in oneform.TABLE if len(c) == 1 and not c.isspace() and oneform._apart(c) == unicodedata.normalize("NFD", c) != c and c != "\u06c2"]
+    pool = [*accents, *"aeo\u0627\u064a\u0648\u0301\u0302\u0323\u0653\u0654\u064e\u0651"]
+    for _ in range(5000):
+        text = "".join(random.choice(pool) for _ in range(random.randint(1, 7)))
+        assert oneform.transduce_word(text) == unicodedata.normalize("NFC", text)
+
+
 def test_same_look_pairs_against_brute_force(spark):
     random.seed(5)
     base = ["قال مالك", "عن نافع", "حدثنا يحيى", "", None, "​", "سمعت"]
@@ -76,6 +96,10 @@ def test_a_hot_look_does_not_multiply(spark):
     got = {tuple(r) for r in samelook.same_look_pairs(df, "id", "source").collect()}
     want = {(i, 200) for i in range(200)} | {(0, j) for j in range(200, 300)} | {(i, 500) for i in range(300)}
     assert got == want
+    full = {tuple(r) for r in samelook.same_look_pairs(df, "id", "source", expanded=None).collect()}
+    assert full == {(i, j) for i in range(200) for j in range(200, 300)} | {(i, 500) for i in range(300)}
+    members = samelook.same_look_members(df, "id", "source").collect()
+    assert len(members) == 301 and {r["class_id"] for r in members} == {0} and {r["copies"] for r in members} == {200, 100, 1}
 
 
 def test_same_look_of_tokens_and_empty_table(spark):
