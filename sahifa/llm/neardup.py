@@ -11,9 +11,10 @@ are short, so the buckets are salted passes; buckets of one pass would mostly st
 
 1. rows with equal elements form one class, in it rows with the same stored text are copies;
    only one row of a class goes on;
-2. bands of registers are the join keys; rows of a band whose packed low register bits, with
-   chance agreement taken out, estimate a Jaccard similarity well below the bound leave inside
-   the join, before anything is written;
+2. bands of whole registers are the join keys; with each goes a compressed form of ``SKETCH``
+   registers, two bits of the leading zeros and two of the mantissa. Pairs of a band whose
+   agreement, with the chance agreement of such codes taken out, estimates a Jaccard similarity
+   well below the bound leave inside the join, before anything is written;
 3. what remains is verified exactly on the elements, which are fetched for those rows only.
 
 The number of registers in a band grows with the logarithm of the number of rows and the number
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sahifa.llm.samelook import COPIES_EXPANDED
-from sahifa.llm.words import _ALNUM, joined, raw_words, stored_key
-from sahifa.operators.rowmap import map_rows
+from sahifa.llm.words import _ALNUM, Tokens, raw_words, stored_key, stored_texts
+from sahifa.operators.rowmap import map_batches
 from sahifa.session import materialise
 
 MANTISSA = 10
-SKETCH_BITS = 116  # packed low register bits beside a row's length
+WORDS = 3  # 64-bit words of compressed registers that go along with a band
+SKETCH = 16 * WORDS  # registers in them
 LEAST_WORDS = 15
 _SLACK = 4.0  # standard errors by which an estimate may fall below the bound
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -63,28 +65,39 @@ class _WordHash(dict):
 _HASH = _WordHash()
 
 
-def flat_words(texts: list[str], least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of the texts with at least ``least`` words: kept positions, sizes, and all hashes one text after the other."""
-    hashes = [[h for h in map(_HASH.__getitem__, raw_words(t)) if h] for t in texts]
-    kept = np.array([i for i, h in enumerate(hashes) if len(h) >= least], dtype=np.int64)
-    sizes = np.array([len(hashes[i]) for i in kept], dtype=np.int64)
-    return kept, sizes, np.fromiter((h for i in kept for h in hashes[i]), dtype=np.uint64, count=int(sizes.sum()))
+def _hashes(token: str) -> list[int]:
+    return [h for h in map(_HASH.__getitem__, raw_words(token)) if h]
 
 
-def numbered_words(texts: list[str], least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Elements of the texts with at least ``least`` words: kept positions, starts, and the sorted element hashes one row after the other."""
-    kept, sizes, flat = flat_words(texts, least)
+def flat_words(column: pa.Array, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of the rows of an Arrow column (texts or arrays of tokens) with at least ``least`` words: kept positions, sizes, and all hashes one row after the other."""
+    sizes, flat, _ = Tokens(column).spread(_hashes)
+    fits = sizes >= least
+    return np.flatnonzero(fits), sizes[fits], flat[np.repeat(fits, sizes)]
+
+
+def numbered(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of many rows sorted row by row, and their elements: the second of a word is another than the first."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    words = words[np.lexsort((words, row))]
+    at = np.arange(len(words))
+    new = np.ones(len(words), dtype=bool)
+    new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    return words, _mix(words + nth.astype(np.uint64) * _GOLDEN)
+
+
+def numbered_words(column: pa.Array, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements of the rows with at least ``least`` words: kept positions, starts, and the element hashes one row after the other."""
+    kept, sizes, flat = flat_words(column, least)
     if not len(kept):
         return kept, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    row = np.repeat(np.arange(len(kept)), sizes)
-    order = np.lexsort((flat, row))
-    flat = flat[order]
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    new = np.ones(len(flat), dtype=bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
-    at = np.arange(len(flat))
-    first = np.maximum.accumulate(np.where(new, at, 0))
-    return kept, starts, _mix(flat + (at - first).astype(np.uint64) * _GOLDEN)
+    return kept, np.concatenate(([0], np.cumsum(sizes)[:-1])), numbered(flat, sizes)[1]
+
+
+def keys_of(column: pa.Array, kept: np.ndarray) -> pa.Array:
+    """128-bit keys of the stored texts of the kept rows."""
+    return pa.array([stored_key(t) for t in stored_texts(column.take(pa.array(kept)))], type=pa.binary())
 
 
 def registers(elements: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
@@ -104,15 +117,32 @@ def plan_bands(rows: int, similarity: float, recall_at_bound: float = 0.999) ->
     return width, math.ceil(math.log(1 - recall_at_bound) / math.log(1 - min(bound, 0.999) ** width))
 
 
-def sketches(df: DataFrame, key: str, text: str, tokens: bool, width: int, bands: int) -> DataFrame:
-    """``(row_id, bag, stored, size, bands, low_a, low_b)`` of the rows with enough words."""
-    count = max(SKETCH_BITS, width * bands)
+def compressed(regs: np.ndarray) -> list[np.ndarray]:
+    """Four bits of each of the first ``SKETCH`` registers, 16 registers to a 64-bit word: the two low bits of the leading zeros and of the mantissa."""
+    code = ((regs[:, :SKETCH] >> MANTISSA & 3) << 2 | regs[:, :SKETCH] & 3).astype(np.uint64)
+    place = np.uint64(4) * np.arange(16, dtype=np.uint64)
+    return [(code[:, k : k + 16] << place).sum(axis=1, dtype=np.uint64) for k in range(0, SKETCH, 16)]
+
+
+def chance_agreement(n: int = 64) -> float:
+    """How often the compressed registers of two unrelated rows agree.
+
+    The least of ``n`` hashes has ``z`` leading zeros with chance ``(1 - 2**-(z+1))**n -
+    (1 - 2**-z)**n``; their two low bits must agree, and the mantissa's two bits agree in a
+    quarter of the cases. The result hardly depends on ``n``.
+    """
+    at = [(1 - 2.0 ** -(z + 1)) ** n - (1 - 2.0**-z) ** n for z in range(60)]
+    return sum(sum(at[k::4]) ** 2 for k in range(4)) / 4
+
+
+def sketches(df: DataFrame, key: str, text: str, width: int, bands: int) -> DataFrame:
+    """``(row_id, bag, stored, size, bands, code_0, ...)`` of the rows with enough words."""
+    count = max(SKETCH, width * bands)
 
     def run(ids, values):
-        texts = [joined(v) for v in values] if tokens else [v or "" for v in values]
-        kept, starts, elements = numbered_words(texts)
+        kept, starts, elements = numbered_words(values)
         if not len(kept):
-            return [[], [], [], [], [], [], []]
+            return [[] for _ in range(5 + WORDS)]
         sizes = np.diff(np.append(starts, len(elements)))
         regs = registers(elements, starts, count)
         keys = np.empty((len(kept), bands), dtype=np.uint64)
@@ -121,55 +151,63 @@ def sketches(df: DataFrame, key: str, text: str, tokens: bool, width: int, bands
             for k in range(b * width, (b + 1) * width):
                 value = _mix((value ^ regs[:, k].astype(np.uint64)) * _GOLDEN)
             keys[:, b] = value
-        low = (regs[:, :SKETCH_BITS] & 1).astype(np.uint64)
-        weight = np.uint64(1) << (np.arange(58, dtype=np.uint64))
-        low_a, low_b = (low[:, :58] * weight).sum(axis=1, dtype=np.uint64), (low[:, 58:] * weight).sum(axis=1, dtype=np.uint64)
         one, two = np.add.reduceat(elements, starts), np.add.reduceat(_mix(elements ^ _GOLDEN), starts)
         bag = np.stack([one, two], axis=1).tobytes()
-        ids = np.asarray(ids, dtype=np.int64)[kept]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(kept) + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
         bags = [bag[i : i + 16] for i in range(0, len(bag), 16)]
-        return [pa.array(ids), pa.array(bags, type=pa.binary()), pa.array([stored_key(texts[i]) for i in kept], type=pa.binary()), pa.array(sizes.astype(np.int32)), lists, pa.array(low_a.view(np.int64)), pa.array(low_b.view(np.int64))]
+        return [ids.take(pa.array(kept)), pa.array(bags, type=pa.binary()), keys_of(values, kept), pa.array(sizes.astype(np.int32)), lists, *(pa.array(c.view(np.int64)) for c in compressed(regs))]
 
-    return map_rows(
+    return map_batches(
         df.select(F.col(key).cast("long").alias("row_id"), text).where("row_id is not null"), run,
-        "row_id long, bag binary, stored binary, size int, bands array<long>, low_a long, low_b long",
+        f"row_id long, bag binary, stored binary, size int, bands array<long>, {', '.join(f'code_{k} long' for k in range(WORDS))}",
     )
 
 
-def _least_agreeing(similarity: float) -> int:
-    """Least number of agreeing low bits that a pair at the bound still has, ``_SLACK`` standard errors down."""
-    bound = similarity / (2 - similarity)
-    agree = bound + (1 - bound) / 2  # chance agreement of one bit is a half
-    return math.floor(SKETCH_BITS * agree - _SLACK * math.sqrt(SKETCH_BITS * agree * (1 - agree)))
+def least_agreeing(similarity: float) -> int:
+    """Least number of agreeing compressed registers that a pair at the bound still has, ``_SLACK`` standard errors down.
+
+    A register agrees when its least element is shared (the Jaccard similarity) and else by
+    chance: the estimate of the similarity is the agreement with the chance taken out.
+    """
+    bound, chance = similarity / (2 - similarity), chance_agreement()
+    agree = bound + (1 - bound) * chance
+    return math.floor(SKETCH * agree - _SLACK * math.sqrt(SKETCH * agree * (1 - agree)))
 
 
 def class_candidates(reps: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)``: pairs of class representatives of a band whose estimated similarity reaches the bound."""
-    rows = reps.select("head", "size", "low_a", "low_b", F.explode("bands").alias("band"))
-    left = rows.select("band", F.col("head").alias("a"), F.col("size").alias("size_a"), F.col("low_a").alias("la"), F.col("low_b").alias("lb"))
-    right = rows.select("band", F.col("head").alias("b"), F.col("size").alias("size_b"), F.col("low_a").alias("ra"), F.col("low_b").alias("rb"))
-    differ = F.bit_count(F.col("la").bitwiseXOR(F.col("ra"))) + F.bit_count(F.col("lb").bitwiseXOR(F.col("rb")))
-    near = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & (differ <= SKETCH_BITS - _least_agreeing(similarity))
-    return left.join(right, "band").where(near).select("a", "b").distinct()
+    codes = [f"code_{k}" for k in range(WORDS)]
+
+    def side(row: str) -> DataFrame:
+        return reps.select(F.explode("bands").alias("band"), F.col("head").alias(row), *(F.col(c).alias(f"{c}_{row}") for c in ("size", *codes)))
+
+    def differing(c: str):
+        apart = F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 1))
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 2))
+        return F.bit_count(apart.bitwiseAND(F.lit(0x1111111111111111)))
+
+    differ = sum((differing(c) for c in codes), F.lit(0))
+    near = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & (differ <= SKETCH - least_agreeing(similarity))
+    return side("a").join(side("b").hint("merge"), "band").where(near).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, tokens: bool, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """The pairs whose exact share of words reaches ``similarity``; elements are made for rows in a pair only."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    source = df.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("value")).join(needed, "row_id", "left_semi")
+    source = df.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("value"))
 
     def run(ids, values):
-        texts = [joined(v) for v in values] if tokens else [v or "" for v in values]
-        kept, starts, elements = numbered_words(texts)
+        kept, starts, elements = numbered_words(values)
         offsets = np.append(starts, len(elements)).astype(np.int32) if len(kept) else np.zeros(1, dtype=np.int32)
-        return [[ids[i] for i in kept], pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.view(np.int64)))]
+        return [ids.take(pa.array(kept)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.view(np.int64)))]
 
-    elements = materialise(map_rows(source, run, "row_id long, elements array<long>"))
+    # elements are made before the semi-join: a word's hash is smaller than the word
+    elements = materialise(map_batches(source, run, "row_id long, elements array<long>").join(needed.hint("merge"), "row_id", "left_semi"))
     a = elements.select(F.col("row_id").alias("a"), F.col("elements").alias("ea"))
     b = elements.select(F.col("row_id").alias("b"), F.col("elements").alias("eb"))
     shared = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(a, "a").join(b, "b").where(shared >= F.lit(similarity) * F.greatest(F.size("ea"), F.size("eb")) - 1e-9).select("a", "b")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(shared >= F.lit(similarity) * F.greatest(F.size("ea"), F.size("eb")) - 1e-9).select("a", "b")
 
 
 class NearDuplicates:
@@ -181,33 +219,34 @@ class NearDuplicates:
     rows share a class; other columns of the input are ignored. Ids are taken as unique.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> None:
-        self.df, self.key, self.text, self.tokens, self.similarity = df, key, text, tokens, similarity
+    def __init__(self, df: DataFrame, key: str, text: str, similarity: float = 0.8, expanded: int | None = COPIES_EXPANDED) -> None:
+        self.expanded = expanded
         width, bands = plan_bands(df.count(), similarity)
-        sketched = materialise(sketches(df, key, text, tokens, width, bands))
+        sketched = materialise(sketches(df, key, text, width, bands))
         classes = sketched.groupBy("bag", "stored").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
         heads = classes.groupBy("bag").agg(F.min("rep").alias("head"))
-        self.members = materialise(sketched.select("row_id", "bag", "stored").join(classes, ["bag", "stored"]).join(heads, "bag").select("row_id", "head", "rep", "copies"))
-        reps = sketched.join(self.members.where("row_id = head").select("row_id"), "row_id", "left_semi").withColumnRenamed("row_id", "head")
+        self.members = materialise(sketched.select("row_id", "bag", "stored").join(classes.hint("merge"), ["bag", "stored"]).join(heads.hint("merge"), "bag").select("row_id", "head", "rep", "copies"))
+        reps = sketched.join(self.members.where("row_id = head").select("row_id").hint("merge"), "row_id", "left_semi").withColumnRenamed("row_id", "head")
         candidates = materialise(class_candidates(reps, similarity))
-        self.links = materialise(verified(candidates, df, key, text, tokens, similarity))
+        self.links = materialise(verified(candidates, df, key, text, similarity))
 
     def pairs(self) -> DataFrame:
         """``(id_a, id_b)``: all pairs of alike rows.
 
-        Different stored texts are always paired, by their representatives. Up to
-        ``COPIES_EXPANDED`` copies of one stored text are expanded; more are given by their
+        Different stored texts are always paired, by their representatives. Up to ``expanded``
+        copies of one stored text (None: any number) are expanded; more are given by their
         representative: each copy is paired with it, and it alone is paired with other texts.
         ``groups`` has each row's representative, from which all other pairs follow.
         """
-        speakers = self.members.where((F.col("copies") <= COPIES_EXPANDED) | (F.col("row_id") == F.col("rep"))).select("row_id", "rep")
+        whole = F.lit(True) if self.expanded is None else F.col("copies") <= self.expanded
+        speakers = self.members.where(whole | (F.col("row_id") == F.col("rep"))).select("row_id", "rep").hint("merge")
         a = speakers.select(F.col("rep").alias("a"), F.col("row_id").alias("x"))
         b = speakers.select(F.col("rep").alias("b"), F.col("row_id").alias("y"))
         across = form_links(self.links, self.members, within=True).join(a, "a").join(b, "b").select("x", "y")
         several = self.members.where("copies > 1")
-        few = several.where(F.col("copies") <= COPIES_EXPANDED).select("rep", "row_id")
-        within = few.select("rep", F.col("row_id").alias("x")).join(few.select("rep", F.col("row_id").alias("y")), "rep").where("x < y").select("x", "y")
-        star = several.where((F.col("copies") > COPIES_EXPANDED) & (F.col("row_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("row_id").alias("y"))
+        few = several.where(whole).select("rep", "row_id")
+        within = few.select("rep", F.col("row_id").alias("x")).join(few.select("rep", F.col("row_id").alias("y")).hint("merge"), "rep").where("x < y").select("x", "y")
+        star = several.where(~whole & (F.col("row_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("row_id").alias("y"))
         return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
@@ -218,13 +257,13 @@ class NearDuplicates:
         """
         labels = connected_labels(self.links)
         degree = self.links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("degree"))
-        sized = self.members.join(labels.withColumnRenamed("rep", "head"), "head", "left").join(degree, "head", "left")
+        sized = self.members.join(labels.withColumnRenamed("rep", "head").hint("merge"), "head", "left").join(degree.hint("merge"), "head", "left")
         return sized.select("row_id", F.coalesce("label", "head").alias("group_id"), F.coalesce("degree", F.lit(0)).alias("links"), "copies", "rep")
 
 
 def form_links(links: DataFrame, members: DataFrame, within: bool) -> DataFrame:
     """Pairs ``(a, b)`` of representatives of stored texts from ``links`` between heads; ``within``: those under one head as well."""
-    forms = members.where("row_id = rep").select("head", "rep")
+    forms = members.where("row_id = rep").select("head", "rep").hint("merge")
     across = links.select("a", "b").join(forms.toDF("a", "x"), "a").join(forms.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     if not within:
         return across
@@ -256,11 +295,11 @@ def connected_labels(links: DataFrame, rounds: int = 200) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("rep"), F.col("v").alias("label")).distinct().join(nodes.select("rep"), "rep", "left_anti"))
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
-    return NearDuplicates(df, key, text, tokens, similarity).pairs()
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, similarity: float = 0.8) -> DataFrame:
+    return NearDuplicates(df, key, text, similarity).pairs()
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
-    return NearDuplicates(df, key, text, tokens, similarity).groups()
+def near_duplicate_groups(df: DataFrame, key: str, text: str, similarity: float = 0.8) -> DataFrame:
+    return NearDuplicates(df, key, text, similarity).groups()
 
 

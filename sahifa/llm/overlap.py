@@ -1,21 +1,22 @@
 """Same or nearly same records across splits (problem 5).
 
-Winnowing over word grams: in each window of ``WINDOW`` consecutive grams one is selected, so
-any run of ``GRAM + WINDOW - 1`` shared words shares a selected gram. Selected is the gram with
-the rarest word (by a hashed counter table of fixed size, made in one pass over all rows), the
-rolling hash deciding among equals; every row decides alike. Where all words of a gram are
-frequent the gram is continued to ``LONG_GRAM`` words, so formulas of a collection are no hot
-keys. Selected grams are joined across splits, the seeds of a pair are chained where they are
-collinear, and chains are extended by alignment word by word; words that were moved are
-aligned afterwards wherever they stand. Rows with the same words are one class per split side
-before any of this, so copies never multiply in the join.
-
-Which pairs are aligned does not hang on the seeds: an exact prefix filter finds every pair that
-can reach the similarity. Of a row's numbered words in one order for all rows, rare ones first,
-two such rows share one of the first ``n - need + 1`` and two of the first ``n - need + 2``. A
-rare word is a key by itself, frequent ones are keys two by two; sizes and parity bitmaps, which
-never exceed the true difference, thin out the join. Pairs without a seed are chained along the
-words that stand once in either row.
+The similarity counts words in any order, so what is winnowed is a row's words in one canonical
+order for all rows: rare words first (by hashed counters of fixed size, made in one pass over
+all rows), the word's hash deciding among equals. The fingerprints of a row are the rolling
+hashes of its first grams in that order, which are the least ones; a moved word breaks none. A
+gram has two words, and is continued while rows that are unrelated would share it with more
+than ``PARTNERS`` others, so formulas of a collection are no hot keys. How many grams a row
+gives follows from the recall: those that could be taken up by the words one row has alone, and
+after them as many as make it certain to ``RECALL`` that two rows at the similarity keep one;
+rows too short for that give grams that leave a word out as well. While grams have two words
+and a row at most 50, that is no matter of chance at all: among the words both share more stand
+side by side than the others can part.
+
+Fingerprints are joined across splits. Rows with the same words are one class per split side and
+give their fingerprints once, so copies never multiply in the join. Of the pairs found the exact
+share of words is taken, and those that reach the similarity are aligned: grams winnowed in the
+rows' own order are the seeds, the longest collinear chain of them is extended word by word, and
+words that were moved are aligned afterwards wherever they stand.
 """
 
 from __future__ import annotations
@@ -26,23 +27,22 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sahifa.functions import charclasses as C
-from sahifa.llm.neardup import _GOLDEN, _mix, flat_words, form_links
-from sahifa.llm.samelook import expand_links
-from sahifa.llm.words import joined, stored_key
-from sahifa.operators.rowmap import map_rows
+from sahifa.llm.neardup import _GOLDEN, _mix, flat_words, form_links, keys_of, numbered
+from sahifa.llm.samelook import COPIES_EXPANDED, expand_links
+from sahifa.llm.words import ranges
+from sahifa.operators.rowmap import map_batches
 from sahifa.session import materialise
 
-GRAM = 3
-WINDOW = 5
+PARTNERS = 32.0
 LONG_GRAM = 8
-FREQUENT_SHARE = 0.002
-FREQUENT_LEAST = 128
-SINGLE_KEY_LEVEL = 8  # words of fewer than 2 ** 8 occurrences are keys of the prefix filter by themselves
-BITMAPS = 4  # words of 64 bits
-_COUNTERS = 1 << 17
+RECALL = 0.999
+SKIPS = 3  # kinds of grams: whole ones, and those that leave out one or two words after their first
+SEED_GRAM, SEED_WINDOW = 3, 5
+_COUNTERS = 1 << 19  # slots of either of two tables
 
 
 def side_of(split: Column) -> Column:
@@ -60,126 +60,139 @@ def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("row_id"), side_of(F.col("split")).alias("side"), F.col(text).alias("value")).where("side is not null and row_id is not null")
 
 
-def _slots(words: np.ndarray) -> np.ndarray:
-    return ((words >> np.uint64(20)) & np.uint64(_COUNTERS - 1)).astype(np.int64)
+def _slots(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(_COUNTERS - 1)
+    return ((words >> np.uint64(44)) & mask).astype(np.int64), ((words >> np.uint64(20)) & mask).astype(np.int64) + _COUNTERS
 
 
-def word_counters(df: DataFrame, tokens: bool) -> np.ndarray:
-    """Hashed counts of the words of all rows, as powers of two: a table of fixed size whatever the input."""
+def word_levels(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """Hashed counts of the words of all rows, in quarters of their binary logarithm, and that of the number of rows.
+
+    Two tables of fixed size whatever the input; of a word's two counts the lesser holds.
+    """
 
     def run(batches):
-        table = np.zeros(_COUNTERS, dtype=np.int64)
+        table = np.zeros(2 * _COUNTERS, dtype=np.int64)
+        n = 0
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            _, _, flat = flat_words([joined(v) for v in values] if tokens else [v or "" for v in values])
-            table += np.bincount(_slots(flat), minlength=_COUNTERS)
+            n += batch.num_rows
+            _, _, flat = flat_words(batch.column(0))
+            for slots in _slots(flat):
+                table += np.bincount(slots, minlength=2 * _COUNTERS)
         used = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(table[used], n))], names=["slot", "n"])
 
-    counted = df.select("value").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most _COUNTERS rows
-    table = np.zeros(_COUNTERS, dtype=np.int64)
+    counted = rows.select("value").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # at most 2 * _COUNTERS + 1 rows
+    table = np.zeros(2 * _COUNTERS + 1, dtype=np.int64)
     table[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return np.log2(np.maximum(table, 1)).astype(np.int8)
+    return np.round(4 * np.log2(np.maximum(table[:-1], 1))).astype(np.uint8), 4 * math.log2(max(int(table[-1]), 1))
+
+
+def _level(words: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    one, two = _slots(words)
+    return np.minimum(levels[one], levels[two])
 
 
-def selected_grams(words: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, frequent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place and hash of the grams that winnowing selects, for the word hashes of many rows at once."""
+def canonical_grams(words: np.ndarray, sizes: np.ndarray, levels: np.ndarray, rows: float, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and fingerprint of the least grams of each row's words in canonical order; see the module's docstring.
+
+    ``levels`` has the counters and ``rows`` the number of rows, both in quarters of binary
+    logarithms. A gram of ``g`` words is kept by a pair at the similarity with a chance of
+    ``similarity ** (2 g - 1)``: its words are shared, and none that only the other row has
+    stands between them.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    words, elements = numbered(words, sizes)
+    level = _level(words, levels)
+    order = np.lexsort((elements, level, row))
+    elements, share = elements[order], np.minimum(level[order].astype(np.float64) - rows, 0.0)
+    n, at = len(elements), np.arange(len(elements))
+    place, end = at - starts[row], (starts + sizes)[row]
+    more = LONG_GRAM + SKIPS
+    elements, share = np.append(elements, np.zeros(more, dtype=np.uint64)), np.append(share, np.zeros(more))
+    own = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64)  # words one row may have alone
+    wanted = math.log(1 / (1 - RECALL))
+    weight = np.array([0.0, 0.0, *(-math.log(1 - similarity ** (2 * g - 1)) for g in range(2, LONG_GRAM + 1))])
+    mass = np.zeros(len(sizes))
+    out_rows, out_keys = [], []
+    for skip in range(SKIPS):
+        second = at + 1 + skip
+        fits = (second < end) & (mass[row] < wanted)
+        length = np.full(n, 2)
+        partners = rows + share[:n] + share[second]
+        key = _mix(_mix(elements[:n] + np.uint64(skip)) + elements[second])
+        for k in range(2, LONG_GRAM):
+            longer = fits & (length == k) & (partners > 4 * math.log2(PARTNERS)) & (second + k - 1 < end)
+            if not longer.any():
+                break
+            following = np.minimum(second + k - 1, n)
+            key = np.where(longer, _mix(key * _GOLDEN + elements[following]), key)
+            partners = np.where(longer, partners + share[following], partners)
+            length += longer
+        gain = np.where(fits & (place >= own[row]), weight[length], 0.0)
+        total = np.cumsum(gain)
+        before = total - gain
+        before -= before[starts][row]
+        chosen = np.flatnonzero(fits & ((place < own[row]) | (before + mass[row] < wanted)))
+        out_rows.append(row[chosen])
+        out_keys.append(key[chosen])
+        mass += np.bincount(row[chosen], weights=gain[chosen], minlength=len(sizes))
+    found, keys = np.concatenate(out_rows), np.concatenate(out_keys)
+    order = np.argsort(found, kind="stable")
+    return found[order], keys[order]
+
+
+def winnowed(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and rolling hash of the grams that winnowing selects in the rows' own order.
+
+    In each window of ``SEED_WINDOW`` consecutive grams the one with the least hash, so any run
+    of ``SEED_GRAM + SEED_WINDOW - 1`` shared words shares a selected gram.
+    """
     n = len(words)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     row = np.repeat(np.arange(len(sizes)), sizes)
     ends = (starts + sizes)[row]
-    at = np.arange(n)
-    padded = np.concatenate([words, np.zeros(LONG_GRAM + WINDOW, dtype=np.uint64)])
-    level = np.concatenate([rarity[_slots(words)], np.full(LONG_GRAM + WINDOW, 127, dtype=np.int8)])
-    rank = level[:n].copy()
-    for k in range(1, GRAM):
-        np.minimum(rank, level[k : k + n], out=rank)
+    padded = np.concatenate([words, np.zeros(SEED_GRAM, dtype=np.uint64)])
     rolling = np.zeros(n, dtype=np.uint64)
-    for k in range(LONG_GRAM):
-        inside = at + k < ends if k >= GRAM else True
-        longer = _mix(rolling * _GOLDEN + np.where(inside, padded[k : k + n], np.uint64(0)))
-        rolling = longer if k < GRAM else np.where(rank >= frequent, longer, rolling)
-    order = (rank.astype(np.uint64) << np.uint64(57)) | (rolling >> np.uint64(7))
-    last = ends - GRAM - WINDOW + 1  # last gram that opens a full window of its row
-    opens = np.flatnonzero(at <= last)
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([order, np.full(WINDOW - 1, ~np.uint64(0))]), WINDOW)
+    for k in range(SEED_GRAM):
+        rolling = _mix(rolling * _GOLDEN + padded[k : k + n])
+    opens = np.flatnonzero(np.arange(n) <= ends - SEED_GRAM - SEED_WINDOW + 1)  # grams that open a full window of their row
+    if not len(opens):
+        return row[:0], row[:0], rolling[:0]
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([rolling, np.full(SEED_WINDOW - 1, ~np.uint64(0))]), SEED_WINDOW)
     chosen = np.unique(opens + windows[opens].argmin(axis=1))
     return row[chosen], chosen - starts[row[chosen]], rolling[chosen]
 
 
-def numbered(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of many rows sorted row by row, and their elements: the second of a word is another than the first."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    words = words[np.lexsort((words, row))]
-    at = np.arange(len(words))
-    new = np.ones(len(words), dtype=bool)
-    new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
-    nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    return words, _mix(words + nth.astype(np.uint64) * _GOLDEN)
-
+def fingerprints(rows: DataFrame, levels: np.ndarray, n_rows: float, similarity: float) -> DataFrame:
+    """``(row_id, side, bag, bag_too, stored, size, keys)`` of rows with enough words.
 
-def prefix_keys(words: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and key of the prefix filter's keys, rows in order, and ``BITMAPS`` words of parity bitmap a row.
-
-    Any two rows that share ``similarity`` of the longer one's words share a key. The order of
-    the words need only be the same for all rows, so hashed counts do.
+    ``bag`` and ``bag_too`` are the same for the same words in any order; in a batch the first row of a bag and
+    side has the keys, the others none.
     """
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    words, elements = numbered(words, sizes)
-    at = np.arange(len(words))
-    bits = np.uint64(1) << (elements & np.uint64(63))
-    part = (elements >> np.uint64(6)) % np.uint64(BITMAPS)
-    bitmaps = np.stack([np.bitwise_xor.reduceat(np.where(part == k, bits, np.uint64(0)), starts) for k in range(BITMAPS)])
-    level = rarity[_slots(words)]
-    order = np.lexsort((elements, level, row))
-    elements, level, place = elements[order], level[order], at - starts[row]
-    one = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-    single = np.flatnonzero((place < one[row]) & (level < SINGLE_KEY_LEVEL))
-    rows, keys = [row[single]], [elements[single]]
-    # frequent words of the prefix stand at its end; the first of two must be within `one`
-    often = np.flatnonzero((place <= one[row]) & (level >= SINGLE_KEY_LEVEL))
-    runs = np.bincount(row[often], minlength=len(sizes))
-    first = np.concatenate(([0], np.cumsum(runs)[:-1]))
-    for length in np.unique(runs[runs > 1]):
-        own = np.flatnonzero(runs == length)
-        x, y = np.triu_indices(length, 1)
-        step = max(1, 4_000_000 // len(x))
-        for part in (own[k : k + step] for k in range(0, len(own), step)):
-            base = first[part][:, None]
-            keys.append(_mix(_mix(elements[often[base + x]]) + elements[often[base + y]]).ravel())
-            rows.append(np.repeat(part, len(x)))
-    rows, keys = np.concatenate(rows), np.concatenate(keys)
-    order = np.argsort(rows, kind="stable")
-    return rows[order], keys[order], bitmaps
-
-
-def fingerprints(rows: DataFrame, tokens: bool, rarity: np.ndarray, frequent: float, similarity: float) -> DataFrame:
-    """``(row_id, side, bag, stored, size, grams, places, keys, bits_0, ...)`` of rows with enough words."""
-    table = rows.sparkSession.sparkContext.broadcast(rarity)  # _COUNTERS bytes
+    table = rows.sparkSession.sparkContext.broadcast(levels)  # 2 * _COUNTERS bytes
 
     def run(ids, sides, values):
-        texts = [joined(v) for v in values] if tokens else [v or "" for v in values]
-        kept, sizes, words = flat_words(texts)
+        kept, sizes, words = flat_words(values)
         if not len(kept):
-            return [[] for _ in range(8 + BITMAPS)]
-        row, place, gram = selected_grams(words, sizes, table.value, frequent)
+            return [[] for _ in range(7)]
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        # a class is a multiset of words: sums do not depend on their order
-        sums = np.stack([np.add.reduceat(words, starts), np.add.reduceat(_mix(words), starts), sizes.astype(np.uint64)], axis=1).tobytes()
-        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(kept))))).astype(np.int32))
-        bags = [sums[i : i + 24] for i in range(0, len(sums), 24)]
-        keyed, keys, bitmaps = prefix_keys(words, sizes, table.value, similarity)
-        key_offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(keyed, minlength=len(kept))))).astype(np.int32))
-        return [
-            pa.array(np.asarray(ids, dtype=np.int64)[kept]), pa.array(np.asarray(sides, dtype=np.int32)[kept]), pa.array(bags, type=pa.binary()), pa.array([stored_key(texts[i]) for i in kept], type=pa.binary()), pa.array(sizes.astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))),
-            pa.ListArray.from_arrays(key_offsets, pa.array(keys.view(np.int64))), *(pa.array(b.view(np.int64)) for b in bitmaps),
-        ]
-
-    bits = ", ".join(f"bits_{k} long" for k in range(BITMAPS))
-    return map_rows(rows.select("row_id", "side", "value"), run, f"row_id long, side int, bag binary, stored binary, size int, grams array<long>, places array<int>, keys array<long>, {bits}")
+        sums = np.stack([_mix(np.add.reduceat(words, starts) + sizes.astype(np.uint64) * _GOLDEN), np.add.reduceat(_mix(words), starts)], axis=1)
+        side = sides.take(pa.array(kept))
+        first = np.unique(np.column_stack([sums, side.to_numpy().astype(np.uint64)]), axis=0, return_index=True)[1]
+        first.sort()
+        reps = np.zeros(len(kept), dtype=bool)
+        reps[first] = True
+        keyed, keys = canonical_grams(words[np.repeat(reps, sizes)], sizes[reps], table.value, n_rows, similarity)
+        counts = np.zeros(len(kept), dtype=np.int64)
+        counts[first] = np.bincount(keyed, minlength=len(first))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+        bags = (pa.array(np.ascontiguousarray(sums[:, k]).view(np.int64)) for k in (0, 1))
+        return [ids.take(pa.array(kept)), side, *bags, keys_of(values, kept), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))]
+
+    return map_batches(rows.select("row_id", "side", "value"), run, "row_id long, side int, bag long, bag_too long, stored binary, size int, keys array<long>")
 
 
 def chain_and_align(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> tuple[int, int]:
@@ -238,6 +251,17 @@ def single_words(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return [(i, once_b[h]) for h, i in once_a.items() if h in once_b]
 
 
+def shared_words(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """Words shared, counted with repetition, by the rows of ``a`` and ``b`` side by side."""
+    ea, eb = numbered(a, sizes_a)[1], numbered(b, sizes_b)[1]
+    row = np.concatenate([np.repeat(np.arange(len(sizes_a)), sizes_a), np.repeat(np.arange(len(sizes_b)), sizes_b)])
+    both = np.concatenate([ea, eb])
+    order = np.lexsort((both, row))
+    both, row = both[order], row[order]
+    same = (both[1:] == both[:-1]) & (row[1:] == row[:-1])  # an element is once in either row at most
+    return np.bincount(row[1:][same], minlength=len(sizes_a))
+
+
 class SplitOverlap:
     """Overlaps of one table between train and the other splits.
 
@@ -245,84 +269,88 @@ class SplitOverlap:
     words, the least with the same stored text and the number of the latter's copies;
     ``links``: ``(a, b, size_a, size_b, chained, shared)`` between heads, ``a``
     in train. Rows without a split, null texts and rows of fewer than 15 words are in neither.
+    Ids are taken as unique.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> None:
-        self.similarity = similarity
+    def __init__(self, df: DataFrame, key: str, text: str, similarity: float = 0.8, expanded: int | None = COPIES_EXPANDED) -> None:
+        self.similarity, self.expanded = similarity, expanded
         rows = _prepared(df, key, text)
-        rarity = word_counters(rows, tokens)
-        frequent = math.log2(max(FREQUENT_LEAST, FREQUENT_SHARE * df.count()))
-        printed = materialise(fingerprints(rows, tokens, rarity, frequent, similarity))
-        classes = printed.groupBy("side", "bag", "stored").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
-        heads = classes.groupBy("side", "bag").agg(F.min("rep").alias("head"))
-        self.members = materialise(printed.select("row_id", "side", "bag", "stored").join(classes, ["side", "bag", "stored"]).join(heads, ["side", "bag"]).select("row_id", "side", "head", "rep", "copies"))
-        reps = printed.join(self.members.where("row_id = head").select("row_id"), "row_id", "left_semi")
-        pairs = materialise(self._candidates(reps))
-        self.links = materialise(self._aligned(pairs, self._seeded(reps), rows, tokens))
-
-    def _candidates(self, reps: DataFrame) -> DataFrame:
-        """``(a, b)``: every pair of representatives that can reach the similarity, by the prefix filter."""
-        bits = [f"bits_{k}" for k in range(BITMAPS)]
+        printed = materialise(fingerprints(rows, *word_levels(rows), similarity))
+        classes = printed.groupBy("side", "bag", "bag_too", "stored").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
+        heads = classes.groupBy("side", "bag", "bag_too").agg(F.min("rep").alias("head"))
+        narrow = printed.select("row_id", "side", "bag", "bag_too", "stored")
+        members = narrow.join(classes.hint("merge"), ["side", "bag", "bag_too", "stored"]).join(heads.hint("merge"), ["side", "bag", "bag_too"])
+        members = materialise(members.select("row_id", "side", "head", "rep", "copies", F.when(F.col("row_id") == F.col("head"), F.col("bag")).alias("bag")))
+        self.members = members.drop("bag")
+        pairs = materialise(self._candidates(printed, members.where("row_id = head").select("side", "bag", "head")))
+        self.links = materialise(self._aligned(pairs, rows))
+
+    def _candidates(self, printed: DataFrame, heads: DataFrame) -> DataFrame:
+        """``(a, b)``: pairs of heads that share a fingerprint and whose sizes allow the similarity.
+
+        The join is one of bags: a bag comes once per batch that has it and is made one again
+        beside the join, in the same partitioning. Two bags with one ``bag`` stay two heads.
+        """
 
         def keys(side: int, row: str) -> DataFrame:
-            own = reps.where(F.col("side") == side)
-            return own.select(F.col("row_id").alias(row), *(F.col(c).alias(f"{c}_{row}") for c in ("size", *bits)), F.explode("keys").alias("key"))
-
-        longer = F.greatest("size_a", "size_b")
-        differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
-        near = F.least("size_a", "size_b") >= F.lit(self.similarity) * longer - 1e-9
-        alike = differ <= F.col("size_a") + F.col("size_b") - F.lit(2 * self.similarity) * longer + 1e-6
-        return keys(1, "a").join(keys(2, "b"), "key").where(near & alike).select("a", "b").distinct()
-
-    def _seeded(self, reps: DataFrame) -> DataFrame:
-        """Pairs of representatives with a shared gram, with all their seeds."""
-
-        def grams(side: int, row: str, place: str, size: str) -> DataFrame:
-            own = reps.where(F.col("side") == side)
-            return own.select(F.col("row_id").alias(row), F.col("size").alias(size), F.explode(F.arrays_zip("grams", "places")).alias("g")).select(row, size, F.col("g.grams").alias("gram"), F.col("g.places").alias(place))
+            own = printed.where(F.col("side") == side)
+            each = own.select(F.explode("keys").alias("key"), F.col("bag").alias(row), F.col("size").alias(f"size_{row}"))
+            return each.repartition("key").dropDuplicates(["key", row])
 
         near = F.least("size_a", "size_b") >= F.lit(self.similarity) * F.greatest("size_a", "size_b") - 1e-9
-        seeds = grams(1, "a", "x", "size_a").join(grams(2, "b", "y", "size_b"), "gram").where(near)
-        # a pair's seeds are bounded by the two rows' own selected grams
-        return seeds.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("seeds"))
+        met = keys(1, "a").join(keys(2, "b").hint("merge"), "key").where(near).select("a", "b").distinct()
+        of = lambda side, row, head: heads.where(F.col("side") == side).select(F.col("bag").alias(row), F.col("head").alias(head)).hint("merge")
+        return met.join(of(1, "a", "x"), "a").join(of(2, "b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    def _aligned(self, pairs: DataFrame, seeds: DataFrame, rows: DataFrame, tokens: bool) -> DataFrame:
+    def _aligned(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
         """The pairs that reach the similarity by their exact share of words, aligned."""
         needed = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
 
         def hashes(ids, values):
-            kept, sizes, flat = flat_words([joined(v) for v in values] if tokens else [v or "" for v in values])
+            kept, sizes, flat = flat_words(values)
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            elements = numbered(flat, sizes)[1] if len(kept) else flat
-            return [[ids[i] for i in kept], *(pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in (flat, elements))]
+            return [ids.take(pa.array(kept)), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))]
 
-        words = materialise(map_rows(rows.join(needed, "row_id", "left_semi").select("row_id", "value"), hashes, "row_id long, words array<long>, elements array<long>"))
-        a, b = (words.select(F.col("row_id").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
-        enough = F.size(F.array_intersect("ea", "eb")) >= F.lit(self.similarity) * F.greatest(F.size("ea"), F.size("eb")) - 1e-9
-        alike = materialise(pairs.join(a, "a").join(b, "b").where(enough).select("a", "b"))
+        # hashes are made before the semi-join: a word's hash is smaller than the word
+        hashed = map_batches(rows.select("row_id", "value"), hashes, "row_id long, words array<long>")
+        words = materialise(hashed.join(needed.hint("merge"), "row_id", "left_semi"))
         a, b = (words.select(F.col("row_id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
-        both = alike.join(seeds, ["a", "b"], "left").join(a, "a").join(b, "b")
+        both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
         limit = self.similarity
 
-        def run(a_ids, b_ids, seeds, was, wbs):
-            out = [[] for _ in range(6)]
-            for a, b, s, wa, wb in zip(a_ids, b_ids, seeds, was, wbs):
-                chained, shared = chain_and_align(wa, wb, [(p["x"], p["y"]) for p in s] if s else single_words(wa, wb))
-                if shared >= limit * max(len(wa), len(wb)) - 1e-9:
-                    for column, value in zip(out, (a, b, len(wa), len(wb), chained, shared)):
-                        column.append(value)
+        def run(a_ids, b_ids, was, wbs):
+            own = [(c.flatten().to_numpy().view(np.uint64), pc.list_value_length(c).to_numpy().astype(np.int64)) for c in (was, wbs)]
+            sizes = np.stack([own[0][1], own[1][1]])
+            shared = shared_words(*own[0], *own[1])
+            kept = np.flatnonzero(shared >= limit * sizes.max(axis=0) - 1e-9)
+            out = [a_ids.take(pa.array(kept)), b_ids.take(pa.array(kept)), sizes[0][kept], sizes[1][kept], [], []]
+            parts = []
+            for flat, n in own:
+                flat, n = flat[ranges((np.cumsum(n) - n)[kept], n[kept])], n[kept]
+                row, place, gram = winnowed(flat, n)
+                parts.append((np.split(flat.view(np.int64), np.cumsum(n)[:-1]), np.searchsorted(row, np.arange(len(n) + 1)), place.tolist(), gram.tolist()))
+            (wa, ra, pa_, ga), (wb, rb, pb, gb) = parts
+            for i in range(len(kept)):
+                at: dict[int, list[int]] = {}
+                for k in range(rb[i], rb[i + 1]):
+                    at.setdefault(gb[k], []).append(pb[k])
+                seeds = [(pa_[k], y) for k in range(ra[i], ra[i + 1]) for y in at.get(ga[k], ())]
+                x, y = wa[i].tolist(), wb[i].tolist()
+                chained, total = chain_and_align(x, y, seeds or single_words(x, y))
+                out[4].append(chained)
+                out[5].append(total)
             return out
 
-        return map_rows(both.select("a", "b", "seeds", "wa", "wb"), run, "a long, b long, size_a int, size_b int, chained int, shared int")
+        return map_batches(both.select("a", "b", "wa", "wb"), run, "a long, b long, size_a int, size_b int, chained int, shared int", dealt=False)
 
     def pairs(self) -> DataFrame:
         """``(id_a, id_b)``, ``id_a < id_b``: rows of train with rows of dev or test.
 
-        Different stored texts are always paired. Up to ``COPIES_EXPANDED`` copies of one stored
-        text are expanded; of more, each copy is paired with the other side's representative, and
-        the representative with all of it. ``members`` tells the rest.
+        Different stored texts are always paired. Up to ``expanded`` copies of one stored text
+        (None: any number) are expanded; of more, each copy is paired with the other side's
+        representative, and the representative with all of it. ``members`` tells the rest.
         """
-        return expand_links(form_links(self.links, self.members, within=False), self.members)
+        return expand_links(form_links(self.links, self.members, within=False), self.members, self.expanded)
 
     def records(self, df: DataFrame, key: str) -> DataFrame:
         """``(row_id, split, collection, partners, chained_share, shared_share)`` of every row with a split.
@@ -334,12 +362,12 @@ class SplitOverlap:
         longer = F.greatest("size_a", "size_b")
 
         def of(own: str, other: str) -> DataFrame:
-            met = self.links.join(sizes.withColumnRenamed("head", other), other)
+            met = self.links.join(sizes.withColumnRenamed("head", other).hint("merge"), other)
             return met.groupBy(F.col(own).alias("head")).agg(F.sum("n").alias("partners"), F.max(F.col("chained") / longer).alias("chained_share"), F.max(F.col("shared") / longer).alias("shared_share"))
 
-        hit = self.members.select("row_id", "head").join(of("a", "b").unionByName(of("b", "a")), "head").drop("head")
+        hit = self.members.select("row_id", "head").join(of("a", "b").unionByName(of("b", "a")).hint("merge"), "head").drop("head")
         rows = df.where(side_of(F.col("split")).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("row_id"), split_name(F.col("split")).alias("split"), "collection")
-        return rows.join(hit, "row_id", "left").withColumn("partners", F.coalesce("partners", F.lit(0)))
+        return rows.join(hit.hint("merge"), "row_id", "left").withColumn("partners", F.coalesce("partners", F.lit(0)))
 
     def coverage(self, df: DataFrame, key: str) -> DataFrame:
         """``(split, collection, rows, overlapping, chained_share, pairs)`` per evaluation split and collection.
@@ -350,18 +378,18 @@ class SplitOverlap:
         return rows.groupBy("split", "collection").agg(F.count("*").alias("rows"), F.count("chained_share").alias("overlapping"), F.round(F.avg("chained_share"), 6).alias("chained_share"), F.sum("partners").alias("pairs"))
 
 
-def overlap_pairs(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
-    return SplitOverlap(df, key, text, tokens, similarity).pairs()
+def overlap_pairs(df: DataFrame, key: str, text: str, similarity: float = 0.8) -> DataFrame:
+    return SplitOverlap(df, key, text, similarity).pairs()
 
 
-def overlap_report(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
-    return SplitOverlap(df, key, text, tokens, similarity).coverage(df, key)
+def overlap_report(df: DataFrame, key: str, text: str, similarity: float = 0.8) -> DataFrame:
+    return SplitOverlap(df, key, text, similarity).coverage(df, key)
 
 
-def overlap_members(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
+def overlap_members(df: DataFrame, key: str, text: str, similarity: float = 0.8) -> DataFrame:
     """``(row_id, head, rep, copies)`` of the compared rows: what the pairs of large groups of copies follow from."""
-    return SplitOverlap(df, key, text, tokens, similarity).members.select("row_id", "head", "rep", "copies")
+    return SplitOverlap(df, key, text, similarity).members.select("row_id", "head", "rep", "copies")
 
 
-def overlap_records(df: DataFrame, key: str, text: str, tokens: bool = False, similarity: float = 0.8) -> DataFrame:
-    return SplitOverlap(df, key, text, tokens, similarity).records(df, key)
+def overlap_records(df: DataFrame, key: str, text: str, similarity: float = 0.8) -> DataFrame:
+    return SplitOverlap(df, key, text, similarity).records(df, key)

@@ -18,8 +18,8 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_pieces(read_table(spark, sf_dir, "pos")).drop("n_words", "longest")
 
 
-# Key and text of the tables with texts, and whether the text is an array of tokens.
-_TEXTS = {"pos": ("pos_id", "tokens", True), "unit": ("unit_id", "source", False), "indexing": ("idx_id", "text", False)}
+# Key and text (or tokens) of the tables with texts.
+_TEXTS = {"pos": ("pos_id", "tokens"), "unit": ("unit_id", "source"), "indexing": ("idx_id", "text")}
 
 
 def _each(spark: SparkSession, sf_dir: str, function: Callable[..., DataFrame], *tables: str) -> DataFrame:

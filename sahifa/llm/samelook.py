@@ -2,68 +2,63 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sahifa.llm.oneform import one_form
-from sahifa.llm.words import joined
-from sahifa.operators.rowmap import map_rows
+from sahifa.llm.words import stored_key, stored_texts
+from sahifa.operators.rowmap import map_batches
 from sahifa.session import materialise
 
 COPIES_EXPANDED = 64
 
 
-def with_one_form(df: DataFrame, key: str, text: str, tokens: bool = False) -> DataFrame:
-    """``(row_id, raw, form)``: the stored text and its one form; null texts count as empty."""
+def with_one_form(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(row_id, raw, form)``: the stored text (tokens joined by one space) and its one form; null texts count as empty."""
 
     def run(ids, texts):
-        raw = [joined(t) for t in texts] if tokens else [t or "" for t in texts]
+        raw = stored_texts(texts)
         return [ids, raw, [one_form(t) for t in raw]]
 
-    return map_rows(df.select(F.col(key).cast("long").alias("row_id"), text), run, "row_id long, raw string, form string")
+    return map_batches(df.select(F.col(key).cast("long").alias("row_id"), text), run, "row_id long, raw string, form string")
 
 
-def look_keys(df: DataFrame, key: str, text: str, tokens: bool = False) -> DataFrame:
+def look_keys(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(row_id, look, stored)``: 128-bit keys of the one form and of the stored text; rows with nothing visible are left out.
 
     Only keys travel, so long texts cost no more to compare than short ones.
     """
-    import hashlib
 
     def run(ids, texts):
-        keys, looks, stored = [], [], []
-        for row, value in zip(ids, texts):
-            raw = joined(value) if tokens else value or ""
-            form = one_form(raw)
-            if form:
-                keys.append(row)
-                looks.append(hashlib.blake2b(form.encode(), digest_size=16).digest())
-                stored.append(hashlib.blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-        return [keys, looks, stored]
+        raw = stored_texts(texts)
+        forms = [one_form(t) for t in raw]
+        kept = [i for i, form in enumerate(forms) if form]
+        return [ids.take(pa.array(kept, type=pa.int64())), [stored_key(forms[i]) for i in kept], [stored_key(raw[i]) for i in kept]]
 
-    return map_rows(df.select(F.col(key).cast("long").alias("row_id"), text), run, "row_id long, look binary, stored binary")
+    return map_batches(df.select(F.col(key).cast("long").alias("row_id"), text), run, "row_id long, look binary, stored binary")
 
 
-def look_classes(df: DataFrame, key: str, text: str, tokens: bool = False) -> DataFrame:
+def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(row_id, look, rep, copies)`` of rows whose look is stored in more than one way.
 
     ``rep`` is the least row stored equally and ``copies`` their number. Looks stored in one way
     leave before any join, by a minimum and a maximum that combine before the shuffle.
     """
-    keys = materialise(look_keys(df, key, text, tokens))
+    keys = materialise(look_keys(df, key, text))
     shared = keys.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("look")
     kept = keys.where("row_id is not null").join(shared.hint("merge"), "look", "left_semi")
     classes = kept.groupBy("look", "stored").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
     return materialise(kept.join(classes.hint("merge"), ["look", "stored"]).select("row_id", "look", "rep", "copies"))
 
 
-def same_look_members(df: DataFrame, key: str, text: str, tokens: bool = False) -> DataFrame:
+def same_look_members(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(row_id, class_id, rep, copies)``: one row per row that looks like one stored otherwise; rows of one look share ``class_id``."""
-    members = look_classes(df, key, text, tokens)
+    members = look_classes(df, key, text)
     least = members.groupBy("look").agg(F.min("rep").alias("class_id"))
     return members.join(least.hint("merge"), "look").select("row_id", "class_id", "rep", "copies")
 
 
-def same_look_pairs(df: DataFrame, key: str, text: str, tokens: bool = False, expanded: int | None = COPIES_EXPANDED) -> DataFrame:
+def same_look_pairs(df: DataFrame, key: str, text: str, expanded: int | None = COPIES_EXPANDED) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: rows with one look that are not stored equally.
 
     Rows stored equally are one class and form no pair; only classes are joined. Classes of up
@@ -72,7 +67,7 @@ def same_look_pairs(df: DataFrame, key: str, text: str, tokens: bool = False, ex
     and the result stays in proportion to the rows; :func:`same_look_members` has every row's
     class. Null ids are in no pair.
     """
-    members = look_classes(df, key, text, tokens)
+    members = look_classes(df, key, text)
     reps = members.where("row_id = rep").select("look", "rep")
     links = reps.withColumnRenamed("rep", "a").join(reps.withColumnRenamed("rep", "b").hint("merge"), "look").where("a < b").select("a", "b")
     return expand_links(links, members, expanded)

@@ -109,6 +109,24 @@ def test_bands_follow_the_rows():
         assert 1 - (1 - 0.7**width) ** bands >= 0.98
 
 
+def test_compressed_registers_estimate_the_similarity():
+    """The agreement of compressed registers, chance taken out, is the Jaccard similarity; pairs at the bound pass the sieve."""
+    import numpy as np
+
+    rng, errors, kept = random.Random(6), [], 0
+    chance = neardup.chance_agreement()
+    for _ in range(200):
+        shared, own = rng.randint(20, 80), rng.randint(5, 10)
+        own = shared // 4 if rng.random() < 0.5 else own
+        sets = [[rng.getrandbits(64) for _ in range(shared)]] + [[rng.getrandbits(64) for _ in range(own)] for _ in "ab"]
+        regs = [neardup.registers(np.array(sets[0] + sets[k], dtype=np.uint64), np.array([0]), neardup.SKETCH) for k in (1, 2)]
+        a, b = (neardup.compressed(r) for r in regs)
+        agree = sum((int(x[0]) >> k & 15) == (int(y[0]) >> k & 15) for x, y in zip(a, b) for k in range(0, 64, 4))
+        errors.append((agree / neardup.SKETCH - chance) / (1 - chance) - shared / (shared + 2 * own))
+        kept += agree >= neardup.least_agreeing(0.8)
+    assert abs(sum(errors) / len(errors)) < 0.02 and kept >= 199
+
+
 def test_recall_is_planned_at_the_lowest_jaccard():
     for similarity in (0.7, 0.8, 0.82, 0.9):
         for n in (10**3, 10**5, 10**6, 10**9):
@@ -157,7 +175,8 @@ def test_split_overlap_of_copies_and_of_nothing(spark):
     assert overlap.overlap_pairs(df.limit(0), "idx_id", "text").count() == 0
 
 
-def test_split_overlap_finds_pairs_without_a_shared_gram(spark, monkeypatch):
+@pytest.mark.parametrize("partners", [32.0, 0.5])
+def test_split_overlap_finds_pairs_without_a_shared_gram(spark, monkeypatch, partners):
     rng = random.Random(5)
     rows = []
     for k in range(60):
@@ -170,12 +189,68 @@ def test_split_overlap_finds_pairs_without_a_shared_gram(spark, monkeypatch):
         rows += [(2 * k, " ".join(base), "train"), (2 * k + 1, " ".join(other), "test")]
     df = spark.createDataFrame(rows, "idx_id long, text string, split string")
     want = {p for p in brute_pairs([r[1] for r in rows]) if p[0] % 2 != p[1] % 2}
-    for level in (0, 3, 127):  # all words keys two by two, some, none
-        monkeypatch.setattr(overlap, "SINGLE_KEY_LEVEL", level)
-        # every gram's words count as frequent here, as in a large input
-        monkeypatch.setattr(overlap, "FREQUENT_LEAST", 1)
-        monkeypatch.setattr(overlap, "FREQUENT_SHARE", 0.0)
-        assert len(want) >= 60 and {tuple(r) for r in overlap.overlap_pairs(df, "idx_id", "text").collect()} == want
+    monkeypatch.setattr(overlap, "PARTNERS", partners)  # the lesser one continues most grams, as in a large input
+    assert len(want) >= 60 and {tuple(r) for r in overlap.overlap_pairs(df, "idx_id", "text").collect()} == want
+
+
+def kept_pairs(lengths, edit, trials, scale, rng):
+    """Share of edited pairs that keep a fingerprint, by length, where counts stand for a collection ``scale`` times as large."""
+    import numpy as np
+
+    vocabulary = np.array([rng.getrandbits(64) | 1 for _ in range(20_000)], dtype=np.uint64)
+    weights = [1 / (r + 3) for r in range(len(vocabulary))]
+    rows = 20_000 * scale
+    counts = Counter(rng.choices(range(len(vocabulary)), weights, k=400_000))
+    table = np.zeros(2 * overlap._COUNTERS, dtype=np.int64)
+    for slots in overlap._slots(vocabulary):
+        np.add.at(table, slots, [scale * counts[i] for i in range(len(vocabulary))])
+    levels = np.round(4 * np.log2(np.maximum(table, 1))).astype(np.uint8)
+    found = {}
+    for n in lengths:
+        hits = 0
+        for _ in range(trials):
+            a = rng.choices(range(len(vocabulary)), weights, k=n)
+            b = edit(a, lambda: rng.choices(range(len(vocabulary)), weights)[0], counts, rng)
+            keys = [set(overlap.canonical_grams(vocabulary[x], np.array([len(x)]), levels, 4 * np.log2(rows), 0.8)[1].tolist()) for x in (a, b)]
+            hits += bool(keys[0] & keys[1])
+        found[n] = hits / trials
+    return found
+
+
+def spread_edit(words, new, counts, rng):
+    words, e = list(words), len(words) // 5
+    for k in range(e):
+        words[int((k + 0.5) * len(words) / e)] = new()
+    return words
+
+
+def random_edit(words, new, counts, rng):
+    words = list(words)
+    for at in rng.sample(range(len(words)), len(words) // 5):
+        words[at] = new()
+    return words
+
+
+def moved_edit(words, new, counts, rng):
+    words = random_edit(words, new, counts, rng)
+    rng.shuffle(words)
+    return words
+
+
+def rarest_edit(words, new, counts, rng):
+    words = list(words)
+    for at in sorted(range(len(words)), key=lambda i: counts[words[i]])[: len(words) // 5]:
+        words[at] = new()
+    return words
+
+
+@pytest.mark.parametrize("edit", [spread_edit, random_edit, moved_edit, rarest_edit])
+def test_fingerprints_of_pairs_at_the_similarity(edit):
+    rng = random.Random(11)
+    found = kept_pairs([15, 16, 20, 25, 40, 70, 100], edit, 120, 10, rng)
+    assert min(found.values()) >= 0.97 and sum(found.values()) / len(found) >= 0.99, found
+    found = kept_pairs([15, 20, 40], edit, 120, 10_000, rng)  # a vocabulary that does not grow with the rows is the hardest case
+    assert min(found.values()) >= 0.9, found
 
 
 def test_a_single_seed_is_kept_and_aligned(spark):
@@ -186,8 +261,7 @@ def test_a_single_seed_is_kept_and_aligned(spark):
     df = spark.createDataFrame([(1, " ".join(base), "train"), (2, " ".join(other), "test")], "idx_id long, text string, split string")
     found = overlap.SplitOverlap(df, "idx_id", "text")
     assert {tuple(r) for r in found.pairs().collect()} == {(1, 2)}
-    reps = df.selectExpr("idx_id as row_id", "if(split = 'train', 1, 2) as side", "60 as size", "array(7L) as grams", "array(3) as places")
-    assert [r["seeds"] for r in found._seeded(reps).collect()] == [[(3, 3)]]
+    assert [(r["shared"], r["chained"] > 0) for r in found.links.collect()] == [(49, True)]
 
 
 def test_pairs_without_seeds_are_chained():

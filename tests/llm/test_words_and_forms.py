@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from sahifa.llm import bpe, oneform, pieces, samelook, termfreq
-from sahifa.llm.words import joined, normalize_text, plain_words, term
+from sahifa.llm.words import Tokens, normalize_text, plain_words, raw_words, stored_texts, term
 
 
 def rows(df):
@@ -104,17 +104,31 @@ def test_a_hot_look_does_not_multiply(spark):
 
 def test_same_look_of_tokens_and_empty_table(spark):
     df = spark.createDataFrame([(1, ["قال", None, "x"]), (2, ["قال", "", "​x"]), (3, None), (4, [])], "pos_id long, tokens array<string>")
-    assert rows(samelook.same_look_pairs(df, "pos_id", "tokens", True)) == [(1, 2)]
-    assert rows(samelook.same_look_pairs(df.limit(0), "pos_id", "tokens", True)) == []
+    assert rows(samelook.same_look_pairs(df, "pos_id", "tokens")) == [(1, 2)]
+    assert rows(samelook.same_look_pairs(df.limit(0), "pos_id", "tokens")) == []
 
 
 def test_word_rules():
     assert plain_words("«قال:» - 12 … أَحْمَد") == ["قال", "12", "احمد"]
     assert term("12") == "" and term("(أحمد)") == "احمد"
-    assert joined(["a", None, "b"]) == "a  b" and joined(None) == ""
     assert normalize_text("  مكتبة على ") == "مكتبه علي"
 
 
+def test_tokens_of_a_batch_against_plain_words():
+    import pyarrow as pa
+
+    random.seed(12)
+    pool = ["قال", "قَال،", "a b", "", None, "—", "\u200b", "x\u2800y z", "\u00a0", "«عن»"]
+    lists = [None if random.random() < 0.1 else [random.choice(pool) for _ in range(random.randint(0, 12))] for _ in range(200)]
+    texts = [None if x is None else random.choice([" ", "\n", "\u3000 "]).join(t or "" for t in x) for x in lists]
+    for rows, column in ((lists, pa.array(lists, pa.list_(pa.string()))), (texts, pa.array(texts)), (texts[40:160], pa.array(texts)[40:160]), (lists[40:160], pa.array(lists, pa.list_(pa.string()))[40:160])):
+        stored = [" ".join(t or "" for t in x or []) if rows is lists or x is None or isinstance(x, list) else x for x in rows]
+        assert stored_texts(column) == stored
+        sizes, values, _ = Tokens(column).spread(lambda t: [len(w) for w in raw_words(t)])
+        want = [[len(w) for w in raw_words(t)] for t in stored]
+        assert sizes.tolist() == [len(w) for w in want] and values.tolist() == [n for w in want for n in w]
+
+
 # --- pieces ----------------------------------------------------------------
 
 
