@@ -1,12 +1,14 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer (problem 7).
 
-The merges are compiled into a deterministic automaton over token arcs, one merge gadget after
-the other: the gadget of a merge ``a b -> c`` adds the arc label ``c`` beside the path ``a b``
-and closes that path. What the gadgets leave open after two labels is a property of the pair
-alone, so a state is the label last emitted and the table says which label may follow it. Its
-rows are filled when a word first needs them (the full table would have a cell for each pair of
-the vocabulary). Encoding walks a pre-split word along open arcs, longest label first; exactly
-one path reaches the end of the word. Decoding emits the labels of the arcs.
+The merges are compiled into an automaton over token arcs, one merge gadget after the other:
+the gadget of a merge ``a b -> c`` adds the arc label ``c`` beside the path ``a b`` and closes
+that path. What the gadgets leave open at a seam of two labels is a property of the pair alone.
+Read byte by byte the automaton is deterministic: to each position of a word leads exactly one
+open path, and a state knows the last label of the paths that a longer label may still go on
+from. Its transition table is filled cell by cell as words need it (the whole table would have
+a cell for each state and byte) and holds a bounded number of cells; when it is full it starts
+anew. Encoding a pre-split word is one table step a byte, and the labels are read back from the
+last state; nothing is searched and nothing tried twice. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import array
 import base64
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +30,7 @@ TOKENIZERS = "/opt/tokenizers"
 # The pre-splitting pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MEMO_BYTES = 64_000_000
+MOST_STEPS = 400_000  # cells of the table and of the seams behind it that a worker holds
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,24 +62,32 @@ class _Chunks(dict):
 class TokenAutomaton:
     """The automaton of one vocabulary of ranks (label bytes -> id, ids in the order of the merges)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most_steps: int = MOST_STEPS) -> None:
         import regex
 
         self.labels = {i: t for t, i in ranks.items()}
         self.ranks = ranks
+        self.most_steps = most_steps
         self._split = regex.compile(pattern).findall
-        self._longest = max(map(len, ranks))
         self._left: dict[int, int] = {}
         self._right: dict[int, int] = {}
         self._gadgets: dict[tuple[int, int], int] = {}
-        self._open: dict[tuple[int, int], bool] = {}
         self._memo: dict[str, bytes] = {}
         self._held = 0
         self._chunks = _Chunks(self)
         for label, c in sorted(ranks.items(), key=lambda x: x[1]):
             if len(label) > 1:
                 self._add_gadget(label, c)
-        self._by_prefix = self._arcs()
+        self._openings = frozenset(label[:k] for label in ranks for k in range(1, len(label)))
+        self._clear()
+
+    def _clear(self) -> None:
+        """The table as it is before any word: the state at a word's start alone."""
+        self._open: dict[tuple[int, int], bool] = {}
+        self._numbers: dict[tuple[bytes, tuple[int, ...]], int] = {(b"", (-1,)): 0}
+        self._states: list[tuple[bytes, tuple[int, ...]]] = [(b"", (-1,))]
+        self._last: list[int] = [-1]
+        self._steps: dict[int, int] = {}
 
     def _add_gadget(self, label: bytes, c: int) -> None:
         """Add label ``c``: the two arcs it joins are the path the gadgets so far leave for its bytes."""
@@ -99,15 +111,6 @@ class TokenAutomaton:
             parts[at : at + 2] = [best]
         return parts
 
-    def _arcs(self) -> dict[bytes, list[tuple[bytes, int]]]:
-        """Labels by their first two bytes (one for single bytes), longest first."""
-        arcs: dict[bytes, list[tuple[bytes, int]]] = {}
-        for label, c in self.ranks.items():
-            arcs.setdefault(label[:2], []).append((label, c))
-        for group in arcs.values():
-            group.sort(key=lambda x: -len(x[0]))
-        return arcs
-
     def is_open(self, a: int, b: int) -> bool:
         """Whether arc ``b`` may follow arc ``a``: undo gadgets at the seam, newest first, and see whether an older one would have closed it."""
         known = self._open.get((a, b))
@@ -133,37 +136,46 @@ class TokenAutomaton:
         self._open[a, b] = answer
         return answer
 
+    def _step(self, state: int, byte: int) -> int:
+        """Fill one cell of the table: the state after ``state`` and ``byte``.
+
+        A state is the longest end of what was read that a label still goes on with, and the
+        last label of the path to each of its positions. The label that ends at the new byte is
+        the one that may follow the path to where it starts; the gadgets leave exactly one.
+        """
+        tail, paths = self._states[state]
+        tail += bytes((byte,))
+        paths += (-1,)
+        n = len(tail)
+        for size in range(n, 0, -1):
+            label = self.ranks.get(tail[n - size :])
+            if label is not None and (paths[n - size] < 0 or self.is_open(paths[n - size], label)):
+                break
+        paths = (*paths[:-1], label)
+        while tail and tail not in self._openings:
+            tail, paths = tail[1:], paths[1:]
+        after = self._numbers.setdefault((tail, paths), len(self._states))
+        if after == len(self._states):
+            self._states.append((tail, paths))
+            self._last.append(label)
+        self._steps[state << 8 | byte] = after
+        return after
+
     def encode_bytes(self, word: bytes) -> list[int]:
-        """The one open path over the bytes of a pre-split word."""
-        whole = self.ranks.get(word)
-        if whole is not None:  # every label is the path of its own bytes, as its gadget made it
-            return [whole]
-        n, arcs = len(word), self._by_prefix
-        path: list[int] = []
-        starts: list[int] = []
-        at = 0
-        dead: set[tuple[int, int]] = set()
-        skip = None  # at a state gone back to: only labels shorter than this
-        while at < n:
-            state = path[-1] if path else -1
-            step = None
-            for group in (arcs.get(word[at : at + 2], ()) if at + 1 < n else (), arcs.get(word[at : at + 1], ())):
-                for label, c in group:
-                    size = len(label)
-                    if (skip is None or size < skip) and at + size <= n and word.startswith(label, at) and (at + size, c) not in dead and (state < 0 or self.is_open(state, c)):
-                        step = c, size
-                        break
-                if step:
-                    break
-            if step:
-                path.append(step[0])
-                starts.append(at)
-                at += step[1]
-                skip = None
-            else:
-                dead.add((at, state))
-                skip = len(self.labels[path.pop()])
-                at = starts.pop()
+        """The one open path over the bytes of a pre-split word: a table step for each byte, then back along the labels the states name."""
+        if len(self._steps) + len(self._open) > self.most_steps:
+            self._clear()
+        steps, state, passed = self._steps, 0, []
+        for byte in word:
+            after = steps.get(state << 8 | byte)
+            state = self._step(state, byte) if after is None else after
+            passed.append(state)
+        path, at, last, labels = [], len(word), self._last, self.labels
+        while at:
+            label = last[passed[at - 1]]
+            path.append(label)
+            at -= len(labels[label])
+        path.reverse()
         return path
 
     def word_ids(self, word: str) -> bytes:
@@ -203,6 +215,23 @@ class TokenAutomaton:
         return b"".join([self.labels[i] for i in ids or ()]).decode("utf-8", "replace")
 
 
+def shipped(df: DataFrame, path: str) -> Callable[[], TokenAutomaton]:
+    """What makes the automaton in a worker; the ranks file is sent to the executors, which need not have it."""
+    context = df.sparkSession.sparkContext
+    sent = context.__dict__.setdefault("_sahifa_files", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+    name = os.path.basename(path)
+
+    def make() -> TokenAutomaton:
+        from pyspark import SparkFiles
+
+        return automaton(SparkFiles.get(name))
+
+    return make
+
+
 @lru_cache(maxsize=2)
 def automaton(path: str) -> TokenAutomaton:
     """The compiled automaton of a ranks file, once per Python worker."""
@@ -225,7 +254,7 @@ def encode_documents(df: DataFrame, path: str | None = None) -> DataFrame:
         values = pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)])
         return [ids, pa.ListArray.from_arrays(pa.array(offsets), values)]
 
-    return map_rows(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>", init=lambda: automaton(path))
+    return map_rows(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>", init=shipped(df, path))
 
 
 def token_counts(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -235,10 +264,10 @@ def token_counts(df: DataFrame, path: str | None = None) -> DataFrame:
     def run(tool, ids, sources, texts):
         return [ids, sources, [len(tool.packed(t)) // 4 for t in texts]]
 
-    return map_rows(df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), run, "doc_id long, source string, n_tokens long", init=lambda: automaton(path))
+    return map_rows(df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), run, "doc_id long, source string, n_tokens long", init=shipped(df, path))
 
 
 def decode_documents(df: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, text)`` of ``(doc_id, ids)``; null ids give an empty text."""
     path = path or ranks_path()
-    return map_rows(df.select("doc_id", "ids"), lambda tool, keys, ids: [keys, [tool.decode(i) for i in ids]], "doc_id long, text string", init=lambda: automaton(path))
+    return map_rows(df.select("doc_id", "ids"), lambda tool, keys, ids: [keys, [tool.decode(i) for i in ids]], "doc_id long, text string", init=shipped(df, path))

@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sahifa.llm.oneform import one_form
-from sahifa.operators.rowmap import map_rows
+from sahifa.llm.words import Tokens, ranges, raw_words
+from sahifa.operators.rowmap import map_batches
 
 # What ends a sentence, and what may close it after that.
 _ENDS = ".؟?!۔…"
@@ -23,19 +27,31 @@ _BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _BREAK_SET = frozenset(_BREAKS)
 
 
-class _Word(dict):
-    """Raw word -> 0 unseen, 1 a word, 2 a word that ends a sentence."""
+class _Shape(dict):
+    """Token -> ``(words, ends)``: its visible words, and after how many of them a sentence ends; bounded."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, token: str) -> tuple[list[str], list[int]]:
         if len(self) >= 400_000:
             self.clear()
-        form = one_form(word)
-        kind = 0 if not form else 1 + (form.rstrip(_CLOSERS)[-1:] in _ENDS and form.rstrip(_CLOSERS) != "")
-        self[word] = kind
-        return kind
+        words: list[str] = []
+        ends: list[int] = []
+        lines = (token,) if _BREAK_SET.isdisjoint(token) else token.translate(_TO_LF).split("\n")
+        for k, line in enumerate(lines):
+            if k:
+                ends.append(len(words))
+            for word in raw_words(line):
+                form = one_form(word)
+                if form:
+                    words.append(word)
+                    bare = form.rstrip(_CLOSERS)
+                    if bare and bare[-1] in _ENDS:
+                        ends.append(len(words))
+        self[token] = shape = words, ends
+        return shape
 
 
-_KIND = _Word()
+_TO_LF = str.maketrans({c: "\n" for c in _BREAKS})
+_SHAPES = _Shape()
 
 
 def split_tokens(tokens: list[str | None] | None) -> tuple[list[str], list[int], list[int]]:
@@ -46,28 +62,12 @@ def split_tokens(tokens: list[str | None] | None) -> tuple[list[str], list[int],
     words: list[str] = []
     origin: list[int] = []
     ends: list[int] = []
-    kinds = _KIND
     for i, token in enumerate(tokens or ()):
-        if not token:
-            continue
-        if _BREAK_SET.isdisjoint(token):
-            lines = (token,)
-        else:
-            lines = token.translate(_TO_LF).split("\n")
-        for k, line in enumerate(lines):
-            if k and words and (not ends or ends[-1] != len(words)):
-                ends.append(len(words))
-            for word in line.split():
-                kind = kinds[word]
-                if kind:
-                    words.append(word)
-                    origin.append(i)
-                    if kind == 2:
-                        ends.append(len(words))
-    return words, origin, ends
-
-
-_TO_LF = str.maketrans({c: "\n" for c in _BREAKS})
+        own, stops = _SHAPES[token or ""]
+        ends += [e for e in (len(words) + stop for stop in stops) if e and (not ends or e > ends[-1])]
+        words += own
+        origin += [i] * len(own)
+    return words, origin, list(dict.fromkeys(ends))
 
 
 def cut_points(n: int, ends: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -87,13 +87,45 @@ def cut_points(n: int, ends: list[int], limit: int, overlap: int) -> list[tuple[
         start = stop - overlap
 
 
-def longest_sentence(n: int, ends: list[int]) -> int:
-    """Most words in a row up to and including an end of a sentence, or the end of the row."""
-    longest = before = 0
-    for end in ends:
-        longest = max(longest, end - before)
-        before = end
-    return max(longest, n - before)
+def cut_class(n: int, ends: list[int], limit: int) -> str:
+    """``forced`` if the cutting, without overlap, must cut inside a sentence, else ``natural``.
+
+    Cut at ends of sentences, each piece begins where a sentence does; then the only thing that
+    leaves the binary search without an end is a sentence of more than ``limit`` words.
+    """
+    whole = {*ends, n}
+    return "natural" if all(stop in whole for _, stop in cut_points(n, ends, limit, 0)) else "forced"
+
+
+class _Batch:
+    """Words and ends of sentences of the rows of an Arrow column of tokens, as running offsets.
+
+    Each spelling of a token is looked at once; words and ends are spread by index.
+    """
+
+    def __init__(self, tokens: pa.Array) -> None:
+        self.tokens = Tokens(tokens)
+        self.sizes, self.word, self.origin = self._words()
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        counts, stops, at = self.tokens.spread(lambda t: _SHAPES[t][1], np.int64)
+        held = np.array([len(_SHAPES[t][0]) for t in self.tokens.spellings], dtype=np.int64)[self.tokens.codes]
+        before = np.cumsum(held) - held
+        self.ends = before[at] + stops  # of the whole batch; the first word of a row may repeat its start
+        self.end_bounds = np.concatenate(([0], np.cumsum(counts)))
+
+    def _words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place: list[str] = []
+        first = {}
+        for t in self.tokens.spellings:
+            first[t] = len(place)
+            place += _SHAPES[t][0]
+        self.spellings = pa.array(place, type=pa.string())
+        return self.tokens.spread(lambda t: range(first[t], first[t] + len(_SHAPES[t][0])), np.int64)
+
+    def ends_of(self, row: int) -> list[int]:
+        """Sorted ends of a row's sentences, as numbers of its words."""
+        own = np.unique(self.ends[self.end_bounds[row] : self.end_bounds[row + 1]] - self.starts[row])
+        return own[own > 0].tolist()
 
 
 def split_pieces(df: DataFrame, limit: int = 120, overlap: int = 10) -> DataFrame:
@@ -102,29 +134,45 @@ def split_pieces(df: DataFrame, limit: int = 120, overlap: int = 10) -> DataFram
     A word takes the tag of its token. Tags that are missing come out as null arrays; where
     there are fewer tags than tokens the rest is null, surplus tags are dropped. Rows with no
     words (null, empty or unseen tokens) have no pieces; repeated rows are each cut; other
-    columns are ignored. ``n_words`` and ``longest`` describe the whole row.
+    columns are ignored.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than limit")
 
     def run(ids, tokens, tags):
-        out = [[] for _ in range(8)]
-        for key, toks, labels in zip(ids, tokens, tags):
-            words, origin, ends = split_tokens(toks)
-            longest = longest_sentence(len(words), ends)
-            for no, (a, b) in enumerate(cut_points(len(words), ends, limit, overlap)):
-                cut = None if labels is None else [labels[i] if i < len(labels) else None for i in origin[a:b]]
-                for column, value in zip(out, (key, no, a, b, words[a:b], cut, len(words), longest)):
-                    column.append(value)
-        return out
-
-    return map_rows(
-        df.select("pos_id", "tokens", "tags"), run,
-        "pos_id long, piece int, word_start int, word_end int, words array<string>, tags array<string>, n_words int, longest int",
-    )
-
-
-def oversized(df: DataFrame, limit: int = 120, overlap: int = 10) -> DataFrame:
-    """Rows with more than ``limit`` words and how they must be cut: ``forced`` or ``natural``."""
-    pieces = split_pieces(df, limit, overlap)
-    return pieces.where(f"piece = 0 and n_words > {limit}").selectExpr("pos_id", f"if(longest > {limit}, 'forced', 'natural') as cut_class")
+        batch = _Batch(tokens)
+        rows, numbers, starts, stops = [], [], [], []
+        for row in np.flatnonzero(batch.sizes).tolist():
+            n = int(batch.sizes[row])
+            for no, (a, b) in enumerate(cut_points(n, batch.ends_of(row) if n > limit else [], limit, overlap)):
+                rows.append(row)
+                numbers.append(no)
+                starts.append(a)
+                stops.append(b)
+        rows, starts, stops = (np.array(x, dtype=np.int64) for x in (rows, starts, stops))
+        words = ranges(batch.starts[rows] + starts, stops - starts)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(stops - starts))).astype(np.int32))
+        of = np.repeat(rows, stops - starts)
+        nth = batch.origin[words] - batch.tokens.offsets[of]  # the word's token in its row
+        counts = pc.fill_null(pc.list_value_length(tags), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, bounds = tags.flatten(), np.cumsum(counts) - counts
+        there = nth < counts[of]
+        cut = flat.take(pa.array(np.where(there, bounds[of] + nth, 0), mask=~there))
+        none = tags.is_null().to_numpy(zero_copy_only=False)[rows]
+        return [
+            ids.take(pa.array(rows)), numbers, starts, stops, pa.ListArray.from_arrays(offsets, batch.spellings.take(pa.array(batch.word[words]))) if len(rows) else [],
+            pa.ListArray.from_arrays(offsets, cut, mask=pa.array(none)) if len(rows) else [],
+        ]
+
+    return map_batches(df.select("pos_id", "tokens", "tags"), run, "pos_id long, piece int, word_start int, word_end int, words array<string>, tags array<string>")
+
+
+def oversized(df: DataFrame, limit: int = 120) -> DataFrame:
+    """``(pos_id, cut_class)`` of the rows with more than ``limit`` words: ``forced`` where the cutting must cut inside a sentence, else ``natural``."""
+
+    def run(ids, tokens):
+        batch = _Batch(tokens)
+        rows = np.flatnonzero(batch.sizes > limit)
+        return [ids.take(pa.array(rows)), [cut_class(int(batch.sizes[r]), batch.ends_of(r), limit) for r in rows]]
+
+    return map_batches(df.select("pos_id", "tokens"), run, "pos_id long, cut_class string")

@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.split_pieces(read_table(spark, sf_dir, "pos")).drop("n_words", "longest")
+    return pieces.split_pieces(read_table(spark, sf_dir, "pos"))
 
 
 # Key and text (or tokens) of the tables with texts.

@@ -14,15 +14,15 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sahifa.llm.words import term
-from sahifa.operators.rowmap import map_rows
+from sahifa.llm.words import Tokens, terms
+from sahifa.operators.rowmap import map_batches
 from sahifa.session import shared_folder
 
 FAN_BITS = 4
@@ -32,35 +32,36 @@ _PARTIAL = "field string, term string, hash long, n_occurrences long, n_rows lon
 _ARROW = pa.schema([("field", pa.string()), ("term", pa.string()), ("hash", pa.int64()), ("n_occurrences", pa.int64()), ("n_rows", pa.int64())])
 
 
+def _label(tag: str) -> list[str]:
+    tag = tag.strip().lower()
+    return [tag] if tag else []
+
+
+def _counted(column: pa.Array, of: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Terms of a batch, their occurrences and their rows; each spelling is looked at once."""
+    tokens = Tokens(column)
+    number: dict[str, int] = {}
+    sizes, ids, _ = tokens.spread(lambda t: [number.setdefault(w, len(number)) for w in of(t)], np.int64)
+    pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(number), 1) + ids)
+    return list(number), np.bincount(ids, minlength=len(number)), np.bincount(pairs % max(len(number), 1), minlength=len(number))
+
+
 def partial_counts(df: DataFrame) -> DataFrame:
     """One row per batch, field and term: occurrences and rows, of ``tokens`` and of ``tags``."""
     import xxhash
 
     def run(tokens, tags):
-        total, rows = Counter(), Counter()
-        label_total, label_rows = Counter(), Counter()
-        for toks, labels in zip(tokens, tags):
-            if toks:
-                words = [w for t in toks if t for w in t.split()]
-                total.update(words)
-                rows.update({w: 1 for w in {term(w) for w in words}})
-            if labels:
-                clean = [x for x in ((t or "").strip().lower() for t in labels) if x]
-                label_total.update(clean)
-                label_rows.update(set(clean))
-        counted = Counter()
-        for w, n in total.items():  # raw spellings of one term meet here, so each is normalized once a batch
-            counted[term(w)] += n
-        counted.pop("", None)
         out = [[], [], [], [], []]
-        for field, of, held in (("tokens", counted, rows), ("tags", label_total, label_rows)):
-            for w, n in of.items():
-                h = xxhash.xxh3_64_intdigest(field + "\x1f" + w) >> 1
-                for column, value in zip(out, (field, w, h, n, held[w])):
-                    column.append(value)
+        for field, column, of in (("tokens", tokens, terms), ("tags", tags, _label)):
+            found, total, held = _counted(column, of)
+            out[0] += [field] * len(found)
+            out[1] += found
+            out[2] += [xxhash.xxh3_64_intdigest(field + "\x1f" + w) >> 1 for w in found]
+            out[3] += total.tolist()
+            out[4] += held.tolist()
         return out
 
-    return map_rows(df.select("tokens", "tags"), run, _PARTIAL)
+    return map_batches(df.select("tokens", "tags"), run, _PARTIAL)
 
 
 def _aggregate(table: pa.Table, scratch: str, memory: str) -> pa.Table:

@@ -167,6 +167,15 @@ def test_pieces_against_brute_force(spark):
         assert found.get(key) == (None if len(words) <= 120 else "forced" if brute_class(toks, 120) else "natural")
 
 
+def test_the_class_is_that_of_the_cutting():
+    random.seed(9)
+    for _ in range(400):
+        n, limit = random.randint(1, 400), 120
+        ends = sorted(random.sample(range(1, n + 1), min(n, random.choice([0, 1, 3, 8]))))
+        longest = max(b - a for a, b in zip([0, *ends], [*ends, n]))
+        assert pieces.cut_class(n, ends, limit) == ("forced" if longest > limit else "natural")
+
+
 def test_cuts_are_natural_where_possible():
     assert pieces.cut_points(130, [50, 100, 130], 120, 10) == [(0, 100), (90, 130)]
     assert pieces.cut_points(130, [], 120, 10) == [(0, 120), (110, 130)]
@@ -234,6 +243,15 @@ def test_encoding_equals_the_merge_rule(tool):
         assert tool.decode(ids) == text
 
 
+def test_a_full_table_starts_anew(tool):
+    random.seed(17)
+    small, encoder = bpe.TokenAutomaton(tool.ranks, most_steps=300), peer(tool)
+    for _ in range(300):
+        word = "".join(random.choice("abcالقوم٤ \n—") for _ in range(random.randint(1, 40)))
+        assert [i for w in small._split(word) for i in small.encode_bytes(w.encode())] == encoder.encode_ordinary(word)
+        assert len(small._steps) < 300 + 2 * 160
+
+
 def test_the_automaton_has_one_path_only(tool):
     """Every pair of labels the merge rule gives is open, and a closed pair is never one it gives."""
     random.seed(8)
