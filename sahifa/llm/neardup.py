@@ -28,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sahifa.llm.samelook import COPIES_EXPANDED
@@ -49,29 +50,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    """Raw word -> 64-bit hash of the plain word, 0 for what is no word; bounded."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
+class _Hashes(dict):
+    """Token -> 64-bit hashes of its plain words, bounded."""
 
+    def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) >= 400_000:
             self.clear()
-        plain = _ALNUM[word]
-        self[word] = value = (xxhash.xxh3_64_intdigest(plain) | 1) if plain else 0
+        plain = map(_ALNUM.__getitem__, raw_words(token))
+        self[token] = value = tuple([xxhash.xxh3_64_intdigest(w) | 1 for w in plain if w])
         return value
 
 
-_HASH = _WordHash()
-
-
-def _hashes(token: str) -> list[int]:
-    return [h for h in map(_HASH.__getitem__, raw_words(token)) if h]
+_HASHES = _Hashes()
 
 
 def flat_words(column: pa.Array, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of the rows of an Arrow column (texts or arrays of tokens) with at least ``least`` words: kept positions, sizes, and all hashes one row after the other."""
-    sizes, flat, _ = Tokens(column).spread(_hashes)
+    sizes, flat, _ = Tokens(column).spread(_HASHES.__getitem__)
     fits = sizes >= least
     return np.flatnonzero(fits), sizes[fits], flat[np.repeat(fits, sizes)]
 

@@ -13,8 +13,8 @@ and a row at most 50, that is no matter of chance at all: among the words both s
 side by side than the others can part.
 
 Fingerprints are joined across splits. Rows with the same words are one class per split side and
-give their fingerprints once, so copies never multiply in the join. Of the pairs found the exact
-share of words is taken, and those that reach the similarity are aligned: grams winnowed in the
+give their fingerprints once, so copies never multiply in the join. Pairs whose parity bitmaps
+differ too much leave without a look at their words; of the others the exact share is taken, and those that reach the similarity are aligned: grams winnowed in the
 rows' own order are the seeds, the longest collinear chain of them is extended word by word, and
 words that were moved are aligned afterwards wherever they stand.
 """
@@ -42,6 +42,9 @@ LONG_GRAM = 8
 RECALL = 0.999
 SKIPS = 3  # kinds of grams: whole ones, and those that leave out one or two words after their first
 SEED_GRAM, SEED_WINDOW = 3, 5
+BITMAPS = 4  # words of 64 bits
+BITS = [f"bits_{k}" for k in range(BITMAPS)]
+BIT_SCHEMA = ", ".join(f"{c} long" for c in BITS)
 _COUNTERS = 1 << 19  # slots of either of two tables
 
 
@@ -94,8 +97,13 @@ def _level(words: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.minimum(levels[one], levels[two])
 
 
-def canonical_grams(words: np.ndarray, sizes: np.ndarray, levels: np.ndarray, rows: float, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and fingerprint of the least grams of each row's words in canonical order; see the module's docstring.
+def canonical_grams(
+    words: np.ndarray, sizes: np.ndarray, levels: np.ndarray, rows: float, similarity: float, wanted_rows: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and fingerprint of the least grams of each row's words in canonical order (see the module's docstring), and each row's bitmap.
+
+    Only rows marked in ``wanted_rows`` (None: all) give grams. The bitmap is ``BITMAPS`` words of
+    parities of hashed words: two rows' bitmaps never differ in more bits than their words do.
 
     ``levels`` has the counters and ``rows`` the number of rows, both in quarters of binary
     logarithms. A gram of ``g`` words is kept by a pair at the similarity with a chance of
@@ -103,45 +111,60 @@ def canonical_grams(words: np.ndarray, sizes: np.ndarray, levels: np.ndarray, ro
     stands between them.
     """
     row = np.repeat(np.arange(len(sizes)), sizes)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    words, elements = numbered(words, sizes)
+    starts = np.cumsum(sizes) - sizes
     level = _level(words, levels)
-    order = np.lexsort((elements, level, row))
-    elements, share = elements[order], np.minimum(level[order].astype(np.float64) - rows, 0.0)
-    n, at = len(elements), np.arange(len(elements))
-    place, end = at - starts[row], (starts + sizes)[row]
-    more = LONG_GRAM + SKIPS
-    elements, share = np.append(elements, np.zeros(more, dtype=np.uint64)), np.append(share, np.zeros(more))
+    ranked = level.astype(np.uint64) << np.uint64(56) | words >> np.uint64(8)
+    order = np.lexsort((ranked, row))
+    ranked, share = ranked[order], np.minimum(level[order] - rows, 0.0)
+    # equal words stand together now: the second of them is another element than the first
+    at = np.arange(len(ranked))
+    new = np.ones(len(ranked), dtype=bool)
+    new[1:] = (ranked[1:] != ranked[:-1]) | (row[1:] != row[:-1])
+    elements = _mix(words[order] + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * _GOLDEN)
     own = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64)  # words one row may have alone
     wanted = math.log(1 / (1 - RECALL))
     weight = np.array([0.0, 0.0, *(-math.log(1 - similarity ** (2 * g - 1)) for g in range(2, LONG_GRAM + 1))])
-    mass = np.zeros(len(sizes))
+    bits, part = np.uint64(1) << (elements & np.uint64(63)), (elements >> np.uint64(6)) % np.uint64(BITMAPS)
+    bitmaps = np.stack([np.bitwise_xor.reduceat(np.where(part == k, bits, np.uint64(0)), starts) for k in range(BITMAPS)])
+    mass = np.zeros(len(sizes)) if wanted_rows is None else np.where(wanted_rows, 0.0, wanted)
     out_rows, out_keys = [], []
-    for skip in range(SKIPS):
-        second = at + 1 + skip
-        fits = (second < end) & (mass[row] < wanted)
-        length = np.full(n, 2)
-        partners = rows + share[:n] + share[second]
-        key = _mix(_mix(elements[:n] + np.uint64(skip)) + elements[second])
-        for k in range(2, LONG_GRAM):
-            longer = fits & (length == k) & (partners > 4 * math.log2(PARTNERS)) & (second + k - 1 < end)
-            if not longer.any():
+    # what a row's first grams leave wanting is looked for further on, then in grams with words left out
+    reach = math.ceil(wanted / weight[2])
+    for skip, near in ((0, True), (0, False), *((k, None) for k in range(1, SKIPS))):
+        rows_left = mass < wanted
+        low = np.zeros_like(sizes) if near is not False else own + reach
+        high = np.minimum(own + reach, sizes) if near else sizes
+        span = np.where(rows_left, np.maximum(np.minimum(high, sizes - 1 - skip) - low, 0), 0)
+        here = ranges(starts + low, span)
+        if not len(here):
+            continue
+        of = row[here]
+        last = (starts + sizes)[of] - 1
+        second = here + 1 + skip
+        key = _mix(_mix(elements[here] + np.uint64(skip)) + elements[second])
+        partners = rows + share[here] + share[second]
+        length = np.full(len(here), 2)
+        open_ = np.arange(len(here))
+        for k in range(1, LONG_GRAM - 1):
+            open_ = open_[(partners[open_] > 4 * math.log2(PARTNERS)) & (second[open_] + k <= last[open_])]
+            if not len(open_):
                 break
-            following = np.minimum(second + k - 1, n)
-            key = np.where(longer, _mix(key * _GOLDEN + elements[following]), key)
-            partners = np.where(longer, partners + share[following], partners)
-            length += longer
-        gain = np.where(fits & (place >= own[row]), weight[length], 0.0)
-        total = np.cumsum(gain)
-        before = total - gain
-        before -= before[starts][row]
-        chosen = np.flatnonzero(fits & ((place < own[row]) | (before + mass[row] < wanted)))
-        out_rows.append(row[chosen])
+            following = second[open_] + k
+            key[open_] = _mix(key[open_] * _GOLDEN + elements[following])
+            partners[open_] += share[following]
+            length[open_] += 1
+        junk = here - starts[of] < own[of]
+        gain = np.where(junk, 0.0, weight[length])
+        first = np.cumsum(span) - span
+        before = np.cumsum(gain) - gain
+        before += (mass - np.append(before, 0.0)[np.minimum(first, len(before))])[of]
+        chosen = np.flatnonzero(junk | (before < wanted))
+        out_rows.append(of[chosen])
         out_keys.append(key[chosen])
-        mass += np.bincount(row[chosen], weights=gain[chosen], minlength=len(sizes))
-    found, keys = np.concatenate(out_rows), np.concatenate(out_keys)
+        mass += np.bincount(of[chosen], weights=gain[chosen], minlength=len(sizes))
+    found, keys = np.concatenate(out_rows or [row[:0]]), np.concatenate(out_keys or [elements[:0]])
     order = np.argsort(found, kind="stable")
-    return found[order], keys[order]
+    return found[order], keys[order], bitmaps
 
 
 def winnowed(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +190,7 @@ def winnowed(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fingerprints(rows: DataFrame, levels: np.ndarray, n_rows: float, similarity: float) -> DataFrame:
-    """``(row_id, side, bag, bag_too, stored, size, keys)`` of rows with enough words.
+    """``(row_id, side, bag, bag_too, stored, size, keys, bits_0, ...)`` of rows with enough words.
 
     ``bag`` and ``bag_too`` are the same for the same words in any order; in a batch the first row of a bag and
     side has the keys, the others none.
@@ -177,7 +200,7 @@ def fingerprints(rows: DataFrame, levels: np.ndarray, n_rows: float, similarity:
     def run(ids, sides, values):
         kept, sizes, words = flat_words(values)
         if not len(kept):
-            return [[] for _ in range(7)]
+            return [[] for _ in range(7 + BITMAPS)]
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         sums = np.stack([_mix(np.add.reduceat(words, starts) + sizes.astype(np.uint64) * _GOLDEN), np.add.reduceat(_mix(words), starts)], axis=1)
         side = sides.take(pa.array(kept))
@@ -185,14 +208,12 @@ def fingerprints(rows: DataFrame, levels: np.ndarray, n_rows: float, similarity:
         first.sort()
         reps = np.zeros(len(kept), dtype=bool)
         reps[first] = True
-        keyed, keys = canonical_grams(words[np.repeat(reps, sizes)], sizes[reps], table.value, n_rows, similarity)
-        counts = np.zeros(len(kept), dtype=np.int64)
-        counts[first] = np.bincount(keyed, minlength=len(first))
-        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+        keyed, keys, bitmaps = canonical_grams(words, sizes, table.value, n_rows, similarity, reps)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(keyed, minlength=len(kept))))).astype(np.int32))
         bags = (pa.array(np.ascontiguousarray(sums[:, k]).view(np.int64)) for k in (0, 1))
-        return [ids.take(pa.array(kept)), side, *bags, keys_of(values, kept), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))]
+        return [ids.take(pa.array(kept)), side, *bags, keys_of(values, kept), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))), *(pa.array(b.view(np.int64)) for b in bitmaps)]
 
-    return map_batches(rows.select("row_id", "side", "value"), run, "row_id long, side int, bag long, bag_too long, stored binary, size int, keys array<long>")
+    return map_batches(rows.select("row_id", "side", "value"), run, f"row_id long, side int, bag long, bag_too long, stored binary, size int, keys array<long>, {BIT_SCHEMA}")
 
 
 def chain_and_align(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> tuple[int, int]:
@@ -278,15 +299,15 @@ class SplitOverlap:
         printed = materialise(fingerprints(rows, *word_levels(rows), similarity))
         classes = printed.groupBy("side", "bag", "bag_too", "stored").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
         heads = classes.groupBy("side", "bag", "bag_too").agg(F.min("rep").alias("head"))
-        narrow = printed.select("row_id", "side", "bag", "bag_too", "stored")
-        members = narrow.join(classes.hint("merge"), ["side", "bag", "bag_too", "stored"]).join(heads.hint("merge"), ["side", "bag", "bag_too"])
-        members = materialise(members.select("row_id", "side", "head", "rep", "copies", F.when(F.col("row_id") == F.col("head"), F.col("bag")).alias("bag")))
-        self.members = members.drop("bag")
-        pairs = materialise(self._candidates(printed, members.where("row_id = head").select("side", "bag", "head")))
+        own = [F.when(F.col("row_id") == F.col("head"), F.col(c)).alias(c) for c in ("bag", *BITS)]  # of heads only
+        members = printed.drop("keys").join(classes.hint("merge"), ["side", "bag", "bag_too", "stored"]).join(heads.hint("merge"), ["side", "bag", "bag_too"])
+        members = materialise(members.select("row_id", "side", "head", "rep", "copies", "size", *own))
+        self.members = members.select("row_id", "side", "head", "rep", "copies")
+        pairs = materialise(self._candidates(printed, members.where("row_id = head").select("side", "bag", "head", "size", *BITS)))
         self.links = materialise(self._aligned(pairs, rows))
 
     def _candidates(self, printed: DataFrame, heads: DataFrame) -> DataFrame:
-        """``(a, b)``: pairs of heads that share a fingerprint and whose sizes allow the similarity.
+        """``(a, b)``: pairs of heads that share a fingerprint and whose sizes and bitmaps allow the similarity.
 
         The join is one of bags: a bag comes once per batch that has it and is made one again
         beside the join, in the same partitioning. Two bags with one ``bag`` stay two heads.
@@ -297,10 +318,16 @@ class SplitOverlap:
             each = own.select(F.explode("keys").alias("key"), F.col("bag").alias(row), F.col("size").alias(f"size_{row}"))
             return each.repartition("key").dropDuplicates(["key", row])
 
-        near = F.least("size_a", "size_b") >= F.lit(self.similarity) * F.greatest("size_a", "size_b") - 1e-9
+        def of(side: int, row: str, head: str) -> DataFrame:
+            own = heads.where(F.col("side") == side)
+            return own.select(F.col("bag").alias(row), F.col("head").alias(head), *(F.col(c).alias(f"{c}_{row}") for c in ("size", *BITS))).hint("merge")
+
+        longer = F.greatest("size_a", "size_b")
+        near = F.least("size_a", "size_b") >= F.lit(self.similarity) * longer - 1e-9
+        differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS), F.lit(0))
+        alike = differ <= F.col("size_a") + F.col("size_b") - F.lit(2 * self.similarity) * longer + 1e-6
         met = keys(1, "a").join(keys(2, "b").hint("merge"), "key").where(near).select("a", "b").distinct()
-        of = lambda side, row, head: heads.where(F.col("side") == side).select(F.col("bag").alias(row), F.col("head").alias(head)).hint("merge")
-        return met.join(of(1, "a", "x"), "a").join(of(2, "b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        return met.join(of(1, "a", "x"), "a").join(of(2, "b", "y"), "b").where(alike).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     def _aligned(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
         """The pairs that reach the similarity by their exact share of words, aligned."""
