@@ -81,6 +81,10 @@ def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termfreq.marked_terms(read_table(spark, sf_dir, "pos"))
 
 
+def p6_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termfreq.marked_terms(read_table(spark, sf_dir, "pos")).where("field = 'tags'").select("term", "n_occurrences", "n_rows", "mark")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
 
@@ -105,7 +109,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(read_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_pieces, p2_found, p2_members, p2_forms, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_members, p5_report, p5_records, p6_found, p6_terms, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
+_QUERIES = (p1_found, p1_pieces, p2_found, p2_members, p2_forms, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_members, p5_report, p5_records, p6_found, p6_terms, p6_tags, p7_ids, p8_selection, p8_shares, p9_found, p9_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -119,5 +123,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: shipped(q) for q in _QUERIES}
 
 
+# White space, line breaks and characters no reader sees, spelled out for DuckDB.
+_SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{2800}\x{3000}"
+_BREAK = r"\x{0A}-\x{0D}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}"
+_UNSEEN = r"\x{00}-\x{08}\x{0E}-\x{1B}\x{7F}-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}"
+
+_SQL = {
+    "p1_found": rf"""
+        with token as (select pos_id, unnest(tokens) as t, generate_subscripts(tokens, 1) as i from pos),
+        part as (select pos_id, i, unnest(p) as w, generate_subscripts(p, 1) as j from (select pos_id, i, regexp_extract_all(t, '[{_BREAK}]|[^{_SPACE}]+') as p from token)),
+        mark as (select pos_id, i, j, regexp_matches(w, '[^{_SPACE}{_UNSEEN}]')::int as word,
+            (regexp_matches(w, '^[{_BREAK}]$') or regexp_matches(w, '[.؟?!۔…．？！][»)\]）］{_UNSEEN}]*$'))::int as stop from part),
+        sentence as (select pos_id, word, coalesce(sum(stop) over (partition by pos_id order by i, j rows between unbounded preceding and 1 preceding), 0) as s from mark),
+        counted as (select pos_id, s, sum(word) as n from sentence group by pos_id, s)
+        select pos_id, case when max(n) > 120 then 'forced' else 'natural' end as cut_class from counted group by pos_id having sum(n) > 120
+    """,
+    "p6_tags": """
+        with tag as (select pos_id, lower(trim(unnest(tags), ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8195) || chr(12288))) as term from pos),
+        counted as (select term, count(*) as n_occurrences, count(distinct pos_id) as n_rows from tag where term <> '' group by term)
+        select term, n_occurrences, n_rows, case when n_rows < 3 then 'rare' when n_rows > 0.45 * (select count(*) from pos) then 'common' end as mark from counted
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries it can say; the others are tested against brute force, round trips and other encoders."""
+    return dict(_SQL)

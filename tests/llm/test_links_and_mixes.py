@@ -473,6 +473,19 @@ def test_residue_of_rows(spark):
     assert residue.residue_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["p1_found", "p6_tags"])
+def test_queries_with_sql(spark, data, name):
+    import duckdb
+
+    from sahifa.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view pos as select * from '{data}/pos.parquet'")
+    df = queries.queries()[name](spark, data)
+    want = con.execute(f"select {', '.join(df.columns)} from ({queries.oracle_sql()[name]})").fetchall()
+    assert Counter(map(tuple, df.collect())) == Counter(want) and want
+
+
 def test_registered_queries_run(spark, data):
     from sahifa.llm import queries
 
