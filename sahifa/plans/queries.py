@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sahifa.functions import charclasses as C, labels as L, marks as M, text as X, tokens as K
 from sahifa.functions.charclasses import duck
 from sahifa.operators import chain, metrics, ratelimit, runs, taggers, vocab
-from sahifa.plans import pipelines
+from sahifa.plans import chainsql, pipelines
 from sahifa.session import read_table, ship_package
 from sahifa.sources import corpus, exporters
 
@@ -464,19 +464,24 @@ def seeded_titles(spark: SparkSession, sf: str) -> DataFrame:
 # --- chains ----------------------------------------------------------------
 
 
-@query()
+_UNITS = "(select unit_id as k, source as t from unit)"
+
+
+@query(f"with {chainsql.parsed(_UNITS)} select k as unit_id, sanad_end, sanad_end_raw, confidence, flags, n_hops from parse")
 def chain_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Boundary, confidence and flags of every unit; checked against a plain reading of the rules in the tests."""
+    """Boundary, confidence and flags of every unit."""
     parsed = chain.parse_chains(read_table(spark, sf, "unit"), "unit_id", "source")
     return parsed.select("unit_id", "sanad_end", "sanad_end_raw", "confidence", F.array_join("flags", ",").alias("flags"), F.size("hops").alias("n_hops"))
 
 
-@query()
+@query(f"""with {chainsql.parsed(_UNITS)} select k as unit_id, verb, mention, pos::int as pos, start::int as start, "end"::int as "end", verb_start::int as verb_start, verb_end::int as verb_end from hop""")
 def chain_hops(spark: SparkSession, sf: str) -> DataFrame:
     return chain.explode_hops(chain.parse_chains(read_table(spark, sf, "unit"), "unit_id", "source"), "unit_id")
 
 
-@query()
+@query(f"""with {chainsql.parsed("(select doc_id as k, text as t from documents where length(text) between 150 and 4000)")}
+    select t as text, sanad_end_raw as sanad_end, cast(null as varchar) as kind, {_split('t')} as split from parse join u using (k) where confidence >= 0.9 and sanad_end_raw > 30
+    union all select * from (select title, cast(null as int), 'heading', {_split('title')} from books where length(title) between 15 and 200 order by md5('13:' || title) limit 5000)""")
 def indexing_dataset(spark: SparkSession, sf: str) -> DataFrame:
     titles = read_table(spark, sf, "books").select(F.col("title").alias("text"))
     return pipelines.build_indexing(read_table(spark, sf, "documents"), "doc_id", "text", titles)
