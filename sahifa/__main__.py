@@ -32,8 +32,7 @@ def _spans(spark: SparkSession, args: argparse.Namespace) -> None:
     from sahifa.operators import chain, runs
 
     files = spark.read.text(args.input, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    parsed = chain.parse_chains(files, "file", "text").select("file", "sanad_end_raw")
-    toks = files.join(parsed, "file").withColumn("t", K.tokens(F.col("text")))
+    toks = chain.parse_chains(files, "text").withColumn("t", K.tokens(F.col("text")))
     spans = toks.select("file", runs.spans(F.col("t"), pipelines.rule_labels(F.col("t"), F.col("sanad_end_raw"))).alias("spans"))
     exporters.spans_json(spans, "file", "spans", runs.usable(F.col("spans"))).write.mode("overwrite").text(args.output)
 

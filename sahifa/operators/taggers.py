@@ -12,20 +12,19 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sahifa.functions import charclasses as C, marks, tokens
-from sahifa.operators.rowmap import map_rows, spread
+from sahifa.operators.rowmap import with_columns
 
 Tagger = Callable[[Sequence[str]], Sequence[str]]
 
 
-def apply_tagger(df: DataFrame, key: str, words: str, load: Callable[[], Tagger], block: int | None = None, max_words: int | None = None, overflow: str = "?") -> DataFrame:
-    """``(key, labels)``: labels of ``words`` by the tagger ``load()`` makes once per task.
+def apply_tagger(df: DataFrame, words: str, load: Callable[[], Tagger], block: int | None = None, max_words: int | None = None, overflow: str = "?") -> DataFrame:
+    """``df`` with ``labels`` of ``words`` beside each row, by the tagger ``load()`` makes once per task.
 
     With ``block``, words are tagged in consecutive blocks without overlap; with ``max_words``,
     words beyond it get ``overflow``. Null arrays are empty.
     """
-    kind = df.schema[key].dataType.simpleString()
 
-    def run(tag, keys, rows):
+    def run(tag, rows):
         out = []
         for row in rows:
             row = list(row or ())
@@ -33,9 +32,9 @@ def apply_tagger(df: DataFrame, key: str, words: str, load: Callable[[], Tagger]
             size = block or max(len(head), 1)
             labels = [x for i in range(0, len(head), size) for x in tag(head[i : i + size])]
             out.append(labels + [overflow] * (len(row) - len(head)))
-        return [keys, out]
+        return [out]
 
-    return map_rows(df.select(key, words), run, f"{key} {kind}, labels array<string>", init=load)
+    return with_columns(df, [words], run, "labels array<string>", init=load)
 
 
 def train_lexicon(df: DataFrame, word: str, label: str, ordinal: list[str]) -> DataFrame:
@@ -62,13 +61,22 @@ def train_diacritizer(df: DataFrame, text: str, ordinal: str) -> DataFrame:
     return train_lexicon(words.withColumn("word", F.regexp_replace("form", C.MARK_MODEL, "")), "word", "form", [ordinal, "at"])
 
 
-def _rewrite(df: DataFrame, key: str, text: str, lexicon: DataFrame, flags) -> DataFrame:
-    """Texts in which each flagged word is replaced by its vocalization; blanks and letters stay as they are.
+def _by_text(df: DataFrame, text: str, made: Callable[[DataFrame], DataFrame], column: str) -> DataFrame:
+    """``df`` with ``column`` beside each row, made once for each distinct text.
 
-    A word carries the blanks before it, the blanks at the end are an item of their own. A text's
-    items are gathered again by its key: what is gathered is one text, never more.
+    ``made`` turns ``(digest, whole)`` into ``(digest, column)``. What is gathered again is one
+    text, and rows meet it by the digest of their own text, so keys may repeat or be null.
+    """
+    keyed = df.withColumn("_digest", F.md5(F.coalesce(F.col(text), F.lit("")))).drop(*({column} - {text}))
+    texts = keyed.select("_digest", F.coalesce(F.col(text), F.lit("")).alias("_whole")).dropDuplicates(["_digest"])
+    return keyed.join(made(texts), "_digest").drop("_digest")
+
+
+def _rewrite(df: DataFrame, text: str, lexicon: DataFrame, flags) -> DataFrame:
+    """``df`` with ``output``: its texts with each flagged word replaced by its vocalization; blanks and letters stay as they are.
+
+    A word carries the blanks before it, the blanks at the end are an item of their own.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
 
     def items(x):
         before = F.concat(F.array(F.lit(0)), F.transform(x["t"], lambda t: t["end"]))
@@ -81,24 +89,40 @@ def _rewrite(df: DataFrame, key: str, text: str, lexicon: DataFrame, flags) -> D
         tail = F.named_struct(F.lit("gap"), F.substring(x["text"], last + 1, F.length(x["text"]) - last), F.lit("piece"), F.lit(""), F.lit("ok"), F.lit(False))
         return F.concat(each, F.array(tail))
 
-    listed = tokens.let(items, t=tokens.tokens(whole), ok=flags(tokens.tokens(whole), whole), text=whole)
-    words = spread(df).select(key, F.posexplode_outer(listed).alias("at", "i")).select(key, "at", "i.gap", "i.piece", F.when(F.col("i.ok"), F.regexp_replace("i.piece", C.MARK_MODEL, "")).alias("word"))
-    filled = words.join(lexicon.select("word", "label"), "word", "left")
-    new = F.concat("gap", F.coalesce("label", "word", "piece"))
-    out = filled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", new.alias("piece")))).alias("parts"))
-    return out.select(key, F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("output"))
+    def made(texts: DataFrame) -> DataFrame:
+        flagged = texts.withColumn("t", tokens.tokens(F.col("_whole")))
+        listed = tokens.let(lambda x: tokens.let(items, t=x["t"], ok=flags(x["t"], x["text"]), text=x["text"]), t=F.col("t"), text=F.col("_whole"))
+        words = flagged.select("_digest", F.posexplode_outer(listed).alias("at", "i")).select("_digest", "at", "i.gap", "i.piece", F.when(F.col("i.ok"), F.regexp_replace("i.piece", C.MARK_MODEL, "")).alias("word"))
+        filled = words.join(lexicon.select("word", "label"), "word", "left")
+        new = F.concat("gap", F.coalesce("label", "word", "piece"))
+        out = filled.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("at", new.alias("piece")))).alias("parts"))
+        return out.select("_digest", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("output"))
+
+    return _by_text(df, text, made, "output")
 
 
-def diacritize(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """``(key, output)``: all marks restored from the bare letters; blank texts stay as they are."""
-    return _rewrite(df, key, text, lexicon, lambda toks, _: F.transform(toks, lambda t: F.lit(True)))
+def diacritize(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
+    """``df`` with ``output``: all marks restored from the bare letters; blank texts stay as they are."""
+    return _rewrite(df, text, lexicon, lambda toks, _: F.transform(toks, lambda t: F.lit(True)))
 
 
-def fill_gaps(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """``(key, output)``: only fully bare words outside quotations get marks."""
+def fill_gaps(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
+    """``df`` with ``output``: only fully bare words outside quotations get marks."""
     from sahifa.operators.runs import gap_fill_flags
 
-    return _rewrite(df, key, text, lexicon, gap_fill_flags)
+    return _rewrite(df, text, lexicon, gap_fill_flags)
+
+
+def tag_texts(df: DataFrame, text: str, lexicon: DataFrame, default: str | None, max_words: int = 120, overflow: str = "?") -> DataFrame:
+    """``df`` with ``pairs`` ``array<struct<word, code>>``: the lexicon's tag of each of the first ``max_words`` words, ``overflow`` for the rest."""
+
+    def made(texts: DataFrame) -> DataFrame:
+        words = texts.select("_digest", F.posexplode_outer(tokens.words(F.col("_whole"))).alias("at", "word"))
+        tagged = tag_words(words, "word", lexicon, default).withColumn("code", F.when(F.col("at") < max_words, F.col("predicted")).otherwise(F.lit(overflow)))
+        listed = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("at", "word", "code"))))
+        return tagged.groupBy("_digest").agg(F.transform(listed, lambda p: F.struct(p["word"].alias("word"), p["code"].alias("code"))).alias("pairs"))
+
+    return _by_text(df, text, made, "pairs")
 
 
 def letters_unchanged(before: str, after: str):

@@ -62,3 +62,41 @@ def parsed(source: str) -> str:
         case when good = 0 then 0.0::double else round(greatest(0.5::double + case when early < 15 then 0.2::double else 0 end + case when opens is not null then 0.3::double when speech is not null then 0.2::double else 0 end - case when bad > 0 then 0.2::double else 0 end, 0), 2) end as confidence,
         array_to_string(list_concat(case when opens is null and speech is not null then ['speech_boundary'] when opens is null then ['no_matn_marker'] else [] end, list_transform(range(bad), lambda x: 'dropped_mention')), ',') as flags,
         good::int as n_hops from bound b join tally using (k) left join kept on kept.k = b.k and kept.f = e)"""
+
+
+def structure_output(units: str) -> str:
+    """``(k, output)`` of ``units (k, t)``: segments by the rules' boundary with the chain of each ISNAD segment below it, in English."""
+    return rf"""with p as (with {parsed(units)} select k, t, sanad_end_raw from parse join u using (k)),
+    bit as (select k, sanad_end_raw, b, j, sum(length(b)) over (partition by k order by j) - length(b) as place from (select k, sanad_end_raw, unnest(bs) as b, unnest(range(len(bs))) as j from (select k, sanad_end_raw, regexp_extract_all(t, '{SPACE}+|{SPACE.replace("[", "[^", 1)}+') as bs from p))),
+    w as (select k, b as w, j, row_number() over (partition by k order by j) - 1 as idx, place, sanad_end_raw from bit where not regexp_matches(b, '^{SPACE}')),
+    l as (select k, w, j, case when idx = 0 and regexp_matches(w, '^\p{{Nd}}+[-–.)\]]*$') then 'HNUM' when place < sanad_end_raw then 'ISNAD' else 'MATN' end as code from w),
+    turn as (select *, case when code is distinct from lag(code) over (partition by k order by j) then 1 else 0 end as new from l),
+    seg as (select k, code, seg, string_agg(w, ' ' order by j) as text from (select *, sum(new) over (partition by k order by j) - 1 as seg from turn) group by k, code, seg),
+    h as (with {characters("(select {'k': k, 'seg': seg} as k, text as t from seg where code = 'ISNAD')")}, bound as (select k, length(n) as e from u), {hops("bound")}
+        select k.k as k, k.seg as seg, string_agg('      ' || no || '. ' || v || ' — ' || name, chr(10) order by no) as lines from
+            (select k, row_number() over (partition by k order by pos) as no, substr(t, verb_start + 1, verb_end - verb_start) as v, substr(t, start + 1, "end" - start) as name from hop join u using (k)) group by all),
+    shown as (select seg.k, seg.seg, '[' || case code when 'HNUM' then 'hadith number' when 'ISNAD' then 'isnād' when 'MATN' then 'matn' end || '] ' || text || coalesce(chr(10) || '    narrators:' || chr(10) || lines, '') as part from seg left join h on h.k = seg.k and h.seg = seg.seg)
+    select k, string_agg(part, chr(10) order by seg) as output from shown group by k"""
+
+
+BARE = r"[\x{064B}-\x{0652}\x{0670}]"
+
+
+def vocalized_output(rows: str, lexicon: str, gaps: bool) -> str:
+    """``(k, output)`` of ``rows (k, t)``: words by ``lexicon (word, label)``; with ``gaps`` only bare words outside quotations."""
+    word = SPACE.replace("[", "[^", 1)
+    free = f"regexp_matches(b, '[\\x{{0621}}-\\x{{064A}}]') and not regexp_matches(b, '{BARE}') and not exists (select 1 from quoted q where q.k = bit.k and bit.place < q.upto and bit.place + length(b) > q.place)" if gaps else "true"
+    return f"""with r as (select k, coalesce(t, '') as t from {rows}),
+    bit as (select k, b, j, sum(length(b)) over (partition by k order by j) - length(b) as place from (select k, unnest(bs) as b, unnest(range(len(bs))) as j from (select k, regexp_extract_all(t, '{SPACE}+|{word}+') as bs from r))),
+    quoted as (select * from (select k, q, sum(length(q)) over (partition by k order by j) - length(q) as place, sum(length(q)) over (partition by k order by j) as upto
+        from (select k, unnest(qs) as q, unnest(range(len(qs))) as j from (select k, regexp_extract_all(t, '(?s)[^﴿{{]+|﴿[^﴾]*﴾|\\{{[^}}]*\\}}|.') as qs from r))) where length(q) > 1 and q[1] in ('﴿', '{{')),
+    chosen as (select k, j, b, case when regexp_matches(b, '^{word}') and {free} then regexp_replace(b, '{BARE}', '', 'g') end as word from bit),
+    filled as (select k, string_agg(coalesce(label, chosen.word, b), '' order by j) as output from chosen left join ({lexicon}) as lex on lex.word = chosen.word group by k)
+    select k, output from filled"""
+
+
+def forms(table: str, key: str, text: str) -> str:
+    """``(word, label)``: the most frequent vocalized form of each bare word, ties by first occurrence."""
+    return f"""select word, label from (select word, label, row_number() over (partition by word order by count(*) desc, min({{'a': place, 'b': j}})) as best from
+        (select {key} as place, unnest(fs) as label, unnest(range(len(fs))) as j, regexp_replace(unnest(fs), '{BARE}', '', 'g') as word from (select {key}, regexp_extract_all(coalesce({text}, ''), '{SPACE.replace("[", "[^", 1)}+') as fs from {table}))
+        where regexp_matches(label, '{BARE}') group by word, label) where best = 1"""

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sahifa.functions import labels as L, text as X, tokens as K
 from sahifa.operators import chain, runs, taggers
-from sahifa.operators.rowmap import spread
 
 WINDOW_CHARS, BLOCK_WORDS, POS_WORDS = 380, 220, 120
 
@@ -29,10 +28,8 @@ def build_tashkeel(df: DataFrame, key: str, text: str, target: int | None = None
 def confident_units(df: DataFrame, key: str, text: str, min_confidence: float = 0.9, min_offset: int = 30) -> DataFrame:
     """``(key, text, sanad_end, split)``: units whose boundary the rules are sure of. The length gate runs before the parser."""
     fit = df.where(F.length(text).between(150, 4000)).select(key, text)
-    parsed = chain.parse_chains(fit, key, text).where((F.col("confidence") >= min_confidence) & (F.col("sanad_end_raw") > min_offset))
-    # the parser keeps the key only: the text joins it again where both are needed
-    kept = fit.join(parsed.select(key, F.col("sanad_end_raw").alias("sanad_end")), key)
-    return kept.select(key, F.col(text).alias("text"), "sanad_end", X.split_of(F.col(text)).alias("split"))
+    kept = chain.parse_chains(fit, text).where((F.col("confidence") >= min_confidence) & (F.col("sanad_end_raw") > min_offset))
+    return kept.select(key, F.col(text).alias("text"), F.col("sanad_end_raw").alias("sanad_end"), X.split_of(F.col(text)).alias("split"))
 
 
 def build_indexing(units: DataFrame, key: str, text: str, titles: DataFrame | None = None, target_units: int | None = None, target_titles: int = 5000, seed: int = 13) -> DataFrame:
@@ -53,8 +50,7 @@ def build_pos(df: DataFrame, key: str, text: str, load: Callable[[], taggers.Tag
     if target:
         pool = pool.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("raw")))).limit(target)
     rows = pool.withColumn("clean", X.remove_junk(F.col("raw"))).withColumn("tokens", K.words(F.col("clean"))).where(F.size("tokens") >= 8)
-    tagged = taggers.apply_tagger(rows, key, "tokens", load, overflow="x")
-    return rows.join(tagged, key).select("tokens", F.transform("labels", lambda t: F.when(F.coalesce(t, F.lit("")) == "", "x").otherwise(t)).alias("tags"), X.split_of(F.col("clean")).alias("split"))
+    return taggers.apply_tagger(rows, "tokens", load, overflow="x").select("tokens", F.transform("labels", lambda t: F.when(F.coalesce(t, F.lit("")) == "", "x").otherwise(t)).alias("tags"), X.split_of(F.col("clean")).alias("split"))
 
 
 def structure_rows(df: DataFrame, text: str = "text", boundary: str = "sanad_end", kind: str = "kind") -> DataFrame:
@@ -106,16 +102,8 @@ def rule_labels(tokens: Column, boundary: Column) -> Column:
 
 
 def structure_units(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, source, pairs, narrators)`` by the rules: segments of each unit and the chain of each ISNAD segment."""
-    df = spread(df)
-    parsed = chain.parse_chains(df, key, text).select(key, "sanad_end_raw")
-    rows = df.select(key, F.col(text).alias("source")).join(parsed, key)
-    both = lambda x: F.zip_with(x["t"], rule_labels(x["t"], F.col("sanad_end_raw")), lambda t, c: F.named_struct(F.lit("word"), t["text"], F.lit("code"), c))
-    labelled = K.let(both, t=K.tokens(F.col("source")))
-    segments = rows.select(key, "source", runs.merge_runs(labelled).alias("pairs"))
-    found = chain.narrators(segments, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg", "n", "verb", "name"))).alias("narrators"))
-    none = F.array().cast("array<struct<seg:int,n:int,verb:string,name:string>>")
-    return segments.join(found, key, "left").withColumn("narrators", F.coalesce("narrators", none))
+    """``(key, source, pairs, narrators)`` by the rules: segments of each unit and the chain of each ISNAD segment; nothing is joined."""
+    return chain.with_structure(df.select(key, F.col(text).alias("source")), "source")
 
 
 def run_task(df: DataFrame, key: str, text: str, task: str, lang: str = L.DEFAULT_LANGUAGE, lexicon: DataFrame | None = None, default: str = "noun") -> DataFrame:
@@ -129,15 +117,13 @@ def run_task(df: DataFrame, key: str, text: str, task: str, lang: str = L.DEFAUL
     blank = X.is_blank(F.col(text))
     work, rest = df.where(~blank), df.where(blank)
     passed = rest.select(key, F.col(text).alias("source"), F.col(text).alias("output"))
+    rows = work.select(key, F.col(text).alias("source"))
     if task in ("tashkeel", "tashkeel_gaps"):
         run = taggers.diacritize if task == "tashkeel" else taggers.fill_gaps
-        out = work.select(key, F.col(text).alias("source")).join(run(work, key, text, lexicon), key)
-        return out.select(key, "source", "output").unionByName(passed)
+        return run(rows, "source", lexicon).unionByName(passed)
     if task == "pos":
-        words = work.select(key, F.posexplode(K.words(F.col(text))).alias("at", "word"))
-        tagged = taggers.tag_words(words, "word", lexicon, default).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "word", F.col("predicted").alias("code")))).alias("pairs"))
-        out = work.select(key, F.col(text).alias("source")).join(tagged, key)
-        return out.select(key, "source", L.format_pos(F.col("pairs"), lang).alias("output")).unionByName(passed)
+        tagged = taggers.tag_texts(rows, "source", lexicon, default, POS_WORDS)
+        return tagged.select(key, "source", L.format_pos(F.col("pairs"), lang).alias("output")).unionByName(passed)
     units = structure_units(work, key, text)
     return units.select(key, "source", L.format_structure(F.col("pairs"), F.col("narrators"), lang).alias("output")).unionByName(passed)
 

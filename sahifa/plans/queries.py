@@ -470,13 +470,13 @@ _UNITS = "(select unit_id as k, source as t from unit)"
 @query(f"with {chainsql.parsed(_UNITS)} select k as unit_id, sanad_end, sanad_end_raw, confidence, flags, n_hops from parse")
 def chain_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Boundary, confidence and flags of every unit."""
-    parsed = chain.parse_chains(read_table(spark, sf, "unit"), "unit_id", "source")
+    parsed = chain.parse_chains(read_table(spark, sf, "unit").select("unit_id", "source"), "source")
     return parsed.select("unit_id", "sanad_end", "sanad_end_raw", "confidence", F.array_join("flags", ",").alias("flags"), F.size("hops").alias("n_hops"))
 
 
 @query(f"""with {chainsql.parsed(_UNITS)} select k as unit_id, verb, mention, pos::int as pos, start::int as start, "end"::int as "end", verb_start::int as verb_start, verb_end::int as verb_end from hop""")
 def chain_hops(spark: SparkSession, sf: str) -> DataFrame:
-    return chain.explode_hops(chain.parse_chains(read_table(spark, sf, "unit"), "unit_id", "source"), "unit_id")
+    return chain.explode_hops(chain.parse_chains(read_table(spark, sf, "unit").select("unit_id", "source"), "source"), "unit_id")
 
 
 @query(f"""with {chainsql.parsed("(select doc_id as k, text as t from documents where length(text) between 150 and 4000)")}
@@ -487,24 +487,39 @@ def indexing_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.build_indexing(read_table(spark, sf, "documents"), "doc_id", "text", titles)
 
 
-@query()
+_WORK = f"(select unit_id as k, source as t from unit where regexp_matches(coalesce(source, ''), '{_NONWS}'))"
+_PASSED = f"select unit_id, source, source as output from unit where not regexp_matches(coalesce(source, ''), '{_NONWS}')"
+
+
+def _task(sql: str) -> str:
+    return f"select unit_id, source, made.output from ({sql}) as made join unit on k = unit_id union all {_PASSED}"
+
+
+@query(_task(chainsql.structure_output(_WORK)))
 def structure_task(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.run_task(read_table(spark, sf, "unit"), "unit_id", "source", "structure", "en")
 
 
-@query()
+@query(f"""with p as (select * from ({_PAIRS}) where word is not null and code is not null), c as (select word, code, count(*) as n, min({{'a': pos_id, 'b': i}}) as first from p group by word, code),
+    lex as (select word, code from c qualify row_number() over (partition by word order by n desc, first) = 1),
+    w as (select k, unnest(ws) as word, unnest(range(len(ws))) as j from (select k, {_words('t')} as ws from {_WORK})),
+    tagged as (select k, string_agg(concat_ws('/', w.word, case when j < 120 then {_label_case(2, "coalesce(code, 'noun')")} else '?' end), ' ' order by j) as output from w left join lex on lex.word = w.word group by k)
+    {_task("select k, output from tagged")}""")
 def pos_task(spark: SparkSession, sf: str) -> DataFrame:
     lexicon = taggers.train_lexicon(_pairs(spark, sf).where("word is not null and code is not null"), "word", "code", ["pos_id", "i"])
     return pipelines.run_task(read_table(spark, sf, "unit"), "unit_id", "source", "pos", "ar", lexicon)
 
 
-@query()
+_FORMS = chainsql.forms("unit", "unit_id", "output")
+
+
+@query(_task(chainsql.vocalized_output(_WORK, _FORMS, gaps=True)))
 def gap_fill_task(spark: SparkSession, sf: str) -> DataFrame:
     lexicon = taggers.train_diacritizer(read_table(spark, sf, "unit"), "output", "unit_id")
     return pipelines.run_task(read_table(spark, sf, "unit"), "unit_id", "source", "tashkeel_gaps", "ar", lexicon)
 
 
-@query()
+@query(_task(chainsql.vocalized_output(_WORK, _FORMS, gaps=False)))
 def diacritize_task(spark: SparkSession, sf: str) -> DataFrame:
     lexicon = taggers.train_diacritizer(read_table(spark, sf, "unit"), "output", "unit_id")
     return pipelines.run_task(read_table(spark, sf, "unit"), "unit_id", "source", "tashkeel", "ar", lexicon)

@@ -77,7 +77,7 @@ TEXTS = [
 
 def test_boundaries_against_a_plain_reading(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "unit_id int, source string")
-    for row in chain.parse_chains(df, "unit_id", "source").collect():
+    for row in chain.parse_chains(df, "source").collect():
         text = TEXTS[row["unit_id"]] or ""
         norm, offsets, marks = plain_fold(text)
         end, opener, cut = plain_boundary(norm)
@@ -96,7 +96,7 @@ def test_golden_chains():
     assert raw > 30 and confidence >= 0.9 and len(hops) >= 3 and not flags
     assert "عبد الله بن يوسف" in [h[1] for h in hops]
     text = TEXTS[1]
-    found = chain.hops_of(*chain.fold(text), text)[0]
+    found = chain.hops_of(*chain.fold(text))[0]
     assert [text[h[3] : h[4]] for h in found] == ["محمد بن المثنى", "عبد الرحمن", "سفيان", "أبي إسحاق"]
     assert [h[0] for h in found] == ["حدثني", "حدثنا", "عن", "عن"]
     assert chain.parse("عن صهيب صاحب رسول الله قال : مررت")[4][0][1] == "صهيب"
@@ -181,18 +181,22 @@ def test_taggers_keep_their_contracts(spark):
     lexicon = taggers.train_diacritizer(train, "text", "id")
     made = [(1, "  قَالَ رسول  الله ﴿الله﴾ "), (2, "قال"), (3, "  "), (4, ""), (5, None)]
     df = spark.createDataFrame(made, "id int, text string")
-    gaps = {r["id"]: r["output"] for r in taggers.fill_gaps(df, "id", "text", lexicon).collect()}
+    gaps = {r["id"]: r["output"] for r in taggers.fill_gaps(df, "text", lexicon).collect()}
     assert gaps == {1: "  قَالَ رَسُولُ  اللَّهِ ﴿الله﴾ ", 2: "قَالَ", 3: "  ", 4: "", 5: ""}
-    full = taggers.diacritize(df, "id", "text", lexicon).join(df, "id")
+    full = taggers.diacritize(df, "text", lexicon)
     assert full.where(~taggers.letters_unchanged("text", "output")).count() == 0
+    # keys may repeat or be null, rows too, and other columns stay
+    twice = spark.createDataFrame([(1, "قال"), (1, "قيل قال"), (None, "قال"), (None, None), (1, "قال")], "id int, text string").selectExpr("*", "'x' as label", "'y' as output")
+    got = [(r["id"], r["output"], r["label"]) for r in taggers.diacritize(twice, "text", lexicon).collect()]
+    assert sorted(got, key=str) == sorted([(1, "قَالَ", "x"), (1, "قِيلَ قَالَ", "x"), (None, "قَالَ", "x"), (None, "", "x"), (1, "قَالَ", "x")], key=str)
 
 
 def test_plugged_tagger_in_blocks(spark):
     df = spark.createDataFrame([(1, list("abcdefg")), (2, []), (3, None)], "id int, words array<string>")
     load = lambda: lambda words: [f"{len(words)}{w}" for w in words]
-    got = {r["id"]: r["labels"] for r in taggers.apply_tagger(df, "id", "words", load, block=3).collect()}
+    got = {r["id"]: r["labels"] for r in taggers.apply_tagger(df, "words", load, block=3).collect()}
     assert got == {1: ["3a", "3b", "3c", "3d", "3e", "3f", "1g"], 2: [], 3: []}
-    cut = {r["id"]: r["labels"] for r in taggers.apply_tagger(df, "id", "words", load, max_words=2).collect()}
+    cut = {r["id"]: r["labels"] for r in taggers.apply_tagger(df, "words", load, max_words=2).collect()}
     assert cut[1] == ["2a", "2b"] + ["?"] * 5
 
 
@@ -203,6 +207,11 @@ def test_tasks_pass_blanks_and_know_their_names(spark):
     lexicon = spark.createDataFrame([("حدثنا", "verb")], "word string, label string")
     tagged = {r["unit_id"]: r["output"] for r in pipelines.run_task(df, "unit_id", "source", "pos", "en", lexicon).collect()}
     assert tagged[1].startswith("حدثنا/verb مالك/noun")
+    long = spark.createDataFrame([(1, "حدثنا " * 125), (1, "مالك")], "unit_id int, source string")
+    tagged = sorted(r["output"] for r in pipelines.run_task(long, "unit_id", "source", "pos", "en", lexicon).collect())
+    assert tagged[1].split(" ") == ["حدثنا/verb"] * 120 + ["حدثنا/?"] * 5 and tagged[0] == "مالك/noun"
+    same = spark.createDataFrame([(7, "حدثنا مالك عن نافع قال : كذا"), (7, "عن صهيب"), (None, "حدثنا مالك عن نافع")], "unit_id int, source string")
+    assert pipelines.structure_units(same, "unit_id", "source").count() == 3
     with pytest.raises(ValueError):
         pipelines.run_task(df, "unit_id", "source", "other")
 
