@@ -37,6 +37,21 @@ def _spans(spark: SparkSession, args: argparse.Namespace) -> None:
     exporters.spans_json(spans, "file", "spans", runs.usable(F.col("spans"))).write.mode("overwrite").text(args.output)
 
 
+def _infer(spark: SparkSession, args: argparse.Namespace) -> None:
+    files = spark.read.text(args.input, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    lexicon = exporters.load_parameters(spark, args.parameters, "lexicon")["lexicon"] if args.parameters else None
+    pipelines.infer_lines(files, "file", "text", args.task, args.lang, lexicon).write.mode("overwrite").json(args.output)
+
+
+def _annotate(spark: SparkSession, args: argparse.Namespace) -> None:
+    lexicon = exporters.load_parameters(spark, args.parameters, "lexicon")["lexicon"]
+    pipelines.annotate_files(spark, args.input, lexicon, args.full).write.mode("overwrite").json(args.output)
+
+
+def _info(spark: SparkSession, args: argparse.Namespace) -> None:
+    exporters.parameters_info(spark, args.parameters, *args.tables).show(truncate=False)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="sahifa", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -57,6 +72,23 @@ def main(argv: list[str] | None = None) -> None:
     spans.add_argument("--input", required=True)
     spans.add_argument("--output", required=True)
     spans.set_defaults(run=_spans)
+    infer = commands.add_parser("infer", help="a task over text files, line by line, as JSON lines")
+    infer.add_argument("--task", choices=pipelines.task_names(), required=True)
+    infer.add_argument("--input", required=True)
+    infer.add_argument("--parameters", help="folder of saved parameters with a lexicon")
+    infer.add_argument("--lang", default="ar")
+    infer.add_argument("--output", required=True)
+    infer.set_defaults(run=_infer)
+    annotate = commands.add_parser("annotate", help="fill missing marks of whole text files, as JSON lines")
+    annotate.add_argument("--input", required=True)
+    annotate.add_argument("--parameters", required=True)
+    annotate.add_argument("--full", action="store_true", help="restore all marks instead")
+    annotate.add_argument("--output", required=True)
+    annotate.set_defaults(run=_annotate)
+    info = commands.add_parser("info", help="what saved parameters hold")
+    info.add_argument("--parameters", required=True)
+    info.add_argument("--tables", nargs="*", default=["lexicon"])
+    info.set_defaults(run=_info)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("sahifa").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     ship_package(spark)

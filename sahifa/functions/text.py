@@ -42,14 +42,14 @@ def split_of(key: Column) -> Column:
     """Deterministic split of a key: its md5 as a 128-bit number modulo 100, 90 / 5 / 5 percent.
 
     The digest is cut into four 32-bit parts; 2**32 leaves 96 modulo 100, so the parts weigh
-    36, 16, 96 and 1.
+    36, 16, 96 and 1. A null key has no split.
     """
     digest = F.md5(key)
     total = F.lit(0).cast("long")
     for at, weight in ((1, 36), (9, 16), (17, 96), (25, 1)):
         total = total + F.conv(F.substring(digest, at, 8), 16, 10).cast("long") * F.lit(weight)
     bucket = F.pmod(total, F.lit(100))
-    return F.when(bucket < 90, "train").when(bucket < 95, "dev").otherwise("test")
+    return F.when(bucket < 90, "train").when(bucket < 95, "dev").when(bucket < 100, "test")
 
 
 def remove_junk(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sahifa.functions import charclasses as C
+from sahifa.functions.text import strip_diacritics
 
 
 def words(text: Column) -> Column:
@@ -96,6 +97,16 @@ def wrap_words(text: Column, width: int) -> Column:
     return F.when(F.size(packed) == 0, F.array(F.lit(""))).otherwise(packed)
 
 
+def encoder_words(items: Column) -> Column:
+    """Words as a structure encoder reads them: marks and kashida stripped, the words themselves untouched elsewhere."""
+    return F.transform(items, strip_diacritics)
+
+
+def context_chunks(items: Column, limit: int = 380) -> Column:
+    """``array<array<string>>``: bare words packed like :func:`pack`, kept apart: the context in which a diacritizer reads them."""
+    return F.transform(pack(items, limit), lambda chunk: F.split(chunk, " ", -1))
+
+
 def encode(items: Column, vocabulary: Column, unknown: int = 1) -> Column:
     """Ids of items by a ``map<string,int>``."""
     return F.transform(items, lambda x: F.coalesce(F.element_at(vocabulary, x), F.lit(unknown)))
@@ -115,6 +126,13 @@ def pad(ids: Column, length: Column, value: int = 0) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(length - F.size(ids), F.lit(0))))
 
 
+def pad_words(words: Column, max_words: Column, max_chars: Column, value: int = 0) -> Column:
+    """``array<array<int>>`` of character ids filled up to ``max_words`` words of ``max_chars`` characters."""
+    filled = F.transform(beside(words, size=max_chars), lambda x: pad(x["item"], x["size"], value))
+    empty = F.array_repeat(F.lit(value), max_chars)
+    return F.concat(filled, F.array_repeat(empty, F.greatest(max_words - F.size(words), F.lit(0))))
+
+
 def char_tags(bare: Column, tags: Column, missing: str = "x") -> Column:
     """The tag of each character's word. The word counter goes up at each plain space and at nothing else."""
     text = F.coalesce(bare, F.lit(""))

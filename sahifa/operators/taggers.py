@@ -37,11 +37,33 @@ def apply_tagger(df: DataFrame, words: str, load: Callable[[], Tagger], block: i
     return with_columns(df, [words], run, "labels array<string>", init=load)
 
 
-def train_lexicon(df: DataFrame, word: str, label: str, ordinal: list[str]) -> DataFrame:
+def count_labels(df: DataFrame, word: str, label: str, ordinal: list[str]) -> DataFrame:
+    """``(word, label, n, round, first)``: what a lexicon is made of; ``round`` is 0 for counts of one training."""
+    first = F.to_json(F.struct(*ordinal)) if len(ordinal) > 2 else F.struct(*(F.col(c).cast("long").alias(f"o{i}") for i, c in enumerate(ordinal)))
+    return df.groupBy(F.col(word).alias("word"), F.col(label).alias("label")).agg(F.count("*").alias("n"), F.min(first).alias("first")).withColumn("round", F.lit(0))
+
+
+def fine_tuned(earlier: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts of a training that goes on from ``earlier`` ones: both add up, and what was seen before comes first."""
+    both = earlier.unionByName(counts.withColumn("round", F.lit(1) + F.col("round")))
+    return both.groupBy("word", "label").agg(F.sum("n").alias("n"), F.min(F.struct("round", "first")).alias("o")).select("word", "label", "n", F.col("o.first").alias("first"), F.col("o.round").alias("round"))
+
+
+def best_labels(counts: DataFrame) -> DataFrame:
     """``(word, label, n)``: the most frequent label of each word, ties by first occurrence."""
-    counted = df.groupBy(word, label).agg(F.count("*").alias("n"), F.min(F.struct(*ordinal)).alias("first"))
-    best = counted.groupBy(word).agg(F.min(F.struct((-F.col("n")).alias("minus"), "first", F.col(label).alias("label"))).alias("b"))
-    return best.select(F.col(word).alias("word"), "b.label", (-F.col("b.minus")).alias("n"))
+    best = counts.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("minus"), "round", "first", "label")).alias("b"))
+    return best.select("word", "b.label", (-F.col("b.minus")).alias("n"))
+
+
+def train_lexicon(df: DataFrame, word: str, label: str, ordinal: list[str]) -> DataFrame:
+    return best_labels(count_labels(df, word, label, ordinal))
+
+
+def suffix_lexicon(counts: DataFrame, length: int) -> DataFrame:
+    """``(word, label, n)`` of endings of ``length`` characters: what :func:`tag_words` falls back on for unknown words."""
+    ends = counts.where(F.length("word") > length).withColumn("word", F.substring("word", -length, length))
+    summed = ends.groupBy("word", "label").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("round").alias("round"))
+    return best_labels(summed)
 
 
 def majority(df: DataFrame, label: str, ordinal: list[str]) -> str | None:
@@ -49,10 +71,15 @@ def majority(df: DataFrame, label: str, ordinal: list[str]) -> str | None:
     return row[0] if row else None
 
 
-def tag_words(df: DataFrame, word: str, lexicon: DataFrame, default: str | None) -> DataFrame:
-    """Adds ``predicted``: the lexicon's label or, for words it does not have, ``default``."""
+def tag_words(df: DataFrame, word: str, lexicon: DataFrame, default: str | None, endings: dict[int, DataFrame] | None = None) -> DataFrame:
+    """Adds ``predicted``: the lexicon's label or, for words it does not have, that of the longest ending ``endings`` (by length) has, else ``default``."""
     known = lexicon.select(F.col("word").alias(word), F.col("label").alias("predicted"))
-    return df.join(known, word, "left").withColumn("predicted", F.coalesce("predicted", F.lit(default)))
+    out = df.join(known, word, "left")
+    for length in sorted(endings or (), reverse=True):
+        ending = endings[length].select(F.col("word").alias("_ending"), F.col("label").alias("_label"))
+        out = out.withColumn("_ending", F.when(F.col("predicted").isNull(), F.substring(word, -length, length))).join(ending, "_ending", "left")
+        out = out.withColumn("predicted", F.coalesce("predicted", "_label")).drop("_ending", "_label")
+    return out.withColumn("predicted", F.coalesce("predicted", F.lit(default)))
 
 
 def train_diacritizer(df: DataFrame, text: str, ordinal: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sahifa.functions import labels as L, text as X, tokens as K
+from sahifa.functions import labels as L, marks, text as X, tokens as K
 from sahifa.operators import chain, runs, taggers
 
 WINDOW_CHARS, BLOCK_WORDS, POS_WORDS = 380, 220, 120
@@ -71,6 +71,23 @@ def pos_rows(df: DataFrame, tokens: str = "tokens", tags: str = "tags", block: i
     return good.select(*[c for c in df.columns if c not in (tokens, tags)], F.posexplode(cut).alias("block", "b")).withColumn(tokens, F.col("b.t")).withColumn(tags, F.col("b.g")).drop("b")
 
 
+def diacritization_rows(df: DataFrame, text: str = "text", least: int = 20) -> DataFrame:
+    """Usable rows of a diacritization dataset: at least ``least`` characters without marks."""
+    return df.where(F.length(marks.bare_text(F.col(text))) >= least)
+
+
+def rows_of_split(df: DataFrame, name: str, column: str = "split") -> DataFrame:
+    """The rows of one split, named exactly; pruned in the scan where a dataset is partitioned by it."""
+    return df.where(F.col(column) == name)
+
+
+def tag_windows(df: DataFrame, text: str, lexicon: DataFrame, default: str | None) -> DataFrame:
+    """``df`` with ``tags`` beside each row: one tag per bare word of a window, ``x`` beyond the tagger's length."""
+    bare = df.withColumn("_bare", marks.bare_text(F.col(text)))
+    tagged = taggers.tag_texts(bare, "_bare", lexicon, default, POS_WORDS, overflow="x")
+    return tagged.withColumn("tags", F.transform("pairs", lambda p: p["code"])).drop("_bare", "pairs")
+
+
 @dataclass(frozen=True)
 class Task:
     """One thing to do with a unit: its tag set, if any, and its names."""
@@ -128,6 +145,34 @@ def run_task(df: DataFrame, key: str, text: str, task: str, lang: str = L.DEFAUL
     return units.select(key, "source", L.format_structure(F.col("pairs"), F.col("narrators"), lang).alias("output")).unionByName(passed)
 
 
+def infer_lines(df: DataFrame, key: str, text: str, task: str, lang: str = L.DEFAULT_LANGUAGE, lexicon: DataFrame | None = None, default: str = "noun") -> DataFrame:
+    """``(key, output)``: a task line by line over whole texts, put together again in order.
+
+    Blank lines are kept, save in the structure task: there they are left out and a blank line
+    stands between the segments of two lines. Keys must be unique; a text without any line of
+    content gives its blank lines, in the structure task an empty output.
+    """
+    lines = df.select(key, F.posexplode(X.lines_of(F.col(text))).alias("_line", "source"))
+    if task == "structure":
+        lines = lines.where(~X.is_blank(F.col("source")))
+    place = F.struct(F.col(key).alias("key"), F.col("_line").alias("line"))
+    done = run_task(lines.select(place.alias("place"), "source"), "place", "source", task, lang, lexicon, default)
+    gathered = F.array_sort(F.collect_list(F.struct(F.col("place.line").alias("line"), "output")))
+    joined = done.groupBy(F.col("place.key").alias(key)).agg(F.array_join(F.transform(gathered, lambda x: x["output"]), "\n\n" if task == "structure" else "\n").alias("output"))
+    return df.select(key).join(joined, key, "left").withColumn("output", F.coalesce("output", F.lit("")))
+
+
+def annotate_files(spark: SparkSession, path: str, lexicon: DataFrame, full: bool = False) -> DataFrame:
+    """``(file, output)``: one row per text file with its gaps filled (``full``: all marks restored); white space stays as it is."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    run = taggers.diacritize if full else taggers.fill_gaps
+    return run(files, "text", lexicon).select("file", "output")
+
+
+def task_names() -> list[str]:
+    return sorted(TASKS)
+
+
 def relabel(units: DataFrame, kind: str, lang: str) -> DataFrame:
     """The output in another language from the codes kept in ``pairs`` (and ``narrators``): no tagger runs again."""
     form = L.format_pos(F.col("pairs"), lang) if kind == "pos" else L.format_structure(F.col("pairs"), F.col("narrators"), lang)

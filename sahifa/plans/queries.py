@@ -30,10 +30,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 # --- pieces of SQL ---------------------------------------------------------
 
-_NORM = duck(C.DIAC_NORM)
-_WS, _NONWS = duck(C.WS), duck(C.NONWS)
-_MARK, _NOTMARK = duck(C.MARK_MODEL), duck(C.NOT_MARK_MODEL)
-_LETTER = duck(C.LETTER)
+# Spelled out here, so that a wrong class in the operators shows.
+_NORM = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06DC}\x{06DF}-\x{06E8}\x{06EA}-\x{06ED}\x{0640}]"
+_WS = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NONWS = _WS.replace("[", "[^", 1)
+_MARK, _NOTMARK = r"[\x{064B}-\x{0652}\x{0670}]", r"[^\x{064B}-\x{0652}\x{0670}]"
+_LETTER = r"[\x{0621}-\x{064A}]"
 
 
 def _strip(t: str) -> str:
@@ -41,7 +43,7 @@ def _strip(t: str) -> str:
 
 
 def _normalize(t: str) -> str:
-    return f"trim(regexp_replace(translate({_strip(t)}, '{C.FOLD_FROM}', '{C.FOLD_TO}'), '{_WS}+', ' ', 'g'))"
+    return f"trim(regexp_replace(translate({_strip(t)}, 'آأإٱةىؤئ', 'اااا' || 'هيءء'), '{_WS}+', ' ', 'g'))"
 
 
 def _words(t: str) -> str:
@@ -59,7 +61,7 @@ def _trimmed(t: str) -> str:
 def _split(k: str) -> str:
     part = lambda at, w: f"('0x' || substr(md5({k}), {at}, 8))::bigint * {w}"
     b = f"(({part(1, 36)} + {part(9, 16)} + {part(17, 96)} + {part(25, 1)}) % 100)"
-    return f"case when {k} is null then 'test' when {b} < 90 then 'train' when {b} < 95 then 'dev' else 'test' end"
+    return f"case when {k} is null then null when {b} < 90 then 'train' when {b} < 95 then 'dev' else 'test' end"
 
 
 _VOWEL_LIST = "[" + ", ".join(f"'{v}'" for v in C.VOWELS[1:]) + "]"
@@ -385,6 +387,56 @@ def der_all_marked(spark: SparkSession, sf: str) -> DataFrame:
     return rates.select(F.round("der_all", 9).alias("der_all"), F.round("der_marked", 9).alias("der_marked"), "letters")
 
 
+def _label_en(c: str) -> str:
+    return f"case {c} " + " ".join(f"when '{e[0]}' then '{e[1]}'" for e in L.POS) + f" else {c} end"
+
+
+# --- rows and their forms for models ---
+
+
+@query(f"select unit_id, output from unit where length(array_to_string(list_transform({_split_marks('output')}, lambda x: x.base), '')) >= 20")
+def diacritization_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return pipelines.diacritization_rows(read_table(spark, sf, "unit"), "output").select("unit_id", "output")
+
+
+@query("select pos_id, split from pos where split = 'test'")
+def split_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return pipelines.rows_of_split(read_table(spark, sf, "pos"), "test").select("pos_id", "split")
+
+
+@query(f"select idx_id, array_to_string(list_transform({_words('text')}, lambda w: regexp_replace(w, '[\\x{{0610}}-\\x{{061A}}\\x{{064B}}-\\x{{065F}}\\x{{0670}}\\x{{06D6}}-\\x{{06DC}}\\x{{06DF}}-\\x{{06E8}}\\x{{06EA}}-\\x{{06ED}}\\x{{0640}}]', '', 'g')), '|') as words from indexing")
+def encoder_words(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "indexing").select("idx_id", F.array_join(K.encoder_words(K.words(F.col("text"))), "|").alias("words"))
+
+
+_BARE_WORDS = f"list_filter({_words('source')}, lambda w: regexp_matches(w, '{_LETTER}') and not regexp_matches(w, '{_MARK}'))"
+
+
+@query(
+    f"""with recursive w as (select unit_id, ws, len(ws) as n from (select unit_id, {_BARE_WORDS} as ws from unit) where len(ws) > 0),
+    s as (select unit_id, ws, n, 1::bigint as i, 0::bigint as chunk, length(ws[1])::bigint + 1 as held from w
+      union all select unit_id, ws, n, i + 1, case when held + length(ws[i + 1]) + 1 > 380 then chunk + 1 else chunk end, case when held + length(ws[i + 1]) + 1 > 380 then length(ws[i + 1]) + 1 else held + length(ws[i + 1]) + 1 end from s where i < n)
+    select unit_id, chunk::int as chunk, string_agg(ws[i], ' ' order by i) as words from s group by unit_id, chunk"""
+)
+def context_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The bare words of each unit in the chunks a diacritizer reads them in."""
+    bare = F.filter(K.words(F.col("source")), lambda w: w.rlike(C.LETTER) & ~w.rlike(C.MARK_MODEL))
+    rows = read_table(spark, sf, "unit").select("unit_id", F.posexplode(K.context_chunks(bare)).alias("chunk", "words"))
+    return rows.select("unit_id", "chunk", F.array_join("words", " ").alias("words"))
+
+
+@query(f"""with p as (select * from ({_PAIRS}) where word is not null and code is not null), c as (select word, code, count(*) as n, min({{'a': pos_id, 'b': i}}) as first from p group by word, code),
+    lex as (select word, code from c qualify row_number() over (partition by word order by n desc, first) = 1),
+    line as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as l from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) as ls from documents)),
+    w as (select doc_id, l, unnest(ws) as word, unnest(range(len(ws))) as j from (select doc_id, l, {_words('line')} as ws from line)),
+    done as (select doc_id, l, string_agg(concat_ws('/', w.word, case when j < 120 then case when lex.word is null then 'noun' else lex.code end else '?' end), ' ' order by j) as output from w left join lex on lex.word = w.word group by doc_id, l)
+    select doc_id, string_agg(coalesce(output, line), chr(10) order by l) as output from line left join done using (doc_id, l) group by doc_id""".replace("then case when lex.word is null then 'noun' else lex.code end", "then " + _label_en("coalesce(lex.code, 'noun')")))
+def pos_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags line by line, blank lines kept."""
+    lexicon = taggers.train_lexicon(_pairs(spark, sf).where("word is not null and code is not null"), "word", "code", ["pos_id", "i"])
+    return pipelines.infer_lines(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", "pos", "en", lexicon)
+
+
 # --- labels and exports ----------------------------------------------------
 
 

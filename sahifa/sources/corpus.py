@@ -83,6 +83,11 @@ def _json_records(lines: DataFrame) -> DataFrame:
     return rows.where(~X.is_blank(F.col("text"))).select(F.struct(F.lit(1).alias("kind"), "file", "at").alias("ord"), "text")
 
 
+def acceptable_pastes(df: DataFrame, text: str, max_chars: int = 200_000) -> DataFrame:
+    """``df`` without the texts an interactive request refuses: those of more than ``max_chars`` characters."""
+    return df.where(F.length(F.coalesce(F.col(text), F.lit(""))) <= max_chars)
+
+
 def pasted_units(df: DataFrame, key: str, text: str, max_units: int | None = 2000, max_chars: int | None = 4000) -> DataFrame:
     """``(key, n, source, truncated)``: one unit per line of a pasted text, blank lines kept, ``n`` from 1.
 

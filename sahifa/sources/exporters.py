@@ -96,6 +96,15 @@ def load_parameters(spark, path: str, *names: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in (*names, "metadata")}
 
 
+def parameters_info(spark, path: str, *names: str) -> DataFrame:
+    """``(item, value)``: the metadata of saved parameters and the number of rows of each table."""
+    tables = load_parameters(spark, path, *names)
+    out = tables["metadata"].select(F.col("key").alias("item"), "value")
+    for name in names:
+        out = out.unionByName(tables[name].agg(F.count("*").cast("string").alias("value")).select(F.lit(f"{name} rows").alias("item"), "value"))
+    return out.orderBy("item")
+
+
 def file_name(stem: str, task: str, kind: str) -> str:
     """Name of an export: its source, its task and its format."""
     if kind not in ("txt", "csv", "md"):
