@@ -37,7 +37,7 @@ from sahifa.operators.rowmap import map_batches
 from sahifa.session import materialise
 
 MANTISSA = 10
-WORDS = 3  # 64-bit words of compressed registers that go along with a band
+WORDS = 2  # 64-bit words of compressed registers that go along with a band
 SKETCH = 16 * WORDS  # registers in them
 LEAST_WORDS = 15
 _SLACK = 4.0  # standard errors by which an estimate may fall below the bound
