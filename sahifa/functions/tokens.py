@@ -20,24 +20,44 @@ def word_count(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """``array<struct<idx, text, start, end>>`` with code-point offsets, ends exclusive.
 
-    Lengths of the words with the blanks before them, added up by one fold, give the ends
+    Lengths of the words with the blanks before them, added up, give the ends
     (regular-expression positions would count UTF-16 units).
     """
     whole = F.coalesce(text, F.lit(""))
-    pieces = F.regexp_extract_all(whole, F.lit(f"{C.WS}*{C.NONWS}+"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        return F.named_struct(F.lit("at"), end, F.lit("ends"), F.array_append(state["ends"], end))
-
-    ends = F.aggregate(pieces, start, step, lambda state: state["ends"])
+    lengths = F.transform(F.regexp_extract_all(whole, F.lit(f"{C.WS}*{C.NONWS}+"), F.lit(0)), lambda piece: F.length(piece))
     return F.transform(
-        F.arrays_zip(words(text).alias("w"), ends.alias("e")),
+        F.arrays_zip(words(text).alias("w"), running_sums(lengths).alias("e")),
         lambda x, i: F.named_struct(F.lit("idx"), i, F.lit("text"), x["w"], F.lit("start"), x["e"] - F.length(x["w"]), F.lit("end"), x["e"]),
     )
 
 
+RUN = 512
+
+
+def _sums(numbers: Column) -> Column:
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+
+    def step(state: Column, n: Column) -> Column:
+        return F.named_struct(F.lit("at"), state["at"] + n, F.lit("ends"), F.array_append(state["ends"], state["at"] + n))
+
+    return F.aggregate(numbers, start, step, lambda state: state["ends"])
+
+
+def running_sums(numbers: Column) -> Column:
+    """Running sums of ``array<int>``.
+
+    A fold that appends copies what it has, so a longer array is cut into runs of ``RUN``: sums
+    within each, and sums of the runs before it. Very long texts cost about in proportion.
+    """
+
+    def of_runs(x: Column) -> Column:
+        totals = F.transform(x["runs"], lambda run: F.aggregate(run, F.lit(0), lambda a, n: a + n))
+        before = let(lambda y: F.zip_with(_sums(y["totals"]), y["totals"], lambda upto, own: upto - own), totals=totals)
+        return F.flatten(F.zip_with(x["runs"], before, lambda run, base: F.transform(_sums(run), lambda n: n + base)))
+
+    return let(lambda x: F.when(F.size(x["n"]) <= RUN, _sums(x["n"])).otherwise(let(of_runs, runs=blocks(x["n"], RUN))), n=numbers)
+
+
 def let(body, **values: Column) -> Column:
     """``body(bound)`` with each value evaluated once: a lambda over an array of one struct.
 

@@ -11,17 +11,33 @@ SEGMENT = "array<struct<code:string,text:string>>"
 SPAN = "array<struct<start:int,end:int,label:string>>"
 
 
+def _runs(items: Column, label: str, made) -> Column:
+    """``made(items, first, end)`` of each run of equal ``label``; places count from 0 and ends are exclusive.
+
+    The places where a run starts are found first, so nothing is rebuilt from word to word.
+    """
+
+    def starts(x: Column) -> Column:
+        places = F.transform(x["of"], lambda _, i: i)
+        return F.filter(places, lambda i: (i == 0) | ~F.get(x["of"], i)[label].eqNullSafe(F.get(x["of"], i - 1)[label]))
+
+    def cut(x: Column) -> Column:
+        ends = F.concat(F.slice(x["starts"], F.lit(2), F.size(x["of"])), F.array(F.size(x["of"])))
+        pairs = F.zip_with(x["starts"], ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.transform(pairs, lambda p: made(x["of"], p["a"], p["b"]))
+
+    empty = lambda x: F.when(F.size(x["of"]) > 0, let(cut, of=x["of"], starts=starts(x)))
+    return let(empty, of=items)
+
+
 def merge_runs(pairs: Column) -> Column:
-    """``array<struct<code, text>>`` of ``array<struct<word, code>>``: words of a run joined by one space."""
+    """``array<struct<code, text>>`` of ``array<struct<word, code>>``: words of a run joined by one space; a null array has none."""
 
-    def step(out: Column, p: Column) -> Column:
-        last = F.element_at(out, -1)
-        grown = F.struct(last["code"].alias("code"), F.concat(last["text"], F.lit(" "), p["word"]).alias("text"))
-        fresh = F.struct(p["code"].alias("code"), p["word"].alias("text"))
-        same = (F.size(out) > 0) & F.try_element_at(out, F.lit(-1))["code"].eqNullSafe(p["code"])
-        return F.when(same, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown))).otherwise(F.array_append(out, fresh))
+    def made(items: Column, a: Column, b: Column) -> Column:
+        text = F.array_join(F.transform(F.slice(items, a + 1, b - a), lambda p: p["word"]), " ")
+        return F.struct(F.get(items, a)["code"].alias("code"), text.alias("text"))
 
-    return F.aggregate(pairs, F.array().cast(SEGMENT), step)
+    return F.coalesce(_runs(pairs, "code", made).cast(SEGMENT), F.array().cast(SEGMENT))
 
 
 def run_ids(df: DataFrame, by: list[str], order: str, label: str) -> DataFrame:
@@ -52,14 +68,13 @@ def spans(tokens: Column, labels: Column, min_words: int = 12) -> Column:
 
     Runs go on across tagging blocks; a span ends where its last word ends.
     """
-    def step(out: Column, p: Column) -> Column:
-        last = F.element_at(out, -1)
-        grown = F.named_struct(F.lit("start"), last["start"], F.lit("end"), p["end"], F.lit("label"), last["label"])
-        same = (F.size(out) > 0) & F.try_element_at(out, F.lit(-1))["label"].eqNullSafe(p["label"])
-        return F.when(same, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown))).otherwise(F.array_append(out, p))
+
+    def made(items: Column, a: Column, b: Column) -> Column:
+        return F.struct(F.get(items, a)["start"].alias("start"), F.get(items, b - 1)["end"].alias("end"), F.get(items, a)["label"].alias("label"))
 
     pairs = F.zip_with(tokens, labels, lambda t, l: F.named_struct(F.lit("start"), t["start"], F.lit("end"), t["end"], F.lit("label"), l))
-    return let(lambda x: F.when(F.size(x["p"]) < min_words, F.array().cast(SPAN)).otherwise(F.aggregate(x["p"], F.array().cast(SPAN), step)), p=pairs)
+    none = F.array().cast(SPAN)
+    return let(lambda x: F.when(F.size(x["p"]) < min_words, none).otherwise(F.coalesce(_runs(x["p"], "label", made).cast(SPAN), none)), p=pairs)
 
 
 def span_mass(spans: Column, label: str) -> Column:

@@ -75,6 +75,14 @@ def test_tokens_slice_back(spark):
         assert all(text[t["start"] : t["end"]] == t["text"] and t["idx"] == i for i, t in enumerate(toks))
 
 
+def test_running_sums_of_long_and_short_arrays(spark):
+    rng = random.Random(2)
+    made = [(i, [rng.randint(0, 9) for _ in range(n)]) for i, n in enumerate([0, 1, 511, 512, 513, 1024, 5000])]
+    df = spark.createDataFrame(made, "id int, a array<int>")
+    got = {r["id"]: r["s"] for r in df.select("id", K.running_sums(F.col("a")).alias("s")).collect()}
+    assert all(got[i] == [sum(a[: k + 1]) for k in range(len(a))] for i, a in made)
+
+
 def test_marks_come_apart_and_together(spark):
     texts = random_texts(300, 2)
     plain_marks = "ًٌٍَُِّْٰ"
