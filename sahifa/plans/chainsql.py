@@ -25,23 +25,23 @@ def folded(t: str) -> str:
 
 def characters(source: str) -> str:
     """Common table expressions over ``source (k, t)``: ``kept (k, f, i, after)`` has the raw place of each folded character and of the next one that is no mark."""
-    return f"""u as (select k, coalesce(t, '') as t, {folded("coalesce(t, '')")} as n from {source}),
+    return f"""u as materialized (select k, coalesce(t, '') as t, {folded("coalesce(t, '')")} as n from {source}),
     seen as (select k, c, i, regexp_matches(c, '{SPACE}') as blank from (select k, unnest(cs) as c, unnest(range(len(cs))) as i from (select k, regexp_extract_all(t, '(?s).') as cs from u)) where not regexp_matches(c, '{MARK}')),
     beside as (select k, i, blank, lag(blank) over (partition by k order by i) as was, lead(i) over (partition by k order by i) as after from seen),
-    kept as (select k, i, after, row_number() over (partition by k order by i) - 1 as f from beside where not (blank and coalesce(was, true)))"""
+    kept as materialized (select k, i, after, row_number() over (partition by k order by i) - 1 as f from beside where not (blank and coalesce(was, true)))"""
 
 
 def hops(limit: str) -> str:
     """Hops of ``u`` up to the folded place ``limit`` of ``bound (k, e)``: ``hop`` and ``named``, the latter with names of any length."""
-    return f"""part as (select u.k, substr(u.n, 1, e::bigint) as n from u join {limit} using (k)),
+    return f"""part as materialized (select u.k, substr(u.n, 1, e::bigint) as n from u join {limit} using (k)),
     run as (select k, w, j, (sum(length(w)) over (partition by k order by j) - length(w))::bigint as place from (select k, unnest(p) as w, unnest(range(len(p))) as j from (select k, regexp_extract_all(n, '{RUNS}') as p from part))),
     verb as (select k, w as verb, place, place + length(w) as stop, row_number() over (partition by k order by place) - 1 as pos, lead(place) over (partition by k order by place) as next from run where w in {VERBS}),
-    piece as (select verb.*, regexp_extract(substr(n, stop + 1, coalesce(next, length(n)) - stop), '^[^{STOPS}]*') as cut from verb join part using (k)),
+    piece as materialized (select verb.*, regexp_extract(substr(n, stop + 1, coalesce(next, length(n)) - stop), '^[^{STOPS}]*') as cut from verb join part using (k)),
     bare as (select *, length(cut) - length(ltrim(cut, '{TRIMMED}')) as skip, trim(cut, '{TRIMMED}') as name from piece),
-    named as (select k, verb, place, stop, pos, stop + skip as first, trim(regexp_replace(regexp_replace(name, '\\s+(?:قال|قالا|قالوا|ان)$', ''), '{TITLES}', ''), '{TRIMMED}') as mention from bare),
-    hop as (select named.k, verb, mention, pos, a.i as start, coalesce(b.after, length(u.t)) as "end", c.i as verb_start, coalesce(d.after, length(u.t)) as verb_end from named join u using (k)
-        join kept a on a.k = named.k and a.f = first join kept b on b.k = named.k and b.f = first + length(mention) - 1
-        join kept c on c.k = named.k and c.f = place join kept d on d.k = named.k and d.f = stop - 1
+    named as materialized (select k, verb, place, stop, pos, stop + skip as first, trim(regexp_replace(regexp_replace(name, '\\s+(?:قال|قالا|قالوا|ان)$', ''), '{TITLES}', ''), '{TRIMMED}') as mention from bare),
+    places as materialized (select k, list(i order by f) as starts, list(after order by f) as afters from kept group by k),
+    hop as (select named.k, verb, mention, pos, starts[first + 1] as start, coalesce(afters[first + length(mention)], length(u.t)) as "end", starts[place + 1] as verb_start, coalesce(afters[stop], length(u.t)) as verb_end
+        from named join u using (k) join places using (k)
         where length(mention) between 2 and 60)"""
 
 
@@ -66,12 +66,12 @@ def parsed(source: str) -> str:
 
 def structure_output(units: str) -> str:
     """``(k, output)`` of ``units (k, t)``: segments by the rules' boundary with the chain of each ISNAD segment below it, in English."""
-    return rf"""with p as (with {parsed(units)} select k, t, sanad_end_raw from parse join u using (k)),
+    return rf"""with p as materialized (with {parsed(units)} select k, t, sanad_end_raw from parse join u using (k)),
     bit as (select k, sanad_end_raw, b, j, sum(length(b)) over (partition by k order by j) - length(b) as place from (select k, sanad_end_raw, unnest(bs) as b, unnest(range(len(bs))) as j from (select k, sanad_end_raw, regexp_extract_all(t, '{SPACE}+|{SPACE.replace("[", "[^", 1)}+') as bs from p))),
     w as (select k, b as w, j, row_number() over (partition by k order by j) - 1 as idx, place, sanad_end_raw from bit where not regexp_matches(b, '^{SPACE}')),
     l as (select k, w, j, case when idx = 0 and regexp_matches(w, '^\p{{Nd}}+[-–.)\]]*$') then 'HNUM' when place < sanad_end_raw then 'ISNAD' else 'MATN' end as code from w),
     turn as (select *, case when code is distinct from lag(code) over (partition by k order by j) then 1 else 0 end as new from l),
-    seg as (select k, code, seg, string_agg(w, ' ' order by j) as text from (select *, sum(new) over (partition by k order by j) - 1 as seg from turn) group by k, code, seg),
+    seg as materialized (select k, code, seg, string_agg(w, ' ' order by j) as text from (select *, sum(new) over (partition by k order by j) - 1 as seg from turn) group by k, code, seg),
     h as (with {characters("(select {'k': k, 'seg': seg} as k, text as t from seg where code = 'ISNAD')")}, bound as (select k, length(n) as e from u), {hops("bound")}
         select k.k as k, k.seg as seg, string_agg('      ' || no || '. ' || v || ' — ' || name, chr(10) order by no) as lines from
             (select k, row_number() over (partition by k order by pos) as no, substr(t, verb_start + 1, verb_end - verb_start) as v, substr(t, start + 1, "end" - start) as name from hop join u using (k)) group by all),
