@@ -13,8 +13,12 @@ and a row at most 50, that is no matter of chance at all: among the words both s
 side by side than the others can part.
 
 Fingerprints are joined across splits. Rows with the same words are one class per split side and
-give their fingerprints once, so copies never multiply in the join. Pairs whose parity bitmaps
-differ too much leave without a look at their words; of the others the exact share is taken, and those that reach the similarity are aligned: grams winnowed in the
+give their fingerprints once, so copies never multiply in the join. A gram of words that keep
+company (the parts of a name) is in far more rows than its words' counts tell, and the pairs it
+makes grow with the square of the rows; so the parity bitmaps stand beside the fingerprints, and
+pairs whose bitmaps differ too much leave inside the join, before anything is written. The
+fingerprints are joined in up to ``PASSES`` parts by their hash, one after the other, each of
+which takes its shuffle files with it. Of the pairs left the exact share is taken, and those that reach the similarity are aligned: grams winnowed in the
 rows' own order are the seeds, the longest collinear chain of them is extended word by word, and
 words that were moved are aligned afterwards wherever they stand.
 """
@@ -24,6 +28,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ from sahifa.llm.neardup import _GOLDEN, _mix, flat_words, form_links, keys_of, n
 from sahifa.llm.samelook import COPIES_EXPANDED, expand_links
 from sahifa.llm.words import ranges
 from sahifa.operators.rowmap import map_batches
-from sahifa.session import materialise
+from sahifa.session import discard, materialise
 
 PARTNERS = 32.0
 LONG_GRAM = 8
@@ -45,6 +50,7 @@ SEED_GRAM, SEED_WINDOW = 3, 5
 BITMAPS = 4  # words of 64 bits
 BITS = [f"bits_{k}" for k in range(BITMAPS)]
 BIT_SCHEMA = ", ".join(f"{c} long" for c in BITS)
+PASSES, PASS_ROWS = 4, 1 << 15  # most parts of the join, rows from which on there is one more
 _COUNTERS = 1 << 19  # slots of either of two tables
 
 
@@ -296,38 +302,48 @@ class SplitOverlap:
     def __init__(self, df: DataFrame, key: str, text: str, similarity: float = 0.8, expanded: int | None = COPIES_EXPANDED) -> None:
         self.similarity, self.expanded = similarity, expanded
         rows = _prepared(df, key, text)
-        printed = materialise(fingerprints(rows, *word_levels(rows), similarity))
+        levels, n_rows = word_levels(rows)
+        printed = materialise(fingerprints(rows, levels, n_rows, similarity))
         classes = printed.groupBy("side", "bag", "bag_too", "stored").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
         heads = classes.groupBy("side", "bag", "bag_too").agg(F.min("rep").alias("head"))
-        own = [F.when(F.col("row_id") == F.col("head"), F.col(c)).alias(c) for c in ("bag", *BITS)]  # of heads only
-        members = printed.drop("keys").join(classes.hint("merge"), ["side", "bag", "bag_too", "stored"]).join(heads.hint("merge"), ["side", "bag", "bag_too"])
-        members = materialise(members.select("row_id", "side", "head", "rep", "copies", "size", *own))
+        own = F.when(F.col("row_id") == F.col("head"), F.col("bag")).alias("bag")  # of heads only
+        members = printed.drop("keys", *BITS).join(classes.hint("merge"), ["side", "bag", "bag_too", "stored"]).join(heads.hint("merge"), ["side", "bag", "bag_too"])
+        members = materialise(members.select("row_id", "side", "head", "rep", "copies", own), sweep=True)
         self.members = members.select("row_id", "side", "head", "rep", "copies")
-        pairs = materialise(self._candidates(printed, members.where("row_id = head").select("side", "bag", "head", "size", *BITS)))
-        self.links = materialise(self._aligned(pairs, rows))
+        pairs = self._candidates(printed, members.where("row_id = head").select("side", "bag", "head"), min(PASSES, 1 + int(2 ** (n_rows / 4)) // PASS_ROWS))
+        discard(printed)
+        self.links = self._aligned(pairs, rows)
+        discard(pairs)
 
-    def _candidates(self, printed: DataFrame, heads: DataFrame) -> DataFrame:
+    def _candidates(self, printed: DataFrame, heads: DataFrame, passes: int) -> DataFrame:
         """``(a, b)``: pairs of heads that share a fingerprint and whose sizes and bitmaps allow the similarity.
 
         The join is one of bags: a bag comes once per batch that has it and is made one again
         beside the join, in the same partitioning. Two bags with one ``bag`` stay two heads.
         """
 
-        def keys(side: int, row: str) -> DataFrame:
+        def keys(side: int, row: str, part: int) -> DataFrame:
             own = printed.where(F.col("side") == side)
-            each = own.select(F.explode("keys").alias("key"), F.col("bag").alias(row), F.col("size").alias(f"size_{row}"))
-            return each.repartition("key").dropDuplicates(["key", row])
+            each = own.select(F.explode("keys").alias("key"), F.col("bag").alias(row), *(F.col(c).alias(f"{c}_{row}") for c in ("size", *BITS)))
+            return each.where(F.pmod("key", F.lit(passes)) == part).repartition("key").distinct()
 
         def of(side: int, row: str, head: str) -> DataFrame:
-            own = heads.where(F.col("side") == side)
-            return own.select(F.col("bag").alias(row), F.col("head").alias(head), *(F.col(c).alias(f"{c}_{row}") for c in ("size", *BITS))).hint("merge")
+            return heads.where(F.col("side") == side).select(F.col("bag").alias(row), F.col("head").alias(head)).hint("merge")
 
         longer = F.greatest("size_a", "size_b")
         near = F.least("size_a", "size_b") >= F.lit(self.similarity) * longer - 1e-9
         differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS), F.lit(0))
         alike = differ <= F.col("size_a") + F.col("size_b") - F.lit(2 * self.similarity) * longer + 1e-6
-        met = keys(1, "a").join(keys(2, "b").hint("merge"), "key").where(near).select("a", "b").distinct()
-        return met.join(of(1, "a", "x"), "a").join(of(2, "b", "y"), "b").where(alike).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        parts = []
+        for part in range(passes):
+            met = keys(1, "a", part).join(keys(2, "b", part).hint("merge"), "key").where(near & alike)
+            parts.append(materialise(met.select("a", "b").distinct(), sweep=True))
+        met = reduce(DataFrame.unionByName, parts).distinct()
+        found = met.join(of(1, "a", "x"), "a").join(of(2, "b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        found = materialise(found, sweep=True)
+        for table in parts:
+            discard(table)
+        return found
 
     def _aligned(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
         """The pairs that reach the similarity by their exact share of words, aligned."""
@@ -340,7 +356,7 @@ class SplitOverlap:
 
         # hashes are made before the semi-join: a word's hash is smaller than the word
         hashed = map_batches(rows.select("row_id", "value"), hashes, "row_id long, words array<long>")
-        words = materialise(hashed.join(needed.hint("merge"), "row_id", "left_semi"))
+        words = materialise(hashed.join(needed.hint("merge"), "row_id", "left_semi"), sweep=True)
         a, b = (words.select(F.col("row_id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
         both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
         limit = self.similarity
@@ -368,7 +384,10 @@ class SplitOverlap:
                 out[5].append(total)
             return out
 
-        return map_batches(both.select("a", "b", "wa", "wb"), run, "a long, b long, size_a int, size_b int, chained int, shared int", dealt=False)
+        links = map_batches(both.select("a", "b", "wa", "wb"), run, "a long, b long, size_a int, size_b int, chained int, shared int", dealt=False)
+        links = materialise(links, sweep=True)
+        discard(words)
+        return links
 
     def pairs(self) -> DataFrame:
         """``(id_a, id_b)``, ``id_a < id_b``: rows of train with rows of dev or test.

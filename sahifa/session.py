@@ -70,11 +70,16 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def materialise(df: DataFrame) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, sweep: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Cuts the lineage: what follows reads the table as often as it likes, and a lost executor
-    costs no more than the tasks it ran. The tables of a session go when it ends.
+    costs no more than the tasks it ran. The tables of a session go when it ends, or by
+    ``discard``. ``sweep``: the shuffle files of the write go with it, not when the driver next
+    collects its garbage.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -83,5 +88,19 @@ def materialise(df: DataFrame) -> DataFrame:
         context._sahifa_cleanup = True
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if sweep:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if sweep:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._sahifa_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table made by ``materialise`` that nothing reads any more."""
+    _remove(table.sparkSession, table._sahifa_path)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
@@ -270,6 +271,38 @@ def test_pairs_without_seeds_are_chained():
     assert overlap.chain_and_align(a, b, overlap.single_words(a, b)) == (5, 5)
 
 
+def test_overlap_of_rows_with_one_name_writes_no_pairs(spark):
+    """Words that keep company make a key of 400 rows; the 40,000 pairs it makes leave inside the join."""
+    name, common, rng = "سقنطر الدهبلي الزعفوري", LEXICON[:60], random.Random(3)
+    rows = [(i, "train" if i < 200 else "test", f"{name} {' '.join(rng.sample(common, 13))}") for i in range(400)]
+    rows.append((400, "test", rows[7][2].rsplit(" ", 1)[0] + " غيره"))
+    rows += [(i, "train", " ".join(common)) for i in range(401, 1000)]  # the name is rarer than the other words
+    rows += [(i, "train", "قال") for i in range(1000, 8000)]
+    df = spark.createDataFrame(rows, "id long, split string, text string").repartition(4)
+
+    def stages():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        listed = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteRecords() for x in (listed.apply(i) for i in range(listed.size()))}
+
+    before = stages()
+    assert {tuple(r) for r in overlap.overlap_pairs(df, "id", "text").collect()} == {(7, 400)}
+    written = {k: n for k, n in stages().items() if k not in before}
+    assert written and max(written.values()) < 20_000
+
+
+def test_materialised_tables_can_be_discarded(spark):
+    """A discarded table leaves no file, and shuffle settings are as before a swept write."""
+    from sahifa.session import _CLEANUP, discard, materialise
+
+    table = materialise(spark.range(50).groupBy((F.col("id") % 7).alias("k")).count(), sweep=True)
+    assert table.count() == 7 and spark.conf.get(_CLEANUP, None) in (None, "false")
+    files = [f.removeprefix("file://") for f in table.inputFiles()]
+    discard(table)
+    assert files and not any(os.path.exists(f) for f in files)
+
+
 def test_overlap_counts_pairs_and_partners(spark):
     text, near = " ".join(LEXICON[:20]), " ".join([*LEXICON[:19], "اخر"])
     rows = [(i, text, "train", "a") for i in range(100)] + [(100, near, "train", "b"), (101, text, "dev", "c"), (102, text, "dev", "c"), (103, near, "Test", "c"), (104, "قصير", "test", "c")]
